@@ -3,7 +3,6 @@
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
@@ -81,9 +80,8 @@ def one_hot_stages(categorical):
             inputCols=list(categorical),
             outputCols=indexed,
             stringOrderType="alphabetDesc",
-            handleInvalid="keep",
         ),
-        OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
     ], coded
 
 
@@ -281,9 +279,3 @@ def overfit_report(prepared: DataFrame, numeric, categorical, settings) -> DataF
     for more in reports[1:]:
         out = out.unionByName(more)
     return out
-
-
-def feature_array(model: PipelineModel, prepared: DataFrame, key="id") -> DataFrame:
-    """(id, features as array) for looking at the assembled matrix."""
-    scored = model.transform(prepared)
-    return scored.select(key, vector_to_array("features").alias("features"))
