@@ -57,7 +57,8 @@ def langid_score(
 
     The profile is turned to one row per n-gram with one weight per language,
     so each n-gram of a text meets one row of a small table, and one row of
-    partial sums per text is shuffled.
+    partial sums per text is shuffled. The table is copied to all tasks; the
+    fit bounds it to `size` n-grams per language.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     # An n-gram missing from a profile counts half the rarest share of all.
@@ -78,7 +79,7 @@ def langid_score(
     cells = F.concat(grams(text, sizes), F.array(F.lit(_WHOLE)))
     sums = (
         df.select(*keys, F.explode(cells).alias("gram"))
-        .join(wide.unionByName(whole), "gram")
+        .join(F.broadcast(wide.unionByName(whole)), "gram")
         .groupBy(*keys)
         .agg(*[F.sum(s).alias(s) for s in slots])
     )
