@@ -1,8 +1,8 @@
 """Registered queries on the given tables, and their SQL twins."""
 
-from valuescout.catalogue import gems, listings
+from valuescout.catalogue import gems, listings, models, segments, texts
 
-_FAMILIES = (listings, gems)
+_FAMILIES = (listings, gems, texts, segments, models)
 
 
 def queries():

@@ -109,23 +109,25 @@ def median_impute(df: DataFrame, columns, fit_on: DataFrame | None = None) -> Da
     )
 
 
-def tertile(df: DataFrame, column, name, labels=("low", "mid", "high")) -> DataFrame:
-    """Three bins at the interpolated 1/3 and 2/3 quantiles, closed on the
-    right; equal edges are an error, as no balanced split exists then."""
-    cuts = exact_quantiles(df, [column], [0.0, 1 / 3, 2 / 3, 1.0])
-    edges = cuts.agg(F.sort_array(F.collect_list("value"))).scalar()
-    edge = [F.element_at("_edges", i) for i in range(1, 5)]
-    clash = (edge[0] >= edge[1]) | (edge[1] >= edge[2]) | (edge[2] >= edge[3])
-    value = F.col(column)
-    return (
-        df.withColumn("_edges", edges)
-        .withColumn(
-            name,
+def tertile(df: DataFrame, columns, labels=("low", "mid", "high")) -> DataFrame:
+    """Add one label column per entry of `columns` (name -> numeric column):
+    three bins at the interpolated 1/3 and 2/3 quantiles, closed on the right.
+    Equal edges are an error, as no balanced split exists then."""
+    sources = list(dict.fromkeys(columns.values()))
+    cuts = exact_quantiles(df, sources, [0.0, 1 / 3, 2 / 3, 1.0])
+    listed = [F.sort_array(F.collect_list(F.when(F.col("column") == c, F.col("value")))) for c in sources]
+    edges = cuts.agg(F.array(*listed).alias("edges")).scalar()
+    binned = {}
+    for name, column in columns.items():
+        at = F.element_at("_edges", sources.index(column) + 1)
+        edge = [F.element_at(at, i) for i in range(1, 5)]
+        clash = (edge[0] >= edge[1]) | (edge[1] >= edge[2]) | (edge[2] >= edge[3])
+        value = F.col(column)
+        binned[name] = (
             F.when(value.isNull(), F.lit(None).cast("string"))
             .when(clash, F.raise_error(f"equal tertile edges in {column}").cast("string"))
             .when(value <= edge[1], labels[0])
             .when(value <= edge[2], labels[1])
-            .otherwise(labels[2]),
+            .otherwise(labels[2])
         )
-        .drop("_edges")
-    )
+    return df.withColumn("_edges", edges).withColumns(binned).drop("_edges")

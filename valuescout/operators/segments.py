@@ -1,12 +1,9 @@
 """K-means segmentation: scaling, sweep over k, assignment, elbow, silhouette."""
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
@@ -21,6 +18,7 @@ from valuescout.constants import (
 
 # Centres travel with the plan, so their number is checked.
 _MAX_CENTRE_VALUES = 1_000_000
+_SEEDING_ROWS = 10_000
 
 
 def scaling(df: DataFrame, columns) -> DataFrame:
@@ -68,53 +66,106 @@ def kmeans_sweep(
     max_iter=KMEANS_MAX_ITER,
     tol=KMEANS_TOL,
     seed=SPLIT_SEED,
-    parallelism=8,
 ) -> list[Solution]:
-    """Best of `restarts` runs for every k (runs jobs).
-
-    The vectors are persisted once for all runs, and several runs are in
-    flight together so that the short tail of one job leaves no idle cores.
+    """Best of `restarts` k-means++ starts for every k (runs jobs).
+
+    All starts of all k move together: one pass over the persisted rows gives
+    every cluster its new centre, so the data is read once per iteration and
+    not once per iteration and start. A task folds its rows into one partial
+    sum per centre before the shuffle; centres that settled leave the pass.
+    A start has settled when its centres move by less than `tol` times the
+    mean variance (squared distances, summed over the centres).
     """
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    vectors = assembler.transform(df).select("features").persist()
-
-    def run(task):
-        k, start = task
-        model = KMeans(
-            k=k,
-            initMode="k-means||",
-            maxIter=max_iter,
-            tol=tol,
-            seed=seed + start,
-            featuresCol="features",
-        ).fit(vectors)
-        centers = [c.tolist() for c in model.clusterCenters()]
-        return Solution(k, model.summary.trainingCost, model.summary.numIter, centers)
-
-    best = {}
-    if 1 in ks:
-        best[1] = _single_cluster(df, columns)
-    tasks = [(k, start) for k in ks if k > 1 for start in range(restarts)]
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
     try:
-        vectors.count()
-        with ThreadPool(parallelism) as pool:
-            for found in pool.imap_unordered(inheritable_thread_target(run), tasks):
-                if found.k not in best or found.sse < best[found.k].sse:
-                    best[found.k] = found
+        spread = rows.agg(*[F.var_pop(c) for c in columns]).first()
+        still = tol * float(np.mean(list(spread)))
+        sample = _seeding_sample(rows, columns, seed)
+        active = {}
+        for k in ks:
+            for start in range(restarts if k > 1 else 1):
+                rng = np.random.default_rng([seed, k, start])
+                active[k, start] = _plus_plus(sample, k, rng)
+        settled = {}
+        for iteration in range(1, max_iter + 1):
+            moved = _advance(rows, columns, active)
+            for task, (centers, _) in moved.items():
+                shift = float(((centers - active[task]) ** 2).sum())
+                active[task] = centers
+                if shift <= still:
+                    settled[task] = (active.pop(task), iteration)
+            if not active:
+                break
+        settled |= {task: (centers, max_iter) for task, centers in active.items()}
+        costs = _advance(rows, columns, {task: centers for task, (centers, _) in settled.items()})
     finally:
-        vectors.unpersist()
+        rows.unpersist()
+    best = {}
+    for (k, _), (centers, iterations), cost in (
+        (task, settled[task], costs[task][1]) for task in sorted(settled)
+    ):
+        if k not in best or cost < best[k].sse:
+            best[k] = Solution(k, cost, iterations, centers.tolist())
     return [best[k] for k in sorted(best)]
 
 
-def _single_cluster(df, columns):
-    """Spark's estimator starts at k=2; one cluster is the mean and variance."""
-    row = df.agg(
-        F.count("*").alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
-    ).first()
-    spread = sum(row[f"v{i}"] for i in range(len(columns)))
-    return Solution(1, row["n"] * spread, 1, [[row[f"m{i}"] for i in range(len(columns))]])
+def _seeding_sample(rows, columns, seed):
+    """Start points come from a uniform sample of fixed size, or from all rows
+    where there are no more than that."""
+    drawn = rows.orderBy(F.xxhash64(*columns, F.lit(seed))).limit(_SEEDING_ROWS)
+    points = drawn.toPandas().to_numpy(dtype="float64")
+    if not len(points):
+        raise ValueError("no rows to cluster")
+    return points
+
+
+def _plus_plus(points, k, rng):
+    """Each next centre is drawn in proportion to the squared distance from
+    the centres so far (Arthur & Vassilvitskii 2007)."""
+    centers = [points[rng.integers(len(points))]]
+    nearest = ((points - centers[0]) ** 2).sum(axis=1)
+    while len(centers) < k:
+        total = nearest.sum()
+        weights = nearest / total if total > 0 else None
+        centers.append(points[rng.choice(len(points), p=weights)])
+        nearest = np.minimum(nearest, ((points - centers[-1]) ** 2).sum(axis=1))
+    return np.array(centers)
+
+
+def _advance(rows, columns, models):
+    """One pass: {model: (new centres, sse of the old ones)}."""
+    flat = np.vstack(list(models.values()))
+    ends = np.cumsum([len(c) for c in models.values()])
+    spans = [(int(e - len(c)), int(e)) for e, c in zip(ends, models.values())]
+    sums = [f"s{i}" for i in range(len(columns))]
+
+    def fold(batches):
+        n, sse = np.zeros(len(flat)), np.zeros(len(flat))
+        total = np.zeros(flat.shape)
+        for batch in batches:
+            points = batch.to_numpy(dtype="float64")
+            rough = (flat * flat).sum(axis=1) - 2.0 * points @ flat.T
+            for low, high in spans:
+                nearest = rough[:, low:high].argmin(axis=1)
+                member = (nearest[:, None] == np.arange(high - low)).astype("float64")
+                gap = points - flat[low + nearest]
+                n[low:high] += member.sum(axis=0)
+                total[low:high] += member.T @ points
+                sse[low:high] += member.T @ (gap * gap).sum(axis=1)
+        partial = {"center": np.arange(len(flat)), "n": n, "sse": sse}
+        yield pd.DataFrame(partial | {s: total[:, i] for i, s in enumerate(sums)})
+
+    schema = "center int, n double, sse double, " + ", ".join(f"{s} double" for s in sums)
+    partials = rows.mapInPandas(fold, schema)
+    names = ["n", "sse", *sums]
+    folded = partials.groupBy("center").agg(*[F.sum(c).alias(c) for c in names])
+    table = folded.toPandas().sort_values("center")[names].to_numpy()
+    moved = {}
+    for task, (low, high) in zip(models, spans):
+        n, cost, total = table[low:high, 0], table[low:high, 1].sum(), table[low:high, 2:]
+        kept = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], flat[low:high])
+        moved[task] = (kept, float(cost))
+    return moved
 
 
 def sse_table(spark, solutions) -> DataFrame:
@@ -150,12 +201,9 @@ def collect_centers(centroids: DataFrame, columns, cluster="cluster"):
     return sorted((r[0], [float(v) for v in r[1:]]) for r in rows)
 
 
-def assign(df: DataFrame, centers, columns) -> DataFrame:
-    """Add `cluster` (nearest centre, ties to the lower id) and `dist2`.
-
-    `centers` is [(cluster, [values])]; the distances are plain arithmetic on
-    the scanned columns, so rows neither shuffle nor leave the JVM.
-    """
+def nearest(centers, columns):
+    """Struct (dist2, cluster) of the nearest of [(cluster, [values])], ties to
+    the lower id."""
     distances = []
     for cluster, center in centers:
         dist2 = F.lit(0.0)
@@ -163,9 +211,17 @@ def assign(df: DataFrame, centers, columns) -> DataFrame:
             step = F.col(c) - F.lit(float(v))
             dist2 = dist2 + step * step
         distances.append(F.struct(dist2.alias("dist2"), F.lit(cluster).alias("cluster")))
-    nearest = distances[0] if len(distances) == 1 else F.array_min(F.array(*distances))
+    return F.array_min(F.array(*distances))
+
+
+def assign(df: DataFrame, centers, columns) -> DataFrame:
+    """Add `cluster` (nearest centre) and `dist2`.
+
+    `centers` is [(cluster, [values])]; the distances are plain arithmetic on
+    the scanned columns, so rows neither shuffle nor leave the JVM.
+    """
     return (
-        df.withColumn("_nearest", nearest)
+        df.withColumn("_nearest", nearest(centers, columns))
         .withColumn("cluster", F.col("_nearest.cluster"))
         .withColumn("dist2", F.col("_nearest.dist2"))
         .drop("_nearest")
@@ -179,7 +235,7 @@ def assign_vectors(df: DataFrame, centers, column) -> DataFrame:
     matrix = np.array([center for _, center in centers], dtype="float64")
 
     @F.pandas_udf("cluster int, dist2 double")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
+    def closest(vectors: pd.Series) -> pd.DataFrame:
         points = np.stack(vectors.to_numpy()).astype("float64")
         rough = -2.0 * points @ matrix.T + (matrix * matrix).sum(axis=1)
         best = rough.argmin(axis=1)
@@ -187,7 +243,7 @@ def assign_vectors(df: DataFrame, centers, column) -> DataFrame:
         return pd.DataFrame({"cluster": ids[best], "dist2": (gap * gap).sum(axis=1)})
 
     return (
-        df.withColumn("_nearest", nearest(column))
+        df.withColumn("_nearest", closest(column))
         .withColumn("cluster", F.col("_nearest.cluster"))
         .withColumn("dist2", F.col("_nearest.dist2"))
         .drop("_nearest")

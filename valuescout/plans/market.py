@@ -4,7 +4,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from valuescout.constants import FINAL_K, MIN_DISCOUNT, MIN_POSITIVE_RATE
 from valuescout.dictionaries import lemma_dictionary, sentiment_lexicon, tag_dictionary
-from valuescout.operators.funnel import funnel, join_signals, select_gems
+from valuescout.operators.funnel import criteria, funnel, join_signals, select_gems
 from valuescout.plans.listings import clean_listings
 from valuescout.plans.phrases import contrast_phrases
 from valuescout.plans.pricing import fair_price
@@ -61,7 +61,7 @@ def run_market(
     joined = join_signals(*exposure_and_rate(facts), predictions)
     gems = stage(select_gems(joined, min_rate, min_discount), "gems")
     write_csv(gems.orderBy(F.desc("discount_pct"), "listing_id"), f"{out}/gems_csv")
-    write_table(funnel(joined), f"{out}/funnel")
+    write_table(funnel(joined, criteria(min_rate, min_discount)), f"{out}/funnel")
 
     found = segment(enrich(gems, listings, predictions), **(segment_settings or {}))
     write_table(found.elbow, f"{out}/elbow")

@@ -20,6 +20,9 @@ from valuescout.operators.validation import external_validation
 from valuescout.session import cut_lineage
 
 
+_BINNED = {"price": "price_clean", "discount": "discount_pct"}
+
+
 @dataclass
 class Segments:
     solutions: list
@@ -64,10 +67,10 @@ def validate_segments(
     assigned: DataFrame, variables=EXTERNAL_VARIABLES, shuffles=BASELINE_SHUFFLES
 ) -> DataFrame:
     """Agreement with price, room type and discount, against chance."""
-    for column in ("price", "discount"):
-        source = "price_clean" if column == "price" else "discount_pct"
-        if f"{column}_tertile" in variables:
-            assigned = tertile(assigned, source, f"{column}_tertile")
+    binned = {f"{name}_tertile": column for name, column in _BINNED.items()}
+    wanted = {name: column for name, column in binned.items() if name in variables}
+    if wanted:
+        assigned = tertile(assigned, wanted)
     return external_validation(assigned, "cluster", variables, shuffles)
 
 
