@@ -143,10 +143,13 @@ def phrase_ratio(counts: DataFrame, sizes: DataFrame, by, first, second, n=50) -
     """(phrase, per_k_a, per_k_b, ratio) for the phrases that are in the top
     `n` of both groups; `sizes` has (by, n_reviews)."""
     top = top_phrases(counts, by, n).join(sizes, by)
-    per_k = top.withColumn("per_k", F.col("count") * 1000.0 / F.col("n_reviews"))
-    a = per_k.filter(F.col(by) == first).select("phrase", F.col("per_k").alias("per_k_a"))
-    b = per_k.filter(F.col(by) == second).select("phrase", F.col("per_k").alias("per_k_b"))
-    return a.join(b, "phrase").withColumn("ratio", F.col("per_k_a") / F.col("per_k_b"))
+    per_k = F.col("count") * 1000.0 / F.col("n_reviews")
+    both = top.groupBy("phrase").agg(
+        F.max(F.when(F.col(by) == first, per_k)).alias("per_k_a"),
+        F.max(F.when(F.col(by) == second, per_k)).alias("per_k_b"),
+    )
+    shared = both.filter(F.col("per_k_a").isNotNull() & F.col("per_k_b").isNotNull())
+    return shared.withColumn("ratio", F.col("per_k_a") / F.col("per_k_b"))
 
 
 def theme_share(counts: DataFrame, by, theme, n=50) -> DataFrame:

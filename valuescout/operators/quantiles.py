@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 _ACCURACY = 10_000
 _MARGIN = 5.0 / _ACCURACY
+_FEW_ROWS = 10_000
 
 
 def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
@@ -33,9 +34,12 @@ def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
         F.percentile_approx("_v", edges, _ACCURACY).alias("_e"),
     )
     brackets = []
+    # Few rows: the margin spans less than the two ranks, so take everything.
+    few = F.col("_n") < _FEW_ROWS
     for i, p in enumerate(probabilities):
-        low = F.col("_min") if p <= _MARGIN else F.element_at("_e", i + 1)
-        high = F.col("_max") if p >= 1 - _MARGIN else F.element_at("_e", len(edges) // 2 + i + 1)
+        low = F.when(few | F.lit(p <= _MARGIN), F.col("_min")).otherwise(F.element_at("_e", i + 1))
+        upper = F.element_at("_e", len(edges) // 2 + i + 1)
+        high = F.when(few | F.lit(p >= 1 - _MARGIN), F.col("_max")).otherwise(upper)
         brackets.append(F.struct(F.lit(i).alias("_p"), low.alias("_lo"), high.alias("_hi")))
     probability = F.element_at(F.array(*[F.lit(p) for p in probabilities]), F.col("_p") + 1)
     bracket = (

@@ -22,22 +22,27 @@ def text_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _schema(**columns) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+_S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
+
 RAW_REVIEWS = text_schema(("listing_id", "id", "date", "reviewer_id", "reviewer_name", "comments"))
 
-SCORED_REVIEWS = T.StructType.fromDDL(
-    "listing_id string, id string, date date, reviewer_id string, reviewer_name string, "
-    "comments string, comments_clean string, sentiment_vader double"
+SCORED_REVIEWS = _schema(
+    listing_id=_S, id=_S, date=T.DateType(), reviewer_id=_S, reviewer_name=_S,
+    comments=_S, comments_clean=_S, sentiment_vader=_D,
 )
-
-POSITIVE_RATE = T.StructType.fromDDL("listing_id string, positive_rate double")
-HIDDEN_FLAG = T.StructType.fromDDL("listing_id string, is_hidden int")
-PREDICTIONS = T.StructType.fromDDL(
-    "id string, price_clean double, log_price double, predicted_log_price double, "
-    "predicted_price double, residual double, in_test_set int"
+POSITIVE_RATE = _schema(listing_id=_S, positive_rate=_D)
+HIDDEN_FLAG = _schema(listing_id=_S, is_hidden=_I)
+PREDICTIONS = _schema(
+    id=_S, price_clean=_D, log_price=_D, predicted_log_price=_D, predicted_price=_D,
+    residual=_D, in_test_set=_I,
 )
-FINDS = T.StructType.fromDDL(
-    "listing_id string, is_hidden int, positive_rate double, price_clean double, "
-    "predicted_price double, discount_pct double, in_test_set int"
+FINDS = _schema(
+    listing_id=_S, is_hidden=_I, positive_rate=_D, price_clean=_D, predicted_price=_D,
+    discount_pct=_D, in_test_set=_I,
 )
 
 _TEXT = {
