@@ -64,3 +64,36 @@ def test_result_does_not_depend_on_partitioning(spark):
         return sorted(map(tuple, select_gems(joined, 0.5).select("listing_id", F.round("discount_pct", 9)).collect()))
 
     assert found(1) == found(13)
+
+
+def test_hot_listing_is_split(spark):
+    """A third of all reviews on one listing: the membership join, when too
+    big to copy one side, splits the hot partition."""
+    from valuescout.operators.rows import member_flag
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        reviews = spark.range(400_000).repartition(8).select(
+            F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("listing_id"),
+            F.md5(F.col("id").cast("string")).alias("text"),
+        )
+        ids = spark.range(0, 400_000, 5).select(F.col("id").cast("string").alias("listing_id"))
+        ids = ids.unionByName(spark.createDataFrame([("7",)], "listing_id string"))
+        flagged = member_flag(reviews, ids, "listing_id", "inside")
+        rows = flagged.collect()
+        assert len(rows) == 400_000
+        assert sum(r["inside"] for r in rows) == 133_334 + 1 + sum(1 for i in range(0, 400_000, 5) if i % 3)
+        assert "skew=true" in flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)

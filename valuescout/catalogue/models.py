@@ -6,7 +6,7 @@ from valuescout.catalogue.tables import table
 from valuescout.functions.values import log_price
 from valuescout.operators import pricing
 from valuescout.plans.pricing import fair_price
-from valuescout.session import cut_lineage
+from valuescout.session import cut_lineage, spread
 
 NUMERIC = ("quantity", "discount", "tax", "size", "ship_days")
 CATEGORICAL = ("brand", "type", "name")
@@ -15,7 +15,7 @@ CATEGORICAL = ("brand", "type", "name")
 def _offers(spark, folder):
     """Order lines priced by quantity, list price and discount; the list price
     is not a feature and returned lines have no known quantity."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"))
     parts = table(spark, folder, "part")
     price = F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount"))
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)

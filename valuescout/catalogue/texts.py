@@ -22,9 +22,14 @@ from valuescout.operators.langid import keep_language, langid_fit, langid_score,
 from valuescout.operators.rows import split_groups
 from valuescout.operators.sentiment import lexicon_sentiment
 from valuescout.plans.reviews import clean_reviews, cleaning_audit
+from valuescout.session import spread
 
 YEAR = 2025
 
+
+def _documents(spark, folder, *columns):
+    return spread(table(spark, folder, "documents").select(*columns))
+
 # What white space means in the SQL twins; RE2 knows no vertical tab in \s.
 _WS = r"\s\x0b\p{Z}\x{1c}-\x{1f}\x{85}"
 
@@ -71,13 +76,13 @@ SELECT page_id, pos, piece, CAST(regexp_matches(piece, '[A-Za-z]') AS INTEGER) A
 
 
 def looks_english(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder, "doc_id", "lang", "text")
     return docs.select("doc_id", "lang", tx.looks_english("text").cast("int").alias("english"))
 
 
 def _dated_reviews(spark, folder):
     """Documents as raw reviews; the text length picks a day of two years."""
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder, "doc_id", "source", "lang", "text", "n_chars")
     day = F.date_add(F.lit("2024-07-01").cast("date"), (F.col("n_chars") % 700).cast("int"))
     return docs.select(
         F.col("doc_id").alias("id"),
@@ -126,7 +131,7 @@ FROM counts, range(0, 4) t(i)"""
 
 
 def sentiment_scores(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder, "doc_id", "text")
     return lexicon_sentiment(docs, "doc_id", "text", sentiment_lexicon(spark))
 
 
@@ -193,7 +198,11 @@ FROM scores JOIN labels USING (doc_id) GROUP BY toxic"""
 
 
 def _profile(spark, folder):
-    return langid_fit(table(spark, folder, "documents"), "text", "lang")
+    return langid_fit(_documents(spark, folder, "text", "lang"), "text", "lang")
+
+
+def _languages(spark, folder):
+    return profile_languages(table(spark, folder, "documents").select("lang"))
 
 
 def langid_profile(spark, folder):
@@ -227,9 +236,9 @@ found AS (
 
 
 def langid_confusion(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder, "doc_id", "lang", "text")
     profile = _profile(spark, folder)
-    scored = langid_score(docs, ["doc_id", "lang"], "text", profile, profile_languages(docs))
+    scored = langid_score(docs, ["doc_id", "lang"], "text", profile, _languages(spark, folder))
     return scored.groupBy("lang", "lang_found").agg(F.count("*").alias("n"))
 
 
@@ -240,9 +249,9 @@ GROUP BY d.lang, lang_found"""
 
 
 def english_only(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder, "doc_id", "lang", "text", "n_chars")
     profile = _profile(spark, folder)
-    kept = keep_language(docs, "doc_id", "text", profile, profile_languages(docs), "en")
+    kept = keep_language(docs, "doc_id", "text", profile, _languages(spark, folder), "en")
     return kept.select("doc_id", "lang", "n_chars")
 
 
@@ -255,16 +264,14 @@ def _english_reviews(spark, folder):
     """English documents, labelled by whether their source is little rated:
     its number of labelled texts is below the median source's."""
     docs = table(spark, folder, "documents")
-    reviews = docs.select(
-        F.col("doc_id").alias("id"),
-        valid_id(F.regexp_extract("source", "^src([0-9]+)$", 1)).alias("listing_id"),
-        "text",
-        "lang",
-    )
+    listing = valid_id(F.regexp_extract("source", "^src([0-9]+)$", 1)).alias("listing_id")
+    reviews = docs.select(F.col("doc_id").alias("id"), listing)
     rated = table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
     flags = exposure.low_exposure(exposure.review_counts(reviews.join(rated, "id")))
     hidden = flags.filter(F.col("is_hidden") == 1)
-    english = reviews.filter(F.col("lang") == "en").drop("lang")
+    english = spread(docs.filter(F.col("lang") == "en")).select(
+        F.col("doc_id").alias("id"), listing, "text"
+    )
     return split_groups(english, hidden, "listing_id", "group", "hidden", "other")
 
 
@@ -286,7 +293,7 @@ def split(spark, folder):
 
 
 def token_counts(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", tx.tokens("text").alias("t"))
+    docs = _documents(spark, folder, "doc_id", "text").select("doc_id", tx.tokens("text").alias("t"))
     return docs.select("doc_id", F.posexplode("t").alias("pos", "token"))
 
 

@@ -1,10 +1,11 @@
 """Small default dictionaries, as DataFrames.
 
 Each one is only a starting point: every operator takes the dictionary as an
-input table, so a full lexicon can be passed instead. Spark copies a
-dictionary to all tasks when its size allows and joins by shuffle otherwise.
+input table, so a full lexicon can be passed instead. The operators count a
+dictionary and copy it to all tasks if it is small; else they join by shuffle.
 """
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Word -> valence on the -4..4 scale of rated sentiment lexicons.
@@ -131,13 +132,18 @@ def lemma_rows(lemmas=LEMMAS):
     return [(word, tag, lemma) for (word, tag), lemma in lemmas.items()]
 
 
+def _local(spark, rows, names) -> DataFrame:
+    """A table the planner knows the size of, unlike one built from a list."""
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows))))))
+
+
 def sentiment_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(VALENCE.items()), "word string, valence double")
+    return _local(spark, VALENCE.items(), ("word", "valence"))
 
 
 def tag_dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(tag_rows(), "word string, tag string")
+    return _local(spark, tag_rows(), ("word", "tag"))
 
 
 def lemma_dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(lemma_rows(), "word string, tag string, lemma string")
+    return _local(spark, lemma_rows(), ("word", "tag", "lemma"))

@@ -29,13 +29,16 @@ def meaningful(c) -> Column:
 
 def looks_english(c, words=COMMON_ENGLISH_WORDS) -> Column:
     """Mostly a-z letters, and either a common word or five plain words."""
-    text = F.lower(_col(c))
-    latin = F.length(F.regexp_replace(text, "[^a-z]+", ""))
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    common = text.rlike(r"(?<![a-z'])(?:" + "|".join(words) + r")(?![a-z'])")
-    five_words = text.rlike(r"^[^a-z']*(?:[a-z][a-z']*[^a-z']+){4}[a-z]")
-    verdict = text.rlike("[a-z']") & (latin * 5 >= letters * 4) & (common | five_words)
-    return F.coalesce(verdict, F.lit(False))
+    common = r"(?<![a-z'])(?:" + "|".join(words) + r")(?![a-z'])"
+
+    def verdict(text):
+        latin = F.length(F.regexp_replace(text, "[^a-z]+", ""))
+        letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+        five_words = text.rlike(r"^[^a-z']*(?:[a-z][a-z']*[^a-z']+){4}[a-z]")
+        return (text.rlike(common) | five_words) & (latin * 5 >= letters * 4)
+
+    # The lambda binds the lower-cased text, which is so made once per row.
+    return F.coalesce(F.transform(F.array(F.lower(_col(c))), verdict)[0], F.lit(False))
 
 
 def tokens(c) -> Column:

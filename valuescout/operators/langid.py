@@ -73,8 +73,8 @@ def langid_score(
         ]
     )
     slots = [f"_s{i}" for i in range(len(languages))]
-    whole = df.sparkSession.createDataFrame(
-        [(_WHOLE, *[0.0] * len(slots))], "gram string, " + ", ".join(f"{s} double" for s in slots)
+    whole = df.sparkSession.range(1).select(
+        F.lit(_WHOLE).alias("gram"), *[F.lit(0.0).alias(s) for s in slots]
     )
     cells = F.concat(grams(text, sizes), F.array(F.lit(_WHOLE)))
     sums = (

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from valuescout.constants import CLOUD_PHRASES, DOMAIN_NOISE_WORDS, ENGLISH_STOPWORDS, TOP_PHRASES
 from valuescout.dictionaries import ENDINGS
 from valuescout.functions.text import tokens, valid_word
+from valuescout.operators.rows import copy_if_small
 
 STOPWORDS = (*ENGLISH_STOPWORDS, *DOMAIN_NOISE_WORDS)
 
@@ -32,11 +33,18 @@ def noun_lemma(word: Column) -> Column:
 
 def word_table(tag_dict: DataFrame, lemma_dict: DataFrame) -> DataFrame:
     """(word, tag, adj_lemma, noun_lemma): one row per listed word."""
-    lemmas = lemma_dict.groupBy("word").agg(
-        F.max(F.when(F.col("tag") == "ADJ", F.col("lemma"))).alias("adj_lemma"),
-        F.max(F.when(F.col("tag") == "NOUN", F.col("lemma"))).alias("noun_lemma"),
+    none = F.lit(None).cast("string")
+    tags = tag_dict.select("word", "tag", none.alias("a"), none.alias("n"))
+    lemmas = lemma_dict.select(
+        "word",
+        none.alias("tag"),
+        F.when(F.col("tag") == "ADJ", F.col("lemma")).alias("a"),
+        F.when(F.col("tag") == "NOUN", F.col("lemma")).alias("n"),
+    )
+    both = tags.unionByName(lemmas).groupBy("word")
+    return both.agg(
+        F.max("tag").alias("tag"), F.max("a").alias("adj_lemma"), F.max("n").alias("noun_lemma")
     )
-    return tag_dict.join(lemmas, "word", "full")
 
 
 def tag_tokens(df: DataFrame, keys, text, tag_dict: DataFrame) -> DataFrame:
@@ -45,7 +53,7 @@ def tag_tokens(df: DataFrame, keys, text, tag_dict: DataFrame) -> DataFrame:
     laid_out = df.select(*keys, F.posexplode(tokens(text)).alias("pos", "token"))
     word = F.lower("token")
     joined = laid_out.withColumn("_w", word).join(
-        tag_dict.select(F.col("word").alias("_w"), "tag"), "_w", "left"
+        copy_if_small(tag_dict.select(F.col("word").alias("_w"), "tag")), "_w", "left"
     )
     tag = F.coalesce("tag", ending_tag(F.col("_w")))
     return joined.select(*keys, "pos", "token", tag.alias("tag"))
@@ -57,7 +65,7 @@ def lemmatize(df: DataFrame, lemma_dict: DataFrame, word="token", tag="tag") ->
         F.col("word").alias("_w"), F.col("tag").alias("_t"), F.col("lemma").alias("_l")
     )
     lower = F.lower(word)
-    joined = df.join(listed, (lower == F.col("_w")) & (F.col(tag) == F.col("_t")), "left")
+    joined = df.join(copy_if_small(listed), (lower == F.col("_w")) & (F.col(tag) == F.col("_t")), "left")
     regular = F.when(F.col(tag) == "NOUN", noun_lemma(lower)).otherwise(lower)
     return joined.withColumn("lemma", F.coalesce("_l", regular)).drop("_w", "_t", "_l")
 
@@ -85,7 +93,7 @@ def phrases(df: DataFrame, by, text, tag_dict, lemma_dict, stopwords=STOPWORDS)
     and nouns with at least one of each; a triple also gives its pairs."""
     by = [by] if isinstance(by, str) else list(by)
     windows = phrase_windows(df, by, text, stopwords)
-    listed = word_table(tag_dict, lemma_dict)
+    listed = copy_if_small(word_table(tag_dict, lemma_dict))
     for i in (1, 2, 3):
         side = listed.select(
             F.col("word").alias(f"w{i}"),

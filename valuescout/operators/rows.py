@@ -5,11 +5,34 @@ from pyspark.sql import DataFrame, functions as F
 from valuescout.functions.ids import valid_id
 
 
+# Tables up to this many rows may be copied to every task.
+SMALL_ROWS = 500_000
+
+
+def copy_if_small(df: DataFrame, rows=SMALL_ROWS) -> DataFrame:
+    """Ask for a copy of `df` in every task if it is small (counts it).
+
+    A join of wide or exploded rows with a small table then needs no shuffle.
+    A bigger table gets no hint: both sides are shuffled by the key, and
+    adaptive execution splits the partitions of hot keys.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def keep_valid_ids(df: DataFrame, key) -> DataFrame:
     """Normalise `key` and drop the rows whose id is corrupt."""
     return df.withColumn(key, valid_id(key)).filter(F.col(key).isNotNull())
 
 
+def evaluate_once(df: DataFrame, name, value) -> DataFrame:
+    """Add a costly column that later filters read.
+
+    The optimizer would put a plain column's expression into each filter and
+    compute it again there; it leaves the output of a one-row generator alone.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def distinct_ids(df: DataFrame, key) -> DataFrame:
     """The valid ids, once each; only `key` is read from the source."""
     return keep_valid_ids(df.select(key), key).distinct()
@@ -32,16 +55,18 @@ def keep_members(df: DataFrame, ids: DataFrame, key) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def member_flag(df: DataFrame, ids: DataFrame, key, name) -> DataFrame:
-    """0/1 column: is the key among `ids`? No row is lost or doubled."""
+def member_flag(df: DataFrame, ids: DataFrame, key, name, check_size=False) -> DataFrame:
+    """0/1 column: is the key among `ids`? No row is lost or doubled. With
+    `check_size` the ids are counted first, to spare wide rows a shuffle."""
     marked = ids.select(key).distinct().withColumn("_member", F.lit(1))
+    marked = copy_if_small(marked) if check_size else marked
     joined = df.join(marked, key, "left")
     return joined.withColumn(name, F.coalesce("_member", F.lit(0))).drop("_member")
 
 
 def split_groups(df: DataFrame, ids: DataFrame, key, name="group", inside="in", outside="out"):
     """Label rows by membership, so both groups go through one plan."""
-    flagged = member_flag(df, ids, key, "_inside")
+    flagged = member_flag(df, ids, key, "_inside", check_size=True)
     label = F.when(F.col("_inside") == 1, inside).otherwise(outside)
     return flagged.withColumn(name, label).drop("_inside")
 

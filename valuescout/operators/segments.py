@@ -78,9 +78,11 @@ def kmeans_sweep(
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
     try:
-        spread = rows.agg(*[F.var_pop(c) for c in columns]).first()
-        still = tol * float(np.mean(list(spread)))
-        sample = _seeding_sample(rows, columns, seed)
+        n, *variances = rows.agg(F.count("*"), *[F.var_pop(c) for c in columns]).first()
+        if not n:
+            raise ValueError("no rows to cluster")
+        still = tol * float(np.mean(variances))
+        sample = _seeding_sample(rows, n, seed)
         active = {}
         for k in ks:
             for start in range(restarts if k > 1 else 1):
@@ -109,14 +111,11 @@ def kmeans_sweep(
     return [best[k] for k in sorted(best)]
 
 
-def _seeding_sample(rows, columns, seed):
-    """Start points come from a uniform sample of fixed size, or from all rows
-    where there are no more than that."""
-    drawn = rows.orderBy(F.xxhash64(*columns, F.lit(seed))).limit(_SEEDING_ROWS)
-    points = drawn.toPandas().to_numpy(dtype="float64")
-    if not len(points):
-        raise ValueError("no rows to cluster")
-    return points
+def _seeding_sample(rows, n, seed):
+    """Start points come from about 10,000 rows drawn evenly, or from all rows
+    where there are no more than that; every pass then reads all rows."""
+    drawn = rows if n <= _SEEDING_ROWS else rows.sample(_SEEDING_ROWS / n, seed)
+    return drawn.toPandas().to_numpy(dtype="float64")
 
 
 def _plus_plus(points, k, rng):

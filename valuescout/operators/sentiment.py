@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from valuescout.dictionaries import DEGREE, NEGATORS
 from valuescout.functions.text import words
+from valuescout.operators.rows import copy_if_small
 
 # The empirical constants of the published rule set.
 DEGREE_STEP = 0.293
@@ -52,8 +53,8 @@ def lexicon_sentiment(
     """(keys, score in -1..1), one row per key; blank texts score 0.
 
     Every word carries its neighbours along when the text is laid out, so the
-    rules need no window and no sort. Words join a dictionary that Spark can
-    copy to all tasks, and one partial sum per text is all that is shuffled.
+    rules need no window and no sort. The lexicon is counted; a small one is
+    copied to all tasks, and one partial sum per text is all that is shuffled.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -92,12 +93,9 @@ def lexicon_sentiment(
         )
         .filter(F.col("_w").isNotNull())
     )
-    spark = df.sparkSession
     entries = lexicon.select(F.col("word").alias("_word"), F.col("valence").alias("_valence"))
-    entries = entries.unionByName(
-        spark.createDataFrame([(_WHOLE, 0.0)], "_word string, _valence double")
-    )
-    hits = laid_out.join(entries, "_word").select(
+    whole = df.sparkSession.range(1).select(F.lit(_WHOLE).alias("_word"), F.lit(0.0).alias("_valence"))
+    hits = laid_out.join(copy_if_small(entries.unionByName(whole)), "_word").select(
         *keys, "_bang", "_ask", _adjusted(F.col("_valence"), degree, negators).alias("_s")
     )
     sums = hits.groupBy(*keys).agg(

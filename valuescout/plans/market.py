@@ -10,6 +10,7 @@ from valuescout.plans.phrases import contrast_phrases
 from valuescout.plans.pricing import fair_price
 from valuescout.plans.reviews import clean_reviews, exposure_and_rate, listing_facts
 from valuescout.plans.segments import enrich, profile_segments, segment, validate_segments
+from valuescout.session import spread
 from valuescout.sources.csv import clean_na, scan_csv_text, with_file_order
 from valuescout.sources.schemas import RAW_LISTING_COLUMNS
 from valuescout.sources.sinks import save_model, write_csv, write_table
@@ -39,7 +40,9 @@ def run_market(
         write_table(df, f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    raw_reviews = scan_csv_text(spark, reviews_path, ["listing_id", "id", "date", "comments"])
+    raw_reviews = spread(
+        scan_csv_text(spark, reviews_path, ["listing_id", "id", "date", "comments"])
+    )
     reviews = stage(clean_reviews(raw_reviews, year), "reviews_clean")
     facts = stage(listing_facts(reviews, "id", lexicon), "listing_facts")
 

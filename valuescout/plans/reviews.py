@@ -6,7 +6,7 @@ from valuescout.constants import POSITIVE_THRESHOLD
 from valuescout.functions.text import looks_english, meaningful, normalize_text
 from valuescout.functions.values import in_year, to_date
 from valuescout.operators.exposure import low_exposure, review_facts
-from valuescout.operators.rows import audit
+from valuescout.operators.rows import audit, evaluate_once
 from valuescout.operators.sentiment import add_score, lexicon_sentiment
 
 
@@ -25,15 +25,15 @@ def clean_reviews(df: DataFrame, year, date="date", text="comments") -> DataFram
     The cheap date test comes first, so the text is touched for few rows.
     """
     df = df.withColumn(date, to_date(date)).filter(in_year(date, year))
-    df = df.withColumn("comments_clean", normalize_text(text))
+    df = evaluate_once(df, "comments_clean", normalize_text(text))
     return df.filter(meaningful("comments_clean")).filter(looks_english("comments_clean"))
 
 
 def cleaning_audit(df: DataFrame, year, date="date", text="comments") -> DataFrame:
     """(ord, step, n_rows, n_dropped) of `clean_reviews`."""
-    prepared = df.select(
-        to_date(date).alias("date"), normalize_text(text).alias("comments_clean")
-    )
+    dated = df.select(to_date(date).alias("date"), text)
+    wanted = F.when(in_year("date", year), normalize_text(text))
+    prepared = evaluate_once(dated, "comments_clean", wanted)
     return audit(prepared, _steps(year))
 
 

@@ -11,6 +11,7 @@ def local_session(app="valuescout", cpus="*", memory="8g"):
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
@@ -40,3 +41,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a scan with few splits.
+
+    A table of a few files or row groups is read by a few tasks, and whatever
+    follows without a shuffle stays in them. Where there are at least as many
+    splits as cores, as in any big table, the scan is left as it is. Meant for
+    plain scans: counting their splits plans the scan and runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
