@@ -115,19 +115,26 @@ def _seeding_sample(rows, n, seed):
     """Start points come from about 10,000 rows drawn evenly, or from all rows
     where there are no more than that; every pass then reads all rows."""
     drawn = rows if n <= _SEEDING_ROWS else rows.sample(_SEEDING_ROWS / n, seed)
-    return drawn.toPandas().to_numpy(dtype="float64")
+    points = drawn.toPandas().to_numpy(dtype="float64")
+    return points[np.lexsort(points.T)]
 
 
 def _plus_plus(points, k, rng):
     """Each next centre is drawn in proportion to the squared distance from
-    the centres so far (Arthur & Vassilvitskii 2007)."""
+    the centres so far (Arthur & Vassilvitskii 2007); of a few draws the one
+    that leaves the least total distance is taken."""
     centers = [points[rng.integers(len(points))]]
     nearest = ((points - centers[0]) ** 2).sum(axis=1)
+    draws = 2 + int(np.log(k))
     while len(centers) < k:
         total = nearest.sum()
         weights = nearest / total if total > 0 else None
-        centers.append(points[rng.choice(len(points), p=weights)])
-        nearest = np.minimum(nearest, ((points - centers[-1]) ** 2).sum(axis=1))
+        options = []
+        for i in rng.choice(len(points), size=draws, p=weights):
+            left = np.minimum(nearest, ((points - points[i]) ** 2).sum(axis=1))
+            options.append((left.sum(), i, left))
+        _, chosen, nearest = min(options, key=lambda option: option[:2])
+        centers.append(points[chosen])
     return np.array(centers)
 
 
