@@ -66,34 +66,37 @@ def test_result_does_not_depend_on_partitioning(spark):
     assert found(1) == found(13)
 
 
-def test_hot_listing_is_split(spark):
-    """A third of all reviews on one listing: the membership join, when too
-    big to copy one side, splits the hot partition."""
+def test_hot_listing_is_spread(spark):
+    """A third of all reviews on one listing: where the ids are too many to
+    copy, no task of the membership join gets more than its share."""
     from valuescout.operators.rows import member_flag
 
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+        "spark.sql.adaptive.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        reviews = spark.range(400_000).repartition(8).select(
+        reviews = spark.range(240_000).select(
+            "id",
             F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("listing_id"),
-            F.md5(F.col("id").cast("string")).alias("text"),
         )
-        ids = spark.range(0, 400_000, 5).select(F.col("id").cast("string").alias("listing_id"))
-        ids = ids.unionByName(spark.createDataFrame([("7",)], "listing_id string"))
-        flagged = member_flag(reviews, ids, "listing_id", "inside")
-        rows = flagged.collect()
-        assert len(rows) == 400_000
-        assert sum(r["inside"] for r in rows) == 133_334 + 1 + sum(1 for i in range(0, 400_000, 5) if i % 3)
-        assert "skew=true" in flagged._jdf.queryExecution().executedPlan().toString()
+        ids = spark.range(0, 240_000, 5).select(F.col("id").cast("string").alias("listing_id"))
+        ids = ids.unionByName(spark.range(7, 8).select(F.col("id").cast("string").alias("listing_id")))
+        wanted = 80_000 + 1 + sum(1 for i in range(0, 240_000, 5) if i % 3)
+        sizes = {}
+        for rows in (0, 10**6):
+            flagged = member_flag(reviews, ids, "listing_id", "inside", "id", rows)
+            assert flagged.columns == ["listing_id", "id", "inside"]
+            per_task = flagged.groupBy(F.spark_partition_id()).agg(
+                F.count("*").alias("n"), F.sum("inside").alias("inside")
+            ).collect()
+            assert sum(r["n"] for r in per_task) == 240_000
+            assert sum(r["inside"] for r in per_task) == wanted
+            sizes[rows] = max(r["n"] for r in per_task)
+        assert sizes[0] < 240_000 / 8 * 1.7
     finally:
         for key, value in before.items():
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)

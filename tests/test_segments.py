@@ -91,7 +91,7 @@ def test_kmeans(spark):
     points, df = _blobs(spark)
     scaled = sg.standardize(df, ["x", "y"])
     columns = ["z_x", "z_y"]
-    found = sg.kmeans_sweep(scaled, columns, ks=(1, 2, 3, 4), restarts=5)
+    found = sg.kmeans_sweep(scaled, columns, ks=(1, 2, 3, 4))
     sse = {s.k: s.sse for s in found}
     assert sse[1] == pytest.approx(2 * len(points))
     assert sse[1] > sse[2] > sse[3] > sse[4]

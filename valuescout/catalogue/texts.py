@@ -272,7 +272,7 @@ def _english_reviews(spark, folder):
     english = spread(docs.filter(F.col("lang") == "en")).select(
         F.col("doc_id").alias("id"), listing, "text"
     )
-    return split_groups(english, hidden, "listing_id", "group", "hidden", "other")
+    return split_groups(english, hidden, "listing_id", "group", "hidden", "other", "id")
 
 
 _SQL_GROUPS = """

@@ -9,12 +9,14 @@ from valuescout.functions.ids import valid_id
 SMALL_ROWS = 500_000
 
 
+SALTS = 16
+
+
 def copy_if_small(df: DataFrame, rows=SMALL_ROWS) -> DataFrame:
     """Ask for a copy of `df` in every task if it is small (counts it).
 
     A join of wide or exploded rows with a small table then needs no shuffle.
-    A bigger table gets no hint: both sides are shuffled by the key, and
-    adaptive execution splits the partitions of hot keys.
+    A bigger table gets no hint, and both sides are shuffled by the key.
     """
     return F.broadcast(df) if df.count() <= rows else df
 
@@ -55,18 +57,31 @@ def keep_members(df: DataFrame, ids: DataFrame, key) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def member_flag(df: DataFrame, ids: DataFrame, key, name, check_size=False) -> DataFrame:
-    """0/1 column: is the key among `ids`? No row is lost or doubled. With
-    `check_size` the ids are counted first, to spare wide rows a shuffle."""
-    marked = ids.select(key).distinct().withColumn("_member", F.lit(1))
-    marked = copy_if_small(marked) if check_size else marked
-    joined = df.join(marked, key, "left")
-    return joined.withColumn(name, F.coalesce("_member", F.lit(0))).drop("_member")
-
+def member_flag(df: DataFrame, ids: DataFrame, key, name, spread_by=None, rows=SMALL_ROWS):
+    """0/1 column: is the key among `ids`? No row is lost or doubled.
 
-def split_groups(df: DataFrame, ids: DataFrame, key, name="group", inside="in", outside="out"):
+    For wide rows or hot keys name a column that differs within a key, such as
+    the review id, in `spread_by`. The ids are then counted: a small set is
+    copied to all tasks, and for a big one each key is spread over several
+    tasks, which all get that key's id.
+    """
+    marked = ids.select(key).distinct().withColumn("_member", F.lit(1))
+    on = [key]
+    if spread_by is not None and marked.count() <= rows:
+        marked = F.broadcast(marked)
+    elif spread_by is not None:
+        on = [key, "_salt"]
+        marked = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    joined = df.join(marked, on, "left")
+    return joined.withColumn(name, F.coalesce("_member", F.lit(0))).drop("_member", "_salt")
+
+
+def split_groups(
+    df: DataFrame, ids: DataFrame, key, name="group", inside="in", outside="out", spread_by=None
+):
     """Label rows by membership, so both groups go through one plan."""
-    flagged = member_flag(df, ids, key, "_inside", check_size=True)
+    flagged = member_flag(df, ids, key, "_inside", spread_by)
     label = F.when(F.col("_inside") == 1, inside).otherwise(outside)
     return flagged.withColumn(name, label).drop("_inside")
 

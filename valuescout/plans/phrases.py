@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from valuescout.operators import phrases as ops
+from valuescout.operators.exposure import review_counts
 from valuescout.operators.langid import keep_language, profile_languages
 from valuescout.operators.rows import keep_valid_ids, split_groups
 
@@ -25,12 +26,12 @@ def contrast_phrases(
     if profile is not None:
         languages = profile_languages(profile)
         reviews = keep_language(reviews, review_key, text, profile, languages, language)
-    grouped = split_groups(reviews, ids, "listing_id")
+    grouped = split_groups(reviews, ids, "listing_id", spread_by=review_key)
     counts = ops.phrase_counts(grouped, "group", text, tag_dict, lemma_dict)
     return ops.top_phrases(counts, "group", top)
 
 
 def group_sizes(reviews: DataFrame, ids: DataFrame) -> DataFrame:
-    """(group, n_reviews)."""
-    grouped = split_groups(keep_valid_ids(reviews.select("listing_id"), "listing_id"), ids, "listing_id")
-    return grouped.groupBy("group").agg(F.count("*").alias("n_reviews"))
+    """(group, n_reviews), counted per listing before the groups are known."""
+    grouped = split_groups(review_counts(reviews), ids, "listing_id")
+    return grouped.groupBy("group").agg(F.sum("review_count").alias("n_reviews"))
