@@ -23,7 +23,7 @@ def test_same_as_sql(spark, con, name):
 def test_names():
     assert set(SQL) <= set(QUERIES)
     for query in QUERIES.values():
-        assert list(inspect.signature(query).parameters) == ["spark", "folder"]
+        assert list(inspect.signature(query).parameters) == ["spark", "sf_dir"]
 
 
 def test_entry(spark):

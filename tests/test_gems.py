@@ -44,6 +44,18 @@ def test_find_gems(spark):
                                         "predicted_price", "discount_pct", "in_test_set"}
 
 
+def test_published_discounts(spark):
+    """Price and prediction of three published finds give their discounts."""
+    cases = [("1314863", 20.0, 99.98085906052208, 0.7999617107921301),
+             ("1348401543407999020", 20.0, 93.38923961813153, 0.7858425651415519),
+             ("9671847", 72.0, 292.6348117624253, 0.7539595526370493)]
+    joined = spark.createDataFrame([(i, 1, 1.0, p, q, 1) for i, p, q, _ in cases],
+                                   "listing_id string, is_hidden int, positive_rate double, price_clean double, "
+                                   "predicted_price double, in_test_set int")
+    got = {r["listing_id"]: r["discount_pct"] for r in fn.select_gems(joined).collect()}
+    assert got == {i: d for i, _, _, d in cases}
+
+
 def test_funnel(spark):
     joined = fn.join_signals(*_signals(spark))
     table = fn.funnel(joined).orderBy("ord").collect()

@@ -66,3 +66,16 @@ def test_words_stay_whole_texts(spark):
     df = spark.createDataFrame([(1, "word " * 50000 + "wonderful")], "id int, t string")
     score = lexicon_sentiment(df, "id", "t", sentiment_lexicon(spark)).first()["sentiment_vader"]
     assert score > 0.5
+
+
+def test_copies_are_counted(spark):
+    """Copies of one review, more than a third of all rows, each count."""
+    from valuescout.operators.exposure import review_facts
+    rows = [("7", "1", "good place")] * 40 + [("7", "2", "bad"), ("7", "3", ""), ("8", "4", "good"), ("8", "4", "bad")]
+    df = spark.createDataFrame(rows, "listing_id string, id string, t string").repartition(5)
+    scores = lexicon_sentiment(df, ["listing_id", "id"], "t", sentiment_lexicon(spark), count="n").cache()
+    got = sorted((r["id"], r["n"], round(r["sentiment_vader"] - expected("good place"), 4) == 0) for r in scores.collect())
+    assert got == [("1", 40, True), ("2", 1, False), ("3", 1, False), ("4", 1, False), ("4", 1, True)]
+    facts = {r["listing_id"]: (r["review_count"], r["positive_rate"])
+             for r in review_facts(scores, threshold=0.4, count="n").collect()}
+    assert facts == {"7": (42, 40 / 42), "8": (2, 0.5)}

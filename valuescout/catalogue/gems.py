@@ -28,36 +28,36 @@ def _rounded(df, *columns, places=6):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def review_counts(spark, folder):
-    return exposure.review_counts(reviews(spark, folder))
+def review_counts(spark, sf_dir):
+    return exposure.review_counts(reviews(spark, sf_dir))
 
 
-def hidden_flag(spark, folder):
-    counts = exposure.review_counts(reviews(spark, folder))
+def hidden_flag(spark, sf_dir):
+    counts = exposure.review_counts(reviews(spark, sf_dir))
     return exposure.low_exposure(counts).select("listing_id", "is_hidden")
 
 
-def positive_rate(spark, folder):
-    rates = exposure.positive_rate(reviews(spark, folder), "listing_id", "score", POSITIVE_VALUE)
+def positive_rate(spark, sf_dir):
+    rates = exposure.positive_rate(reviews(spark, sf_dir), "listing_id", "score", POSITIVE_VALUE)
     return _rounded(rates, "positive_rate")
 
 
-def listing_facts(spark, folder):
-    return _rounded(facts(spark, folder), "positive_rate")
+def listing_facts(spark, sf_dir):
+    return _rounded(facts(spark, sf_dir), "positive_rate")
 
 
-def train_test_split(spark, folder):
-    return pricing.train_test_flag(listings(spark, folder)).select("id", "in_test_set")
+def train_test_split(spark, sf_dir):
+    return pricing.train_test_flag(listings(spark, sf_dir)).select("id", "in_test_set")
 
 
-def imputed(spark, folder):
+def imputed(spark, sf_dir):
     """Customers without recent reviews and without credit get the medians."""
-    customers = table(spark, folder, "customer").select(
+    customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("listing_id"),
         F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("price_clean"),
     )
     described = customers.join(
-        facts(spark, folder).select("listing_id", "review_count"), "listing_id", "left"
+        facts(spark, sf_dir).select("listing_id", "review_count"), "listing_id", "left"
     )
     return _rounded(median_impute(described, ["price_clean", "review_count"]), "price_clean")
 
@@ -74,8 +74,8 @@ SELECT listing_id,
 FROM described"""
 
 
-def one_hot(spark, folder):
-    return pricing.one_hot_long(listings(spark, folder), "id", "room_type")
+def one_hot(spark, sf_dir):
+    return pricing.one_hot_long(listings(spark, sf_dir), "id", "room_type")
 
 
 ONE_HOT = f"""
@@ -84,8 +84,8 @@ SELECT id, room_type AS level, CAST(1 AS INTEGER) AS value FROM listings
 WHERE room_type <> (SELECT min(room_type) FROM listings)"""
 
 
-def price_metrics(spark, folder):
-    metrics = pricing.price_metrics(predictions(spark, folder))
+def price_metrics(spark, sf_dir):
+    metrics = pricing.price_metrics(predictions(spark, sf_dir))
     return _rounded(metrics, *[c for c in metrics.columns if c not in ("split", "n")], places=4)
 
 
@@ -106,8 +106,8 @@ SELECT split, n, round(rmse_log, 4) AS rmse_log, round(exp(rmse_log), 4) AS exp_
 FROM metrics"""
 
 
-def off_view(spark, folder):
-    return _rounded(pricing.off_view(predictions(spark, folder), VIEW), "pct_outside")
+def off_view(spark, sf_dir):
+    return _rounded(pricing.off_view(predictions(spark, sf_dir), VIEW), "pct_outside")
 
 
 _SQL_OUTSIDE = f"(price_clean NOT BETWEEN {VIEW[0]} AND {VIEW[1]} OR predicted_price NOT BETWEEN {VIEW[0]} AND {VIEW[1]})"
@@ -118,16 +118,16 @@ SELECT count(*) AS n, count(*) FILTER (WHERE {_SQL_OUTSIDE}) AS n_outside,
 FROM predictions WHERE in_test_set = 1"""
 
 
-def joined(spark, folder):
+def joined(spark, sf_dir):
     """Evaluable listings with every signal."""
-    known = facts(spark, folder)
-    return known.join(predictions(spark, folder).withColumnRenamed("id", "listing_id"), "listing_id")
+    known = facts(spark, sf_dir)
+    return known.join(predictions(spark, sf_dir).withColumnRenamed("id", "listing_id"), "listing_id")
 
 
-def gems_join(spark, folder):
-    known = facts(spark, folder)
+def gems_join(spark, sf_dir):
+    known = facts(spark, sf_dir)
     flags, rates = known.select("listing_id", "is_hidden"), known.select("listing_id", "positive_rate")
-    signals = fn.join_signals(flags, rates, predictions(spark, folder))
+    signals = fn.join_signals(flags, rates, predictions(spark, sf_dir))
     return _rounded(
         signals, "positive_rate", "log_price", "predicted_log_price", "predicted_price", "residual"
     )
@@ -141,12 +141,12 @@ SELECT listing_id, is_hidden, round(positive_rate, 6) AS positive_rate, price_cl
 FROM joined"""
 
 
-def _found(spark, folder):
-    return fn.select_gems(joined(spark, folder), MIN_RATE)
+def _found(spark, sf_dir):
+    return fn.select_gems(joined(spark, sf_dir), MIN_RATE)
 
 
-def gems(spark, folder):
-    found = _found(spark, folder).orderBy(F.desc("discount_pct"), "listing_id")
+def gems(spark, sf_dir):
+    found = _found(spark, sf_dir).orderBy(F.desc("discount_pct"), "listing_id")
     return _rounded(found, "positive_rate", "predicted_price", "discount_pct")
 
 
@@ -157,15 +157,15 @@ FROM gems ORDER BY gems.discount_pct DESC, listing_id"""
 GEMS = f"WITH {SQL_GEMS}{_SQL_ROUNDED_GEMS}"
 
 
-def gems_top10(spark, folder):
-    return gems(spark, folder).limit(10)
+def gems_top10(spark, sf_dir):
+    return gems(spark, sf_dir).limit(10)
 
 
 STAGES = ("evaluable", "low exposure", "well reviewed", "underpriced", "out of sample")
 
 
-def funnel(spark, folder):
-    table_ = fn.funnel(joined(spark, folder), fn.criteria(MIN_RATE))
+def funnel(spark, sf_dir):
+    table_ = fn.funnel(joined(spark, sf_dir), fn.criteria(MIN_RATE))
     return table_.select("ord", "stage", "n", F.round("pct_of_base", 6).alias("pct_of_base"))
 
 
@@ -187,8 +187,8 @@ WITH {_SQL_FUNNEL}
 SELECT ord, stage, n, round(n * 100.0::DOUBLE / base, 6) AS pct_of_base FROM stages"""
 
 
-def funnel_retention(spark, folder):
-    table_ = fn.funnel(joined(spark, folder), fn.criteria(MIN_RATE))
+def funnel_retention(spark, sf_dir):
+    table_ = fn.funnel(joined(spark, sf_dir), fn.criteria(MIN_RATE))
     return table_.select("ord", "stage", F.round("retention_pct", 6).alias("retention_pct"))
 
 
@@ -197,14 +197,14 @@ WITH {_SQL_FUNNEL}
 SELECT ord, stage, round(n * 100.0::DOUBLE / before, 6) AS retention_pct FROM stages"""
 
 
-def gems_enrich(spark, folder):
-    described = with_nation(spark, folder, listings(spark, folder)).select(
+def gems_enrich(spark, sf_dir):
+    described = with_nation(spark, sf_dir, listings(spark, sf_dir)).select(
         F.col("id").alias("listing_id"), "room_type", "neighbourhood_cleansed"
     )
-    residuals = predictions(spark, folder).select(
+    residuals = predictions(spark, sf_dir).select(
         F.col("id").alias("listing_id"), F.round("residual", 6).alias("residual")
     )
-    found = _found(spark, folder).select(
+    found = _found(spark, sf_dir).select(
         "listing_id", "price_clean", F.round("discount_pct", 6).alias("discount_pct")
     )
     return found.join(described, "listing_id", "left").join(residuals, "listing_id", "left")

@@ -35,8 +35,8 @@ from valuescout.operators.rows import (
 from valuescout.sources.csv import REJECT, clean_na, parse_lines
 
 
-def scan_clean_na(spark, folder):
-    raw = table(spark, folder, "customer").select(
+def scan_clean_na(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
         F.when(F.col("c_mktsegment") == "BUILDING", "N/A")
         .when(F.col("c_mktsegment") == "MACHINERY", "")
@@ -61,11 +61,11 @@ SELECT id, CASE WHEN name NOT IN ({_TOKENS}) THEN name END AS name,
 FROM raw"""
 
 
-def scan_rejects(spark, folder):
+def scan_rejects(spark, sf_dir):
     """Orders as CSV lines, finished ones with a broken date."""
     schema = T.StructType.fromDDL("key bigint, priority string, day date")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    lines = table(spark, folder, "orders").select(
+    lines = table(spark, sf_dir, "orders").select(
         "o_orderstatus",
         F.concat_ws(
             ",",
@@ -88,9 +88,9 @@ SELECT o_orderstatus, count(*) AS n_rows,
 FROM orders GROUP BY o_orderstatus"""
 
 
-def _dirty_ids(spark, folder):
+def _dirty_ids(spark, sf_dir):
     key = F.col("o_custkey").cast("string")
-    return table(spark, folder, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("  "), key, F.lit(".0 ")))
         .when(F.col("o_orderpriority") == "2-HIGH", F.concat(key, F.lit("x")))
@@ -105,18 +105,18 @@ SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS listing_id FROM orders
 WHERE o_orderpriority NOT IN ('2-HIGH', '3-MEDIUM')"""
 
 
-def valid_ids(spark, folder):
-    return keep_valid_ids(_dirty_ids(spark, folder), "listing_id")
+def valid_ids(spark, sf_dir):
+    return keep_valid_ids(_dirty_ids(spark, sf_dir), "listing_id")
 
 
-def distinct_id_set(spark, folder):
-    return distinct_ids(_dirty_ids(spark, folder), "listing_id")
+def distinct_id_set(spark, sf_dir):
+    return distinct_ids(_dirty_ids(spark, sf_dir), "listing_id")
 
 
-def parsed_prices(spark, folder):
+def parsed_prices(spark, sf_dir):
     money = F.format_number("c_acctbal", 2)
     plain = F.col("c_acctbal").cast("string")
-    raw = table(spark, folder, "customer").select(
+    raw = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
         F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.concat(F.lit("$"), money))
         .when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("€ "), money))
@@ -133,9 +133,9 @@ SELECT c_custkey AS id, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_acctbal END
 FROM customer"""
 
 
-def bathrooms(spark, folder):
+def bathrooms(spark, sf_dir):
     size = F.col("p_size").cast("string")
-    raw = table(spark, folder, "part").select(
+    raw = table(spark, sf_dir, "part").select(
         "p_partkey",
         F.when(F.col("p_type") == "MEDIUM", size)
         .when(F.col("p_type") == "STANDARD", "n/a")
@@ -157,14 +157,14 @@ SELECT p_partkey,
 FROM part"""
 
 
-def truthy_flags(spark, folder):
+def truthy_flags(spark, sf_dir):
     spelled = (
         F.when(F.col("o_orderpriority") == "1-URGENT", " TRUE ")
         .when(F.col("o_orderpriority") == "2-HIGH", "t")
         .when(F.col("o_orderpriority") == "3-MEDIUM", "Yes")
         .when(F.col("o_orderpriority") == "5-LOW", "f")
     )
-    return table(spark, folder, "orders").select("o_orderkey", truthy(spelled).alias("flag"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", truthy(spelled).alias("flag"))
 
 
 TRUTHY_FLAGS = """
@@ -173,12 +173,12 @@ SELECT o_orderkey,
 FROM orders"""
 
 
-def tenure(spark, folder):
+def tenure(spark, sf_dir):
     start = F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd")
     )
     years = tenure_years(start, F.lit("2001-08-02"))
-    return table(spark, folder, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey", F.round(years, 6).alias("host_years")
     )
 
@@ -191,9 +191,9 @@ SELECT o_orderkey,
 FROM orders"""
 
 
-def numeric_cast(spark, folder):
+def numeric_cast(spark, sf_dir):
     flag = F.col("l_returnflag")
-    raw = table(spark, folder, "lineitem").select(
+    raw = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -210,8 +210,8 @@ SELECT l_orderkey, l_linenumber, l_partkey,
 FROM lineitem"""
 
 
-def price_filter(spark, folder):
-    priced = table(spark, folder, "customer").select(
+def price_filter(spark, sf_dir):
+    priced = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("price_clean")
     )
     return priced.filter(F.col("price_clean") > 0).withColumn(
@@ -224,8 +224,8 @@ SELECT c_custkey AS id, c_acctbal AS price_clean, round(ln(c_acctbal), 6) AS log
 FROM customer WHERE c_acctbal > 0"""
 
 
-def first_orders(spark, folder):
-    orders = table(spark, folder, "orders").withColumn(
+def first_orders(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn(
         "_order", F.struct("o_orderdate", "o_orderkey")
     )
     return dedupe_first(orders, "o_custkey", "_order").drop("_order")
@@ -237,9 +237,9 @@ FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"""
 
 
-def listings_semi(spark, folder):
-    reviewed = distinct_ids(reviews(spark, folder), "listing_id").withColumnRenamed("listing_id", "id")
-    return keep_members(listings(spark, folder), reviewed, "id").select("id", "price_clean", "room_type")
+def listings_semi(spark, sf_dir):
+    reviewed = distinct_ids(reviews(spark, sf_dir), "listing_id").withColumnRenamed("listing_id", "id")
+    return keep_members(listings(spark, sf_dir), reviewed, "id").select("id", "price_clean", "room_type")
 
 
 LISTINGS_SEMI = f"""
@@ -248,8 +248,8 @@ SELECT id, price_clean, room_type FROM listings
 WHERE id IN (SELECT listing_id FROM reviews)"""
 
 
-def year_filter(spark, folder):
-    orders = table(spark, folder, "orders").filter(in_year("o_orderdate", 1998))
+def year_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").filter(in_year("o_orderdate", 1998))
     return orders.select("o_orderkey", "o_custkey", "o_orderdate")
 
 
@@ -265,7 +265,7 @@ _LABELS = {
 }
 
 
-def _label_json(spark, folder):
+def _label_json(spark, sf_dir):
     """Part labels as JSON lists, some cut short or wrapped in an object, and
     the JSON objects of the events, which are no lists at all."""
     noun = F.substring_index("p_name", " ", -1)
@@ -273,14 +273,14 @@ def _label_json(spark, folder):
     for word, text in _LABELS.items():
         label = F.when(noun == word, text).otherwise(label)
     as_list = F.to_json(F.array(label, F.col("p_name"), F.initcap("p_type")))
-    parts = table(spark, folder, "part").withColumn("j", as_list).select(
+    parts = table(spark, sf_dir, "part").withColumn("j", as_list).select(
         F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("key"),
         F.when(F.col("p_type") == "PROMO", F.expr("substr(j, 1, length(j) - 2)"))
         .when(F.col("p_type") == "LARGE", F.concat(F.lit('{"k": '), F.col("j"), F.lit("}")))
         .otherwise(F.col("j"))
         .alias("amenities"),
     )
-    events = table(spark, folder, "events").select(
+    events = table(spark, sf_dir, "events").select(
         F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("key"),
         F.col("props").alias("amenities"),
     )
@@ -296,8 +296,8 @@ labels AS (
   FROM part)"""
 
 
-def amenities(spark, folder):
-    raw = _label_json(spark, folder)
+def amenities(spark, sf_dir):
+    raw = _label_json(spark, sf_dir)
     return raw.select("key", amenities_count(parse_amenities("amenities")).alias("amenities_count"))
 
 
@@ -309,8 +309,8 @@ UNION ALL
 SELECT 'event ' || event_id, CAST(0 AS INTEGER) FROM events"""
 
 
-def flagged_amenities(spark, folder):
-    raw = _label_json(spark, folder).withColumn("labels", parse_amenities("amenities"))
+def flagged_amenities(spark, sf_dir):
+    raw = _label_json(spark, sf_dir).withColumn("labels", parse_amenities("amenities"))
     return raw.select("key", *amenity_flags("labels"))
 
 
@@ -327,15 +327,15 @@ UNION ALL
 SELECT 'event ' || event_id, {", ".join("CAST(0 AS INTEGER)" for _ in AMENITY_PATTERNS)} FROM events"""
 
 
-def _listing_facts(spark, folder):
+def _listing_facts(spark, sf_dir):
     """All customers with their review facts; those without reviews have none."""
-    customers = table(spark, folder, "customer").select(
+    customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("listing_id"),
         F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("price_clean"),
         "c_mktsegment",
         "c_nationkey",
     )
-    return customers.join(facts(spark, folder), "listing_id", "left")
+    return customers.join(facts(spark, sf_dir), "listing_id", "left")
 
 
 _SQL_LISTING_FACTS = f"""{SQL_FACTS},
@@ -348,8 +348,8 @@ described AS (
 _FACT_COLUMNS = ("price_clean", "c_mktsegment", "review_count", "positive_rate", "is_hidden")
 
 
-def missing(spark, folder):
-    rates = missing_rates(_listing_facts(spark, folder), _FACT_COLUMNS)
+def missing(spark, sf_dir):
+    rates = missing_rates(_listing_facts(spark, sf_dir), _FACT_COLUMNS)
     return rates.withColumn("pct_missing", F.round("pct_missing", 6))
 
 
@@ -361,8 +361,8 @@ WITH {_SQL_LISTING_FACTS}
     for c in _FACT_COLUMNS)}"""
 
 
-def distinct_neigh(spark, folder):
-    return listings(spark, folder).groupBy("room_type").agg(
+def distinct_neigh(spark, sf_dir):
+    return listings(spark, sf_dir).groupBy("room_type").agg(
         F.count("*").alias("n"), F.countDistinct("nation").alias("n_neighbourhoods")
     )
 
@@ -373,8 +373,8 @@ SELECT room_type, count(*) AS n, count(DISTINCT nation) AS n_neighbourhoods
 FROM listings GROUP BY room_type"""
 
 
-def complete_rows(spark, folder):
-    kept = drop_missing(_listing_facts(spark, folder), ("price_clean", "review_count"))
+def complete_rows(spark, sf_dir):
+    kept = drop_missing(_listing_facts(spark, sf_dir), ("price_clean", "review_count"))
     return kept.select("listing_id", "price_clean", "review_count")
 
 
@@ -384,8 +384,8 @@ SELECT listing_id, price_clean, review_count FROM described
 WHERE price_clean IS NOT NULL AND review_count IS NOT NULL"""
 
 
-def top_n_other(spark, folder):
-    parts = table(spark, folder, "part").select("p_partkey", "p_name")
+def top_n_other(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return fold_top_n(parts, "p_name", 15)
 
 
@@ -396,9 +396,9 @@ SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM top) THEN p_name ELSE
 FROM part"""
 
 
-def reviewed_flag(spark, folder):
-    ids = reviews(spark, folder).withColumnRenamed("listing_id", "id")
-    return member_flag(listings(spark, folder).select("id", "room_type"), ids, "id", "is_reviewed")
+def reviewed_flag(spark, sf_dir):
+    ids = reviews(spark, sf_dir).withColumnRenamed("listing_id", "id")
+    return member_flag(listings(spark, sf_dir).select("id", "room_type"), ids, "id", "is_reviewed")
 
 
 MEMBER_FLAG = f"""

@@ -12,11 +12,11 @@ NUMERIC = ("quantity", "discount", "tax", "size", "ship_days")
 CATEGORICAL = ("brand", "type", "name")
 
 
-def _offers(spark, folder):
+def _offers(spark, sf_dir):
     """Order lines priced by quantity, list price and discount; the list price
     is not a feature and returned lines have no known quantity."""
-    lines = spread(table(spark, folder, "lineitem"))
-    parts = table(spark, folder, "part")
+    lines = spread(table(spark, sf_dir, "lineitem"))
+    parts = table(spark, sf_dir, "part")
     price = F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount"))
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
     return joined.select(
@@ -34,39 +34,39 @@ def _offers(spark, folder):
     )
 
 
-def _fit(spark, folder):
-    return fair_price(_offers(spark, folder), NUMERIC, CATEGORICAL, fold="name")
+def _fit(spark, sf_dir):
+    return fair_price(_offers(spark, sf_dir), NUMERIC, CATEGORICAL, fold="name")
 
 
-def _prepared(spark, folder):
-    split = pricing.train_test_flag(_offers(spark, folder))
+def _prepared(spark, sf_dir):
+    split = pricing.train_test_flag(_offers(spark, sf_dir))
     return cut_lineage(pricing.prepare_features(split, NUMERIC, CATEGORICAL, fold="name"))
 
 
-def price_tree(spark, folder):
+def price_tree(spark, sf_dir):
     """Tree size and error metrics per split."""
-    found = _fit(spark, folder)
+    found = _fit(spark, sf_dir)
     size = [F.lit(v).alias(name) for name, v in found.size.items()]
     return found.metrics.select(*found.metrics.columns, *size)
 
 
-def price_predictions(spark, folder):
-    return _fit(spark, folder).predictions
+def price_predictions(spark, sf_dir):
+    return _fit(spark, sf_dir).predictions
 
 
-def importances(spark, folder):
-    return _fit(spark, folder).importances
+def importances(spark, sf_dir):
+    return _fit(spark, sf_dir).importances
 
 
-def price_cv(spark, folder):
-    prepared = _prepared(spark, folder)
+def price_cv(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
     return pricing.cross_validate(prepared, NUMERIC, CATEGORICAL, depths=(4, 8), leaves=(20, 100))
 
 
-def price_overfit(spark, folder):
+def price_overfit(spark, sf_dir):
     """The chosen tree next to one with no limits to speak of."""
     settings = [("constrained", 8, 20), ("unconstrained", 20, 1)]
-    return pricing.overfit_report(_prepared(spark, folder), NUMERIC, CATEGORICAL, settings)
+    return pricing.overfit_report(_prepared(spark, sf_dir), NUMERIC, CATEGORICAL, settings)
 
 
 QUERIES = {

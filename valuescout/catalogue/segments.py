@@ -17,8 +17,8 @@ def _rounded(df, *columns, places=6):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def standardize(spark, folder):
-    scaled = sg.standardize(segment_inputs(spark, folder), VARIABLES)
+def standardize(spark, sf_dir):
+    scaled = sg.standardize(segment_inputs(spark, sf_dir), VARIABLES)
     names = [f"z_{c}" for c in VARIABLES]
     return _rounded(scaled.select("listing_id", *names), *names)
 
@@ -30,14 +30,14 @@ SELECT listing_id, {", ".join(
 FROM segments"""
 
 
-def _label_centers(spark, folder):
-    vectors = table(spark, folder, "embeddings")
+def _label_centers(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
     means = sg.vector_means(vectors, "label", "embedding")
     return vectors, sg.collect_vector_centers(means, "label")
 
 
-def cluster_means(spark, folder):
-    means = sg.vector_means(table(spark, folder, "embeddings"), "label", "embedding")
+def cluster_means(spark, sf_dir):
+    means = sg.vector_means(table(spark, sf_dir, "embeddings"), "label", "embedding")
     return _rounded(means, "mean")
 
 
@@ -46,9 +46,9 @@ SELECT label, CAST(i - 1 AS INTEGER) AS position, round(avg(CAST(embedding[i] AS
 FROM embeddings, range(1, 65) t(i) GROUP BY label, i"""
 
 
-def assign_sse(spark, folder):
+def assign_sse(spark, sf_dir):
     """Every vector to the nearest of the label means."""
-    vectors, centers = _label_centers(spark, folder)
+    vectors, centers = _label_centers(spark, sf_dir)
     return _rounded(sg.assign_sse(sg.assign_vectors(vectors, centers, "embedding")), "sse", places=4)
 
 
@@ -65,9 +65,9 @@ nearest AS (
 SELECT cluster, count(*) AS n, round(sum(dist2), 4) AS sse FROM nearest GROUP BY cluster"""
 
 
-def assign_regions(spark, folder):
+def assign_regions(spark, sf_dir):
     """Every listing to the nearest of the region means, in two dimensions."""
-    inputs = segment_inputs(spark, folder).select(
+    inputs = segment_inputs(spark, sf_dir).select(
         "listing_id", F.col("cluster").alias("region"), "positive_rate", "discount_pct"
     )
     axes = ["positive_rate", "discount_pct"]
@@ -88,9 +88,9 @@ QUALIFY row_number() OVER (PARTITION BY listing_id
   ORDER BY pow(positive_rate - a, 2) + pow(discount_pct - b, 2), c.region) = 1"""
 
 
-def _partitions(spark, folder):
+def _partitions(spark, sf_dir):
     """Nested partitions of the listings: 1 group, then by room type, nation."""
-    inputs = segment_inputs(spark, folder)
+    inputs = segment_inputs(spark, sf_dir)
     parts = {1: F.lit("all")}
     parts[2] = (F.col("price_clean") > F.col("predicted_price")).cast("string")
     parts[3] = F.col("cluster").cast("string")
@@ -100,8 +100,8 @@ def _partitions(spark, folder):
     return marked, {k: f"_g{k}" for k in parts}
 
 
-def elbow_table(spark, folder):
-    marked, parts = _partitions(spark, folder)
+def elbow_table(spark, sf_dir):
+    marked, parts = _partitions(spark, sf_dir)
     sse = sg.partition_sse(marked, ["positive_rate", "discount_pct"], parts)
     curve = sg.elbow(sse)
     return _rounded(curve, "sse", "gain_pct", "removed_pct", "second_diff", places=4)
@@ -127,9 +127,9 @@ SELECT k, round(sse, 4) AS sse, round(gain_pct, 4) AS gain_pct, round(removed_pc
 FROM curve"""
 
 
-def _external(spark, folder):
+def _external(spark, sf_dir):
     """Inputs with their tertiles; written once, as three passes read them."""
-    inputs = cut_lineage(segment_inputs(spark, folder))
+    inputs = cut_lineage(segment_inputs(spark, sf_dir))
     return tertile(inputs, {"price_tertile": "price_clean", "discount_tertile": "discount_pct"})
 
 
@@ -147,16 +147,16 @@ tables AS ({" UNION ALL ".join(
     f"FROM external GROUP BY ALL" for v in EXTERNALS)})"""
 
 
-def tertiles(spark, folder):
-    return _external(spark, folder).select("listing_id", "price_tertile", "discount_tertile")
+def tertiles(spark, sf_dir):
+    return _external(spark, sf_dir).select("listing_id", "price_tertile", "discount_tertile")
 
 
-def crosstab(spark, folder):
-    return vd.crosstabs(_external(spark, folder), "cluster", EXTERNALS)
+def crosstab(spark, sf_dir):
+    return vd.crosstabs(_external(spark, sf_dir), "cluster", EXTERNALS)
 
 
-def purity(spark, folder):
-    found = vd.agreement(crosstab(spark, folder))
+def purity(spark, sf_dir):
+    found = vd.agreement(crosstab(spark, sf_dir))
     return _rounded(found.select("external_variable", "n_classes", "n", "purity"), "purity")
 
 
@@ -168,8 +168,8 @@ SELECT external_variable, n_classes, CAST(sum(s) AS BIGINT) AS n, round(sum(top)
 FROM tops JOIN classes USING (external_variable) GROUP BY ALL"""
 
 
-def norm_entropy(spark, folder):
-    found = vd.agreement(crosstab(spark, folder))
+def norm_entropy(spark, sf_dir):
+    found = vd.agreement(crosstab(spark, sf_dir))
     return _rounded(found.select("external_variable", "normalized_entropy"), "normalized_entropy")
 
 
@@ -183,12 +183,12 @@ SELECT external_variable, round(sum(-n * ln(p)) / sum(n) / ln(max(k)), 6) AS nor
 FROM shares GROUP BY external_variable"""
 
 
-def perm_baseline(spark, folder):
-    return vd.perm_baseline(crosstab(spark, folder))
+def perm_baseline(spark, sf_dir):
+    return vd.perm_baseline(cut_lineage(crosstab(spark, sf_dir)))
 
 
-def external_validation(spark, folder):
-    return vd.external_validation(_external(spark, folder), "cluster", EXTERNALS)
+def external_validation(spark, sf_dir):
+    return vd.external_validation(_external(spark, sf_dir), "cluster", EXTERNALS)
 
 
 MEANS = (
@@ -201,8 +201,8 @@ MEANS = (
 )
 
 
-def cluster_profile(spark, folder):
-    found = pr.cluster_profile(segment_inputs(spark, folder), MEANS)
+def cluster_profile(spark, sf_dir):
+    found = pr.cluster_profile(segment_inputs(spark, sf_dir), MEANS)
     return _rounded(found, *[name for name, _, _ in MEANS], places=4)
 
 
@@ -213,8 +213,8 @@ SELECT cluster, count(*) AS n_listings,
 FROM segments GROUP BY cluster"""
 
 
-def room_mix(spark, folder):
-    return pr.category_mix(segment_inputs(spark, folder), "room_type")
+def room_mix(spark, sf_dir):
+    return pr.category_mix(segment_inputs(spark, sf_dir), "room_type")
 
 
 ROOM_MIX = f"""
@@ -224,8 +224,8 @@ SELECT cluster, room_type AS category, count(*) AS n,
 FROM segments GROUP BY cluster, room_type"""
 
 
-def top_neigh(spark, folder):
-    return pr.top_per_group(segment_inputs(spark, folder), "neighbourhood_cleansed", 3)
+def top_neigh(spark, sf_dir):
+    return pr.top_per_group(segment_inputs(spark, sf_dir), "neighbourhood_cleansed", 3)
 
 
 TOP_NEIGH = f"""
@@ -235,9 +235,9 @@ SELECT cluster, neighbourhood_cleansed AS category, count(*) AS n,
 FROM segments GROUP BY cluster, neighbourhood_cleansed QUALIFY rank <= 3"""
 
 
-def cluster_z(spark, folder):
+def cluster_z(spark, sf_dir):
     # Two hundredths of a deviation is already far for regions drawn at random.
-    found = pr.cluster_z(segment_inputs(spark, folder), VARIABLES, cap=0.02)
+    found = pr.cluster_z(segment_inputs(spark, sf_dir), VARIABLES, cap=0.02)
     return _rounded(found, "mean", "z", "z_clipped", places=4)
 
 
@@ -255,16 +255,16 @@ SELECT cluster, variable, n, round(mean, 4) AS mean, round(z, 4) AS z,
 FROM z"""
 
 
-def _sweep(spark, folder, ks=KS):
+def _sweep(spark, sf_dir, ks=KS):
     """Scaled listing signals and the best K-means solution per k."""
-    scaled = cut_lineage(sg.standardize(segment_inputs(spark, folder), VARIABLES))
+    scaled = cut_lineage(sg.standardize(segment_inputs(spark, sf_dir), VARIABLES))
     columns = [f"z_{c}" for c in VARIABLES]
     return scaled, columns, sg.kmeans_sweep(scaled, columns, ks)
 
 
-def kmeans_sweep(spark, folder):
+def kmeans_sweep(spark, sf_dir):
     """SSE per k with gains, and the sizes of the clusters found."""
-    scaled, columns, solutions = _sweep(spark, folder)
+    scaled, columns, solutions = _sweep(spark, sf_dir)
     curve = sg.elbow(sg.sse_table(spark, solutions).select("k", "sse"))
     labels = [
         F.struct(
@@ -280,13 +280,13 @@ def kmeans_sweep(spark, folder):
     return curve.join(listed, "k")
 
 
-def kmeans_centroids(spark, folder):
-    scaled, _, solutions = _sweep(spark, folder, (4,))
+def kmeans_centroids(spark, sf_dir):
+    scaled, _, solutions = _sweep(spark, sf_dir, (4,))
     return sg.centroid_table(scaled, VARIABLES, solutions)
 
 
-def silhouette(spark, folder):
-    scaled, columns, solutions = _sweep(spark, folder, (2, 3, 4, 5, 6))
+def silhouette(spark, sf_dir):
+    scaled, columns, solutions = _sweep(spark, sf_dir, (2, 3, 4, 5, 6))
     return sg.silhouette(scaled, columns, solutions)
 
 

@@ -14,27 +14,27 @@ POSITIVE_VALUE = 150000
 MIN_RATE = 0.5
 
 
-def table(spark: SparkSession, folder, name) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reviews(spark, folder):
+def reviews(spark, sf_dir):
     """Orders since 1998: the order value plays the review score."""
-    orders = table(spark, folder, "orders").filter(F.col("o_orderdate") >= SINCE)
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= SINCE)
     return orders.select(
         F.col("o_custkey").cast("string").alias("listing_id"),
         F.col("o_totalprice").alias("score"),
     )
 
 
-def facts(spark, folder):
-    found = review_facts(reviews(spark, folder), "listing_id", "score", POSITIVE_VALUE)
+def facts(spark, sf_dir):
+    found = review_facts(reviews(spark, sf_dir), "listing_id", "score", POSITIVE_VALUE)
     return low_exposure(found)
 
 
-def listings(spark, folder):
+def listings(spark, sf_dir):
     """Customers with a positive balance: the balance plays the price."""
-    priced = table(spark, folder, "customer").filter(F.col("c_acctbal") > 0)
+    priced = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
     return priced.select(
         F.col("c_custkey").cast("string").alias("id"),
         F.col("c_acctbal").alias("price_clean"),
@@ -44,12 +44,12 @@ def listings(spark, folder):
     )
 
 
-def predictions(spark, folder):
-    return mean_price_by(train_test_flag(listings(spark, folder)), "room_type")
+def predictions(spark, sf_dir):
+    return mean_price_by(train_test_flag(listings(spark, sf_dir)), "room_type")
 
 
-def with_nation(spark, folder, df, key="nation"):
-    nation = table(spark, folder, "nation").select(
+def with_nation(spark, sf_dir, df, key="nation"):
+    nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias(key),
         F.col("n_name").alias("neighbourhood_cleansed"),
         F.col("n_regionkey").alias("cluster"),
@@ -57,17 +57,17 @@ def with_nation(spark, folder, df, key="nation"):
     return df.join(nation, key)
 
 
-def segment_inputs(spark, folder):
+def segment_inputs(spark, sf_dir):
     """One row per listing with all signals; the region plays the cluster."""
-    joined = facts(spark, folder).join(
-        predictions(spark, folder).withColumnRenamed("id", "listing_id"), "listing_id"
+    joined = facts(spark, sf_dir).join(
+        predictions(spark, sf_dir).withColumnRenamed("id", "listing_id"), "listing_id"
     )
-    described = listings(spark, folder).select(
+    described = listings(spark, sf_dir).select(
         F.col("id").alias("listing_id"), "room_type", "nation"
     )
     discount = 1 - F.col("price_clean") / F.col("predicted_price")
     full = joined.join(described, "listing_id").withColumn("discount_pct", discount)
-    return with_nation(spark, folder, full)
+    return with_nation(spark, sf_dir, full)
 
 
 # The same adapters in SQL.

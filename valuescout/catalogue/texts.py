@@ -27,8 +27,8 @@ from valuescout.session import spread
 YEAR = 2025
 
 
-def _documents(spark, folder, *columns):
-    return spread(table(spark, folder, "documents").select(*columns))
+def _documents(spark, sf_dir, *columns):
+    return spread(table(spark, sf_dir, "documents").select(*columns))
 
 # What white space means in the SQL twins; RE2 knows no vertical tab in \s.
 _WS = r"\s\x0b\p{Z}\x{1c}-\x{1f}\x{85}"
@@ -54,15 +54,15 @@ def _sql_english(c):
     return f"(len({words}) > 0 AND {latin} * 5 >= {letters} * 4 AND ({common} OR {plain}))"
 
 
-def normalized(spark, folder):
-    return table(spark, folder, "pages").select(
+def normalized(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(
         "page_id", tx.normalize_text("html").alias("text_clean")
     )
 
 
-def meaningful(spark, folder):
+def meaningful(spark, sf_dir):
     """Every word-like piece of a page address, and whether it has a letter."""
-    pieces = table(spark, folder, "pages").select(
+    pieces = table(spark, sf_dir, "pages").select(
         "page_id", F.posexplode(F.split("url", "[/.?=&-]+")).alias("pos", "piece")
     )
     return pieces.withColumn("meaningful", tx.meaningful("piece").cast("int"))
@@ -75,14 +75,14 @@ WITH pieces AS (
 SELECT page_id, pos, piece, CAST(regexp_matches(piece, '[A-Za-z]') AS INTEGER) AS meaningful FROM pieces"""
 
 
-def looks_english(spark, folder):
-    docs = _documents(spark, folder, "doc_id", "lang", "text")
+def looks_english(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "lang", "text")
     return docs.select("doc_id", "lang", tx.looks_english("text").cast("int").alias("english"))
 
 
-def _dated_reviews(spark, folder):
+def _dated_reviews(spark, sf_dir):
     """Documents as raw reviews; the text length picks a day of two years."""
-    docs = _documents(spark, folder, "doc_id", "source", "lang", "text", "n_chars")
+    docs = _documents(spark, sf_dir, "doc_id", "source", "lang", "text", "n_chars")
     day = F.date_add(F.lit("2024-07-01").cast("date"), (F.col("n_chars") % 700).cast("int"))
     return docs.select(
         F.col("doc_id").alias("id"),
@@ -105,8 +105,8 @@ steps AS (
   FROM raw)"""
 
 
-def reviews_clean(spark, folder):
-    cleaned = clean_reviews(_dated_reviews(spark, folder), YEAR)
+def reviews_clean(spark, sf_dir):
+    cleaned = clean_reviews(_dated_reviews(spark, sf_dir), YEAR)
     return cleaned.select("id", "listing_id", "date", "comments_clean")
 
 
@@ -115,8 +115,8 @@ WITH {_SQL_REVIEWS}
 SELECT id, listing_id, date, comments_clean FROM steps WHERE in_year AND has_text AND english"""
 
 
-def audit_reviews(spark, folder):
-    return cleaning_audit(_dated_reviews(spark, folder), YEAR)
+def audit_reviews(spark, sf_dir):
+    return cleaning_audit(_dated_reviews(spark, sf_dir), YEAR)
 
 
 AUDIT_REVIEWS = f"""
@@ -130,8 +130,8 @@ SELECT CAST(i AS INTEGER) AS ord,
 FROM counts, range(0, 4) t(i)"""
 
 
-def sentiment_scores(spark, folder):
-    docs = _documents(spark, folder, "doc_id", "text")
+def sentiment_scores(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return lexicon_sentiment(docs, "doc_id", "text", sentiment_lexicon(spark))
 
 
@@ -179,10 +179,10 @@ scores AS (
   SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS sentiment_vader FROM stressed)"""
 
 
-def sentiment_by_group(spark, folder):
+def sentiment_by_group(spark, sf_dir):
     """Mean score and positive rate of labelled texts, toxic or not."""
-    labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    scored = sentiment_scores(spark, folder).join(labels, "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = sentiment_scores(spark, sf_dir).join(labels, "doc_id")
     return scored.groupBy("toxic").agg(
         F.count("*").alias("n"),
         F.round(F.avg("sentiment_vader"), 6).alias("mean_sentiment"),
@@ -197,16 +197,16 @@ SELECT toxic, count(*) AS n, round(avg(sentiment_vader), 6) AS mean_sentiment,
 FROM scores JOIN labels USING (doc_id) GROUP BY toxic"""
 
 
-def _profile(spark, folder):
-    return langid_fit(_documents(spark, folder, "text", "lang"), "text", "lang")
+def _profile(spark, sf_dir):
+    return langid_fit(_documents(spark, sf_dir, "text", "lang"), "text", "lang")
 
 
-def _languages(spark, folder):
-    return profile_languages(table(spark, folder, "documents").select("lang"))
+def _languages(spark, sf_dir):
+    return profile_languages(table(spark, sf_dir, "documents").select("lang"))
 
 
-def langid_profile(spark, folder):
-    return _profile(spark, folder).withColumn("share", F.round("share", 6))
+def langid_profile(spark, sf_dir):
+    return _profile(spark, sf_dir).withColumn("share", F.round("share", 6))
 
 
 _SQL_GRAMS = r"""
@@ -235,10 +235,10 @@ found AS (
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)"""
 
 
-def langid_confusion(spark, folder):
-    docs = _documents(spark, folder, "doc_id", "lang", "text")
-    profile = _profile(spark, folder)
-    scored = langid_score(docs, ["doc_id", "lang"], "text", profile, _languages(spark, folder))
+def langid_confusion(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "lang", "text")
+    profile = _profile(spark, sf_dir)
+    scored = langid_score(docs, ["doc_id", "lang"], "text", profile, _languages(spark, sf_dir))
     return scored.groupBy("lang", "lang_found").agg(F.count("*").alias("n"))
 
 
@@ -248,10 +248,10 @@ SELECT d.lang, lang_found, count(*) AS n FROM documents d LEFT JOIN found USING
 GROUP BY d.lang, lang_found"""
 
 
-def english_only(spark, folder):
-    docs = _documents(spark, folder, "doc_id", "lang", "text", "n_chars")
-    profile = _profile(spark, folder)
-    kept = keep_language(docs, "doc_id", "text", profile, _languages(spark, folder), "en")
+def english_only(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "lang", "text", "n_chars")
+    profile = _profile(spark, sf_dir)
+    kept = keep_language(docs, "doc_id", "text", profile, _languages(spark, sf_dir), "en")
     return kept.select("doc_id", "lang", "n_chars")
 
 
@@ -260,13 +260,13 @@ WITH {_SQL_LANGID}
 SELECT doc_id, lang, n_chars FROM documents JOIN found USING (doc_id) WHERE lang_found = 'en'"""
 
 
-def _english_reviews(spark, folder):
+def _english_reviews(spark, sf_dir):
     """English documents, labelled by whether their source is little rated:
     its number of labelled texts is below the median source's."""
-    docs = table(spark, folder, "documents")
+    docs = table(spark, sf_dir, "documents")
     listing = valid_id(F.regexp_extract("source", "^src([0-9]+)$", 1)).alias("listing_id")
     reviews = docs.select(F.col("doc_id").alias("id"), listing)
-    rated = table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
+    rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     flags = exposure.low_exposure(exposure.review_counts(reviews.join(rated, "id")))
     hidden = flags.filter(F.col("is_hidden") == 1)
     english = spread(docs.filter(F.col("lang") == "en")).select(
@@ -288,12 +288,12 @@ grouped AS (
   FROM reviews WHERE lang = 'en')"""
 
 
-def split(spark, folder):
-    return _english_reviews(spark, folder).select("id", "listing_id", "group")
+def split(spark, sf_dir):
+    return _english_reviews(spark, sf_dir).select("id", "listing_id", "group")
 
 
-def token_counts(spark, folder):
-    docs = _documents(spark, folder, "doc_id", "text").select("doc_id", tx.tokens("text").alias("t"))
+def token_counts(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", tx.tokens("text").alias("t"))
     return docs.select("doc_id", F.posexplode("t").alias("pos", "token"))
 
 
@@ -326,9 +326,9 @@ def _sql_lemma(word, tag, listed):
     return f"coalesce({listed}, CASE WHEN {tag} = 'NOUN' THEN {noun} ELSE {word} END)"
 
 
-def tagged_counts(spark, folder):
+def tagged_counts(spark, sf_dir):
     """How often each (lemma, tag) occurs per group."""
-    grouped = _english_reviews(spark, folder)
+    grouped = _english_reviews(spark, sf_dir)
     tagged = ph.tag_tokens(grouped, ["id", "group"], "text", tag_dictionary(spark))
     lemmas = ph.lemmatize(tagged, lemma_dictionary(spark))
     return lemmas.groupBy("group", "lemma", "tag").agg(F.count("*").alias("n"))
@@ -346,8 +346,8 @@ based AS (
 SELECT "group", lemma, tag, count(*) AS n FROM based GROUP BY ALL"""
 
 
-def phrase_windows(spark, folder):
-    found = ph.phrase_windows(_english_reviews(spark, folder), "group", "text")
+def phrase_windows(spark, sf_dir):
+    found = ph.phrase_windows(_english_reviews(spark, sf_dir), "group", "text")
     return found.groupBy("group", "w1", "w2").agg(
         F.count("*").alias("n"), F.count("w3").alias("n_triples")
     )
@@ -394,17 +394,17 @@ ranked AS (
   FROM counts)"""
 
 
-def _counts(spark, folder):
-    grouped = _english_reviews(spark, folder)
+def _counts(spark, sf_dir):
+    grouped = _english_reviews(spark, sf_dir)
     return ph.phrase_counts(grouped, "group", "text", tag_dictionary(spark), lemma_dictionary(spark))
 
 
-def phrases_top(spark, folder):
-    return ph.top_phrases(_counts(spark, folder), "group", 10)
+def phrases_top(spark, sf_dir):
+    return ph.top_phrases(_counts(spark, sf_dir), "group", 10)
 
 
-def phrases_weight(spark, folder):
-    weights = ph.phrase_weights(_counts(spark, folder), "group", 100)
+def phrases_weight(spark, sf_dir):
+    weights = ph.phrase_weights(_counts(spark, sf_dir), "group", 100)
     return weights.withColumn("weight", F.round("weight", 6))
 
 
@@ -412,8 +412,8 @@ def phrases_weight(spark, folder):
 THEME = ("thing", "tion", "ing", "tioning", "tionble", "ness", "thble", "inble", "erble")
 
 
-def theme_share(spark, folder):
-    shares = ph.theme_share(_counts(spark, folder), "group", THEME, 50)
+def theme_share(spark, sf_dir):
+    shares = ph.theme_share(_counts(spark, sf_dir), "group", THEME, 50)
     return shares.withColumn("theme_pct", F.round("theme_pct", 6))
 
 
@@ -429,9 +429,9 @@ FROM ranked WHERE rank <= 50 GROUP BY "group\""""
 TOP_SHARED = 500
 
 
-def phrase_ratio(spark, folder):
-    sizes = _english_reviews(spark, folder).groupBy("group").agg(F.count("*").alias("n_reviews"))
-    ratio = ph.phrase_ratio(_counts(spark, folder), sizes, "group", "hidden", "other", TOP_SHARED)
+def phrase_ratio(spark, sf_dir):
+    sizes = _english_reviews(spark, sf_dir).groupBy("group").agg(F.count("*").alias("n_reviews"))
+    ratio = ph.phrase_ratio(_counts(spark, sf_dir), sizes, "group", "hidden", "other", TOP_SHARED)
     return ratio.withColumns({c: F.round(c, 6) for c in ("per_k_a", "per_k_b", "ratio")})
 
 

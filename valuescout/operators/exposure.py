@@ -31,13 +31,19 @@ def positive_rate(
 
 
 def review_facts(
-    scored: DataFrame, key="listing_id", score="sentiment_vader", threshold=POSITIVE_THRESHOLD
+    scored: DataFrame,
+    key="listing_id",
+    score="sentiment_vader",
+    threshold=POSITIVE_THRESHOLD,
+    count=None,
 ) -> DataFrame:
-    """(key, review_count, positive_rate): both facts from one shuffle."""
-    rows = keep_valid_ids(scored.select(key, score), key)
+    """(key, review_count, positive_rate): both facts from one shuffle. Rows
+    that stand for several reviews say how many in column `count`."""
+    number = F.lit(1) if count is None else F.col(count)
+    rows = keep_valid_ids(scored.select(key, score, number.cast("bigint").alias("_n")), key)
+    liked = F.sum(positive(F.col(score), threshold) * F.col("_n"))
     return rows.groupBy(key).agg(
-        F.count("*").alias("review_count"),
-        F.avg(positive(F.col(score), threshold)).alias("positive_rate"),
+        F.sum("_n").alias("review_count"), (liked / F.sum("_n")).alias("positive_rate")
     )
 
 

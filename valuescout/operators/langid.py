@@ -62,10 +62,8 @@ def langid_score(
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     # An n-gram missing from a profile counts half the rarest share of all.
-    floor = profile.agg(F.min("share") / 2).scalar()
-    weighted = profile.withColumn("_floor", floor).withColumn(
-        "_weight", F.ln(F.col("share") / F.col("_floor"))
-    )
+    floor = F.min("share").over(Window.partitionBy(F.lit(1))) / 2
+    weighted = profile.withColumn("_weight", F.ln(F.col("share") / floor))
     wide = weighted.groupBy("gram").agg(
         *[
             F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("_weight"))), F.lit(0.0)).alias(f"_s{i}")

@@ -21,7 +21,7 @@ from valuescout.constants import (
 from valuescout.functions.ids import hash_bucket, in_test_set
 from valuescout.functions.values import log_price
 from valuescout.operators.quantiles import median_impute
-from valuescout.operators.rows import fold_top_n
+from valuescout.operators.rows import copy_if_small, fold_top_n
 
 _MAX_BINS = 256
 
@@ -145,14 +145,15 @@ def fair_price_score(model: PipelineModel, prepared: DataFrame, key="id") -> Dat
 
 def mean_price_by(df: DataFrame, group, key="id") -> DataFrame:
     """The same predictions table from a one-split model: the geometric mean
-    price of the training rows in the listing's group."""
+    price of the training rows in the listing's group. The groups are counted
+    (a job), so that listings of a big group need not meet in one task."""
     fitted = (
         df.filter(F.col("in_test_set") == 0)
         .groupBy(group)
         .agg(F.avg("log_price").alias("predicted_log_price"))
     )
     predicted = F.exp("predicted_log_price")
-    return df.join(fitted, group).select(
+    return df.join(copy_if_small(fitted), group).select(
         F.col(key).alias("id"),
         "price_clean",
         "log_price",

@@ -49,8 +49,11 @@ def lexicon_sentiment(
     degree=DEGREE,
     negators=NEGATORS,
     name="sentiment_vader",
+    count=None,
 ) -> DataFrame:
-    """(keys, score in -1..1), one row per key; blank texts score 0.
+    """(keys, score in -1..1), one row per key and text; blank texts score 0.
+    Rows alike in both are scored together; `count` names a column for their
+    number.
 
     Every word carries its neighbours along when the text is laid out, so the
     rules need no window and no sort. The lexicon is counted; a small one is
@@ -60,6 +63,7 @@ def lexicon_sentiment(
     body = F.coalesce(F.col(text), F.lit(""))
     base = df.select(
         *keys,
+        F.xxhash64(body).alias("_text"),
         words(body).alias("_w"),
         F.least(
             F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit(""))),
@@ -81,11 +85,11 @@ def lexicon_sentiment(
     laid_out = (
         base.withColumn("_w", F.concat(F.col("_w"), F.array(F.lit(_WHOLE))))
         .select(
-            *keys, "_bang", "_ask", "_mixed", "_but",
+            *keys, "_text", "_bang", "_ask", "_mixed", "_but",
             F.posexplode(F.arrays_zip(F.col("_w").alias("_w"), *shifted)).alias("_i", "_z"),
         )
         .select(
-            *keys, "_bang", "_ask", "_but",
+            *keys, "_text", "_bang", "_ask", "_but",
             (F.col("_i") + 1).alias("_pos"),
             "_z.*",
             F.lower("_z._w").alias("_word"),
@@ -96,10 +100,19 @@ def lexicon_sentiment(
     entries = lexicon.select(F.col("word").alias("_word"), F.col("valence").alias("_valence"))
     whole = df.sparkSession.range(1).select(F.lit(_WHOLE).alias("_word"), F.lit(0.0).alias("_valence"))
     hits = laid_out.join(copy_if_small(entries.unionByName(whole)), "_word").select(
-        *keys, "_bang", "_ask", _adjusted(F.col("_valence"), degree, negators).alias("_s")
+        *keys,
+        "_text",
+        "_bang",
+        "_ask",
+        (F.col("_word") == _WHOLE).alias("_end"),
+        _adjusted(F.col("_valence"), degree, negators).alias("_s"),
     )
-    sums = hits.groupBy(*keys).agg(
-        F.sum("_s").alias("_s"), F.max("_bang").alias("_bang"), F.max("_ask").alias("_ask")
+    copies = F.count_if("_end")
+    sums = hits.groupBy(*keys, "_text").agg(
+        (F.sum("_s") / copies).alias("_s"),
+        F.max("_bang").alias("_bang"),
+        F.max("_ask").alias("_ask"),
+        copies.alias("_n"),
     )
     asks = (
         F.when(F.col("_ask") < 2, 0.0)
@@ -107,13 +120,14 @@ def lexicon_sentiment(
         .otherwise(QUESTION_CAP)
     )
     stressed = F.col("_s") + F.signum("_s") * (F.col("_bang") * EXCLAMATION_STEP + asks)
-    return sums.withColumn("_s", stressed).select(
-        *keys, F.round(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORMALISER), 4).alias(name)
-    )
+    score = F.round(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORMALISER), 4).alias(name)
+    number = [] if count is None else [F.col("_n").alias(count)]
+    return sums.withColumn("_s", stressed).select(*keys, score, *number)
 
 
 def add_score(df: DataFrame, scores: DataFrame, key, after, name="sentiment_vader") -> DataFrame:
-    """Put the score column right after column `after`; unscored rows get 0."""
+    """Put the score column right after column `after`; unscored rows get 0.
+    `key` must identify a text."""
     at = df.columns.index(after) + 1
     order = [*df.columns[:at], name, *df.columns[at:]]
     joined = df.join(scores, key, "left")

@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from valuescout.constants import BASELINE_SHUFFLES, SPLIT_SEED
+from valuescout.session import cut_lineage
 
 # numpy's own sampler stops at this population.
 _NUMPY_LIMIT = 10**9
@@ -94,10 +95,12 @@ def perm_baseline(tables: DataFrame, shuffles=BASELINE_SHUFFLES, seed=SPLIT_SEED
     totals = by_class.groupBy("external_variable").agg(
         F.sort_array(F.collect_list("n")).alias("totals")
     )
+    # A fixed number of tasks: by its few bytes the plan would end up in one.
+    tasks = min(shuffles, tables.sparkSession.sparkContext.defaultParallelism)
     draws = (
         sizes.join(totals, "external_variable")
         .withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
-        .repartition("external_variable", "shuffle")
+        .repartition(tasks, "external_variable", "shuffle")
     )
 
     def draw(batches):
@@ -169,8 +172,9 @@ def external_validation(
     df: DataFrame, cluster, variables, shuffles=BASELINE_SHUFFLES, seed=SPLIT_SEED
 ) -> DataFrame:
     """One row per variable: n_classes, purity, its random baseline, the lift,
-    normalised entropy and its random baseline."""
-    tables = crosstabs(df, cluster, variables)
+    normalised entropy and its random baseline. The contingency tables are
+    written once (a job), as every figure is read off them."""
+    tables = cut_lineage(crosstabs(df, cluster, variables))
     found = agreement(tables).drop("n")
     return found.join(perm_baseline(tables, shuffles, seed), "external_variable").select(
         "external_variable",

@@ -47,8 +47,10 @@ def listing_facts(
 ) -> DataFrame:
     """(listing_id, review_count, positive_rate, is_hidden) straight from the
     cleaned reviews: only ids and scores are shuffled, never the text."""
-    scores = lexicon_sentiment(cleaned, [listing, review_key], "comments_clean", lexicon)
-    return low_exposure(review_facts(scores, listing, "sentiment_vader", threshold))
+    keys = [listing, review_key]
+    scores = lexicon_sentiment(cleaned, keys, "comments_clean", lexicon, count="n_reviews")
+    facts = review_facts(scores, listing, "sentiment_vader", threshold, "n_reviews")
+    return low_exposure(facts)
 
 
 def exposure_and_rate(facts: DataFrame):
