@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from valuescout.functions import text as tx
 from valuescout.operators import phrases as ph
-from valuescout.operators.langid import grams, keep_language, langid_fit, langid_score, profile_languages
+from valuescout.operators.langid import grams, keep_language, langid_fit, langid_model, langid_score
 
 
 def test_normalize_text(rows):
@@ -92,12 +92,12 @@ def test_language(spark):
          ("it", "la casa molto bella e il padrone gentile con noi vicino alla stazione"),
          ("de", "das haus ist sehr schön und der gastgeber war nett zu uns")], "lang string, text string")
     profile = langid_fit(train, "text", "lang").persist()
-    langs = profile_languages(profile)
-    assert langs == ["de", "en", "it"]
+    model = langid_model(profile)
+    assert model.languages == ["de", "en", "it"]
     docs = spark.createDataFrame(
         [(1, "the great house"), (2, "casa bella vicino"), (3, "schönes haus"), (4, "123 !!"), (5, None)],
         "id int, text string")
-    got = {r["id"]: r["lang_found"] for r in langid_score(docs, "id", "text", profile, langs).collect()}
+    got = {r["id"]: r["lang_found"] for r in langid_score(docs, "text", model).collect()}
     assert got == {1: "en", 2: "it", 3: "de", 4: None, 5: None}
-    kept = keep_language(docs, "id", "text", profile, langs, "en").collect()
+    kept = keep_language(docs, "text", model, "en").collect()
     assert [r["id"] for r in kept] == [1]

@@ -18,7 +18,7 @@ from valuescout.dictionaries import (
 from valuescout.functions import text as tx
 from valuescout.functions.ids import valid_id
 from valuescout.operators import exposure, phrases as ph
-from valuescout.operators.langid import keep_language, langid_fit, langid_score, profile_languages
+from valuescout.operators.langid import keep_language, langid_fit, langid_model, langid_score
 from valuescout.operators.rows import split_groups
 from valuescout.operators.sentiment import lexicon_sentiment
 from valuescout.plans.reviews import clean_reviews, cleaning_audit
@@ -201,10 +201,6 @@ def _profile(spark, sf_dir):
     return langid_fit(_documents(spark, sf_dir, "text", "lang"), "text", "lang")
 
 
-def _languages(spark, sf_dir):
-    return profile_languages(table(spark, sf_dir, "documents").select("lang"))
-
-
 def langid_profile(spark, sf_dir):
     return _profile(spark, sf_dir).withColumn("share", F.round("share", 6))
 
@@ -226,10 +222,15 @@ profile AS (
         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) <= 400))"""
 
 _SQL_LANGID = f"""{_SQL_GRAMS},
+vocabulary AS (SELECT DISTINCT gram FROM profile),
+totals AS (SELECT lang, sum(n) AS total FROM profile GROUP BY lang),
+weights AS (
+  SELECT v.gram, t.lang,
+         ln((coalesce(p.n, 0) + 0.5) / (total + 0.5 * (SELECT count(*) FROM vocabulary))) AS w
+  FROM vocabulary v CROSS JOIN totals t LEFT JOIN profile p ON p.gram = v.gram AND p.lang = t.lang),
 counted AS (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY doc_id, gram),
 scored AS (
-  SELECT doc_id, p.lang, sum(c.n * ln(share / (SELECT min(share) / 2 FROM profile))) AS s
-  FROM counted c JOIN profile p USING (gram) GROUP BY doc_id, p.lang),
+  SELECT doc_id, w.lang, sum(c.n * w) AS s FROM counted c JOIN weights w USING (gram) GROUP BY doc_id, w.lang),
 found AS (
   SELECT doc_id, lang AS lang_found FROM scored
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)"""
@@ -237,8 +238,7 @@ found AS (
 
 def langid_confusion(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "lang", "text")
-    profile = _profile(spark, sf_dir)
-    scored = langid_score(docs, ["doc_id", "lang"], "text", profile, _languages(spark, sf_dir))
+    scored = langid_score(docs, "text", langid_model(_profile(spark, sf_dir)))
     return scored.groupBy("lang", "lang_found").agg(F.count("*").alias("n"))
 
 
@@ -250,8 +250,7 @@ GROUP BY d.lang, lang_found"""
 
 def english_only(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "lang", "text", "n_chars")
-    profile = _profile(spark, sf_dir)
-    kept = keep_language(docs, "doc_id", "text", profile, _languages(spark, sf_dir), "en")
+    kept = keep_language(docs, "text", langid_model(_profile(spark, sf_dir)), "en")
     return kept.select("doc_id", "lang", "n_chars")
 
 

@@ -1,11 +1,17 @@
 """Language identification from character n-gram profiles (Cavnar & Trenkle
-1994; naive Bayes scoring), fitted and applied as aggregates."""
+1994) with naive Bayes scoring."""
 
+from dataclasses import dataclass
+
+from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 GRAM_SIZES = (1, 2, 3)
 PROFILE_SIZE = 400
-_WHOLE = "\u0000"
+_MAX_PROFILE_ROWS = 200_000
 
 
 def letters_only(c) -> Column:
@@ -41,58 +47,58 @@ def langid_fit(df: DataFrame, text, lang, size=PROFILE_SIZE, sizes=GRAM_SIZES) -
     return kept.withColumn("share", F.col("n") / total).drop("_r")
 
 
-def profile_languages(profile: DataFrame, limit=500) -> list[str]:
-    """The languages of a profile (runs a job); refuses an unreasonable number."""
-    rows = profile.select("lang").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} languages")
-    return sorted(r[0] for r in rows)
+@dataclass
+class LanguageModel:
+    languages: list
+    counter: CountVectorizerModel
+    bayes: NaiveBayesModel
 
 
-def langid_score(
-    df: DataFrame, keys, text, profile: DataFrame, languages, sizes=GRAM_SIZES, name="lang_found"
-) -> DataFrame:
-    """(keys, language): most likely language of every text, NULL for texts
-    without a known n-gram.
+def langid_model(profile: DataFrame, smoothing=0.5) -> LanguageModel:
+    """Naive Bayes with equal priors over the n-grams of a profile (runs jobs).
 
-    The profile is turned to one row per n-gram with one weight per language,
-    so each n-gram of a text meets one row of a small table, and one row of
-    partial sums per text is shuffled. The table is copied to all tasks; the
-    fit bounds it to `size` n-grams per language.
+    The profile is a capped number of n-grams per language; it becomes the
+    vocabulary and one training row per language.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    # An n-gram missing from a profile counts half the rarest share of all.
-    floor = F.min("share").over(Window.partitionBy(F.lit(1))) / 2
-    weighted = profile.withColumn("_weight", F.ln(F.col("share") / floor))
-    wide = weighted.groupBy("gram").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("_weight"))), F.lit(0.0)).alias(f"_s{i}")
-            for i, lang in enumerate(languages)
-        ]
-    )
-    slots = [f"_s{i}" for i in range(len(languages))]
-    whole = df.sparkSession.range(1).select(
-        F.lit(_WHOLE).alias("gram"), *[F.lit(0.0).alias(s) for s in slots]
+    rows = profile.select("lang", "gram", "n").limit(_MAX_PROFILE_ROWS + 1).collect()
+    if len(rows) > _MAX_PROFILE_ROWS:
+        raise ValueError("the profile is too big for a vocabulary")
+    languages = sorted({r["lang"] for r in rows})
+    vocabulary = sorted({r["gram"] for r in rows})
+    slot = {gram: i for i, gram in enumerate(vocabulary)}
+    counts = {lang: {} for lang in languages}
+    for r in rows:
+        counts[r["lang"]][slot[r["gram"]]] = float(r["n"])
+    train = profile.sparkSession.createDataFrame(
+        [(float(i), Vectors.sparse(len(slot), counts[lang])) for i, lang in enumerate(languages)],
+        ["label", "_counts"],
     )
-    cells = F.concat(grams(text, sizes), F.array(F.lit(_WHOLE)))
-    sums = (
-        df.select(*keys, F.explode(cells).alias("gram"))
-        .join(F.broadcast(wide.unionByName(whole)), "gram")
-        .groupBy(*keys)
-        .agg(*[F.sum(s).alias(s) for s in slots])
+    bayes = NaiveBayes(
+        smoothing=smoothing,
+        featuresCol="_counts",
+        rawPredictionCol="_raw",
+        probabilityCol="_probability",
+        predictionCol="_found",
     )
-    if len(slots) == 1:
-        top = F.col(slots[0])
-    else:
-        top = F.greatest(*slots)
-    found = F.lit(None).cast("string")
-    for slot, lang in reversed(list(zip(slots, languages))):
-        found = F.when((F.col(slot) == top) & (top > 0), lang).otherwise(found)
-    return sums.select(*keys, found.alias(name))
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_counts")
+    return LanguageModel(languages, counter, bayes.fit(train))
+
+
+def langid_score(
+    df: DataFrame, text, model: LanguageModel, sizes=GRAM_SIZES, name="lang_found"
+) -> DataFrame:
+    """Add the most likely language of every text, NULL for texts without a
+    known n-gram. Texts are scored where they lie: no shuffle, no Python."""
+    counted = model.counter.transform(df.withColumn("_grams", grams(text, sizes)))
+    scored = model.bayes.transform(counted)
+    raw = vector_to_array("_raw")
+    listed = F.array(*[F.lit(lang) for lang in model.languages])
+    known = F.size(F.array_distinct(raw)) > 1 if len(model.languages) > 1 else F.size("_grams") > 0
+    found = F.when(known, F.get(listed, F.col("_found").cast("int")))
+    return scored.select(*df.columns, found.alias(name))
 
 
-def keep_language(df: DataFrame, key, text, profile, languages, wanted="en", sizes=GRAM_SIZES):
+def keep_language(df: DataFrame, text, model, wanted="en", sizes=GRAM_SIZES) -> DataFrame:
     """Rows whose text is most likely in the `wanted` language."""
-    scored = langid_score(df, key, text, profile, languages, sizes, "_found")
-    hits = scored.filter(F.col("_found") == wanted).select(key)
-    return df.join(hits, key, "left_semi")
+    scored = langid_score(df, text, model, sizes, "_language")
+    return scored.filter(F.col("_language") == wanted).drop("_language")

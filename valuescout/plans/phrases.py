@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from valuescout.operators import phrases as ops
 from valuescout.operators.exposure import review_counts
-from valuescout.operators.langid import keep_language, profile_languages
+from valuescout.operators.langid import keep_language, langid_model
 from valuescout.operators.rows import keep_valid_ids, split_groups
 
 
@@ -24,8 +24,7 @@ def contrast_phrases(
     only texts in `language` are used (runs one small job)."""
     reviews = keep_valid_ids(reviews, "listing_id")
     if profile is not None:
-        languages = profile_languages(profile)
-        reviews = keep_language(reviews, review_key, text, profile, languages, language)
+        reviews = keep_language(reviews, text, langid_model(profile), language)
     grouped = split_groups(reviews, ids, "listing_id", spread_by=review_key)
     counts = ops.phrase_counts(grouped, "group", text, tag_dict, lemma_dict)
     return ops.top_phrases(counts, "group", top)
