@@ -1,7 +1,14 @@
 """Registered queries of the subpackage and their SQL twins."""
 
-from valuescout.llm.substring_dedup import op1_substring_dedup
-from valuescout.llm.suffix_dedup import op10_suffix_dedup
+from valuescout.llm import language, substring_dedup, suffix_dedup, url_filter
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op10_suffix_dedup)}
-ORACLES = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        substring_dedup.op1_substring_dedup,
+        url_filter.op6_url_filter,
+        language.op7_language,
+        suffix_dedup.op10_suffix_dedup,
+    )
+}
+ORACLES = {"op6_url_filter": url_filter.SQL}
