@@ -1,14 +1,16 @@
 """Registered queries of the subpackage and their SQL twins."""
 
-from valuescout.llm import language, substring_dedup, suffix_dedup, url_filter
+from valuescout.llm import bpe, language, mixing, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         substring_dedup.op1_substring_dedup,
+        mixing.op2_mixing,
+        bpe.op4_bpe,
         url_filter.op6_url_filter,
         language.op7_language,
         suffix_dedup.op10_suffix_dedup,
     )
 }
-ORACLES = {"op6_url_filter": url_filter.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op6_url_filter": url_filter.SQL}
