@@ -13,7 +13,6 @@ kind of characters changes, pre-tokens end whatever stands around, so windows
 that would leave a run of one kind go on to the next such border instead.
 """
 
-import functools
 import json
 
 import numpy as np
@@ -86,9 +85,20 @@ class Codec:
         return ids
 
 
-@functools.lru_cache(2)
+class _Kept(dict):
+    """A cache that travels to tasks empty."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_CODECS = _Kept()
+
+
 def _codec(definition):
-    return Codec(definition)
+    if definition not in _CODECS:
+        _CODECS[definition] = Codec(definition)
+    return _CODECS[definition]
 
 
 def _kind(char):

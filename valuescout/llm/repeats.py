@@ -29,10 +29,11 @@ from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, bloc
 
 OPEN, REMOVED, CANDIDATE, BOTH = 0, 1, 2, 3
 _FLUSH = 1_000_000
-_PAIRS = "name long, whole long, did long, tag long, place long"
+_LISTS = {"name": pa.int64(), "whole": pa.int32(), "did": pa.int64(), "tag": pa.int32(), "start": pa.int32(), "more": pa.int32()}
+_PACKED = "bucket int, name array<long>, whole array<int>, did array<long>, tag array<int>, start array<int>, more array<int>"
 _U = np.uint64
 
-Method = namedtuple("Method", "tokens n keep_first")
+Method = namedtuple("Method", "tokens n keep_first buckets")
 
 
 def numbered(docs: DataFrame, id_col, text_col, carry) -> DataFrame:
@@ -53,15 +54,27 @@ def numbered(docs: DataFrame, id_col, text_col, carry) -> DataFrame:
     return rows.repartition("did").withColumn("sub", F.row_number().over(order) - 1)
 
 
-def _table(name, whole, did, tag, place):
-    signed = [np.ascontiguousarray(x).view(np.int64) for x in (name, whole)]
-    arrays = [*signed, *(np.asarray(x, np.int64) for x in (did, tag, place))]
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["name", "whole", "did", "tag", "place"])
+def _packed(name, whole, did, tag, place, known, buckets):
+    """Places with their names, one row per bucket of names.
 
-
-def _settled(did, place):
-    """A name of its own for rows that need no comparison: spreads them."""
-    return mixed(np.asarray(did).astype(_U), np.asarray(place).astype(_U))
+    Lists of numbers take about half the room of single rows in a shuffle.
+    Places that are settled already need no name and are spread evenly.
+    """
+    place = np.asarray(place, np.int64)
+    name = np.where(known, _U(0), name)
+    whole = np.where(known, _U(0), whole)
+    spread = np.where(known, mixed(did.astype(_U), place.astype(_U)), mixed(name))
+    bucket = (spread % _U(buckets)).astype(np.int32)
+    order = np.lexsort((place, did, bucket))
+    bucket = bucket[order]
+    columns = (name.view(np.int64), whole.astype(np.uint32).view(np.int32), did, tag, place >> 32, place & 0xFFFFFFFF)
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    edges = pa.array(np.append(at, len(bucket)).astype(np.int32))
+    lists = [
+        pa.ListArray.from_arrays(edges, pa.array(x[order].astype(kind.to_pandas_dtype()), kind))
+        for x, kind in zip(columns, _LISTS.values())
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *lists], ["bucket", *_LISTS])
 
 
 def _pack(start, count, offset=0):
@@ -82,8 +95,8 @@ def _nth(new):
 class _Spans:
     """Collects the spans of a task and settles what they decide by themselves."""
 
-    def __init__(self, keep_first):
-        self.keep_first, self.parts, self.size = keep_first, [], 0
+    def __init__(self, method):
+        self.method, self.parts, self.size = method, [], 0
 
     def add(self, *columns):
         self.parts.append(columns)
@@ -105,21 +118,18 @@ class _Spans:
         wholes = np.cumsum(new_whole)
         spare = wholes - wholes[np.flatnonzero(new_name)][np.cumsum(new_name) - 1] >= 2
         kind = np.full(len(name), OPEN)
-        if self.keep_first:
+        if self.method.keep_first:
             kind[nth > 0] = REMOVED
             kind[spare & (nth == 0)] = CANDIDATE
         else:
             kind[(nth > 1) | (spare & (nth > 0))] = REMOVED
             kind[spare & (nth == 0)] = np.where(many, BOTH, CANDIDATE)[spare & (nth == 0)]
-        known = kind != OPEN
-        name = np.where(known, _settled(did, place), name)
-        whole = np.where(known, _U(0), whole)
-        yield _table(name, whole, did, sub * 4 + kind, place)
+        yield _packed(name, whole, did, sub * 4 + kind, place, kind != OPEN, self.method.buckets)
 
 
 def _first_level(batches, method):
     n, k = method.n, -(-method.n // 4)
-    out = _Spans(method.keep_first)
+    out = _Spans(method)
     for batch in batches:
         rows = zip(batch["did"].to_pylist(), batch["sub"].to_pylist())
         for some, raw in blocks(rows, batch["text"].to_pylist()):
@@ -142,8 +152,8 @@ def _first_level(batches, method):
 class _Names:
     """Collects named places and lets two of a kind (or one) through."""
 
-    def __init__(self, through):
-        self.through, self.parts, self.size = through, [], 0
+    def __init__(self, method, through):
+        self.method, self.through, self.parts, self.size = method, through, [], 0
 
     def add(self, *columns):
         self.parts.append(columns)
@@ -159,8 +169,7 @@ class _Names:
         new = np.ones(len(name), bool)
         new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
         known = _nth(new) >= self.through
-        name = np.where(known, _settled(did, place), name)
-        yield _table(name, check, did, sub * 4 + known, place)
+        yield _packed(name, check, did, sub * 4 + known, place, known, self.method.buckets)
 
 
 def _listed(items, sub):
@@ -191,7 +200,7 @@ def _candidate_rows(batches, method):
 
 def _second_level(batches, method):
     n, k = method.n, -(-method.n // 4)
-    out = _Names(2)
+    out = _Names(method, 2)
     for some, tokens in _candidate_rows(batches, method):
         size = [len(x[2]) for x in some]
         doc = np.repeat(np.arange(len(some)), size)
@@ -211,7 +220,7 @@ def _second_level(batches, method):
 
 def _last_level(batches, method):
     n, k = method.n, -(-method.n // 4)
-    out = _Names(1 if method.keep_first else 2)
+    out = _Names(method, 1 if method.keep_first else 2)
     for some, tokens in _candidate_rows(batches, method):
         doc = np.repeat(np.arange(len(some)), [len(x[2]) for x in some])
         start, count, offset = _unpack(np.concatenate([x[2] for x in some]))
@@ -271,18 +280,23 @@ def without_repeats(docs: DataFrame, method, id_col, text_col, carry, finish, fi
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    method = method._replace(buckets=max(1024, 16 * partitions))
     if not 8 <= method.n < 1 << 15:
         raise ValueError("a window has 8 to 32,767 tokens")
     rows = numbered(docs, id_col, text_col, carry)
     texts = rows.select("did", "sub", "text")
 
     def level(function, df):
-        return df.mapInArrow(lambda batches: function(batches, method), _PAIRS).repartition("name")
+        packed = df.mapInArrow(lambda batches: function(batches, method), _PACKED).repartition("bucket")
+        rows = packed.select("bucket", F.explode(F.arrays_zip(*_LISTS)).alias("row")).select("bucket", "row.*")
+        place = F.shiftleft(F.col("start").cast("long"), 32) + F.col("more")
+        return rows.select("bucket", "name", "whole", "did", "tag", place.alias("place"))
 
     # level k: sort (gram, span) pairs
-    pair = Window.partitionBy("name", "whole").orderBy("did", "tag", "place")
-    alike = Window.partitionBy("name", "whole")
-    gram = Window.partitionBy("name")
+    alike = Window.partitionBy("bucket", "name", "whole")
+    pair = alike.orderBy("did", "tag", "place")
+    gram = Window.partitionBy("bucket", "name")
     kind = F.col("tag").bitwiseAND(F.lit(3))
     spans = (
         level(_first_level, texts)
@@ -297,15 +311,13 @@ def without_repeats(docs: DataFrame, method, id_col, text_col, carry, finish, fi
     spans = _lists(spans.filter(F.col("tag").bitwiseAND(F.lit(3)) != OPEN), "spans")
 
     # level 2k: both extensions of each candidate
-    named = Window.partitionBy("name", "whole")
     halves = level(_second_level, texts.join(spans, "did", "left"))
-    halves = halves.withColumn("many", F.count(F.lit(1)).over(named) > 1)
+    halves = halves.withColumn("many", F.count(F.lit(1)).over(alike) > 1)
     halves = _lists(halves.filter(F.col("many") | (kind != OPEN)), "halves")
 
     # level n: the windows that are left
-    order = named.orderBy("did", "tag", "place")
     windows = level(_last_level, texts.join(spans, "did", "left").join(halves, "did", "left"))
-    again = F.row_number().over(order) > 1 if method.keep_first else F.count(F.lit(1)).over(named) > 1
+    again = F.row_number().over(pair) > 1 if method.keep_first else F.count(F.lit(1)).over(alike) > 1
     windows = windows.withColumn("again", again).filter(F.col("again") | (kind != OPEN))
     windows = _lists(windows, "windows")
 

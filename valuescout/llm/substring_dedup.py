@@ -43,7 +43,7 @@ def remove_repeated_words(docs: DataFrame, id_col="doc_id", text_col="text", n=3
     null; an empty table gives an empty result; columns not named are ignored,
     whatever they are called.
     """
-    return without_repeats(docs, Method(WordTokens, n, False), id_col, text_col, carry, _finish, _FIELDS)
+    return without_repeats(docs, Method(WordTokens, n, False, None), id_col, text_col, carry, _finish, _FIELDS)
 
 
 def op1_substring_dedup(spark, sf_dir):

@@ -47,7 +47,7 @@ def remove_earlier_bytes(docs: DataFrame, id_col="doc_id", text_col="text", n=10
     is kept, its row's order depends on the text; an empty table gives an
     empty result; columns not named are ignored, whatever they are called.
     """
-    return without_repeats(docs, Method(ByteTokens, n, True), id_col, text_col, carry, _finish, _FIELDS)
+    return without_repeats(docs, Method(ByteTokens, n, True, None), id_col, text_col, carry, _finish, _FIELDS)
 
 
 def op10_suffix_dedup(spark, sf_dir):
