@@ -1,6 +1,6 @@
 """Registered queries of the subpackage and their SQL twins."""
 
-from valuescout.llm import bpe, language, mixing, substring_dedup, suffix_dedup, url_filter
+from valuescout.llm import bpe, chat, imatch, language, mixing, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -8,9 +8,11 @@ QUERIES = {
         substring_dedup.op1_substring_dedup,
         mixing.op2_mixing,
         bpe.op4_bpe,
+        imatch.op5_imatch,
         url_filter.op6_url_filter,
         language.op7_language,
+        chat.op9_chat,
         suffix_dedup.op10_suffix_dedup,
     )
 }
-ORACLES = {"op2_mixing": mixing.SQL, "op6_url_filter": url_filter.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op6_url_filter": url_filter.SQL, "op9_chat": chat.SQL}
