@@ -281,7 +281,7 @@ def without_repeats(docs: DataFrame, method, id_col, text_col, carry, finish, fi
     from pyspark.sql.pandas.types import to_arrow_schema
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    method = method._replace(buckets=max(1024, 16 * partitions))
+    method = method._replace(buckets=max(256, 4 * partitions))
     if not 8 <= method.n < 1 << 15:
         raise ValueError("a window has 8 to 32,767 tokens")
     rows = numbered(docs, id_col, text_col, carry)
