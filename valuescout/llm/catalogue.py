@@ -1,12 +1,13 @@
 """Registered queries of the subpackage and their SQL twins."""
 
-from valuescout.llm import bpe, chat, imatch, language, mixing, substring_dedup, suffix_dedup, url_filter
+from valuescout.llm import bpe, chat, imatch, language, mixing, neighbours, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         substring_dedup.op1_substring_dedup,
         mixing.op2_mixing,
+        neighbours.op3_neighbours,
         bpe.op4_bpe,
         imatch.op5_imatch,
         url_filter.op6_url_filter,
