@@ -1,6 +1,6 @@
 """Registered queries of the subpackage and their SQL twins."""
 
-from valuescout.llm import bpe, chat, imatch, language, mixing, neighbours, substring_dedup, suffix_dedup, url_filter
+from valuescout.llm import bpe, chat, imatch, language, mixing, near_dedup, neighbours, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         imatch.op5_imatch,
         url_filter.op6_url_filter,
         language.op7_language,
+        near_dedup.op8_near_dedup,
         chat.op9_chat,
         suffix_dedup.op10_suffix_dedup,
     )
