@@ -73,6 +73,8 @@ class Running:
 class ByteTokens:
     """The UTF-8 bytes of a block of texts as tokens."""
 
+    least_window = 32  # a quarter of a window is named from eight bytes on
+
     def __init__(self, raw):
         data = np.frombuffer(b"".join(raw), np.uint8)
         self.first = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -90,6 +92,8 @@ class ByteTokens:
 class WordTokens:
     """The words of a block of texts: runs without space, tab, CR, LF, VT, FF."""
 
+    least_window = 4
+
     def __init__(self, raw):
         data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
         blank = (data == 32) | ((data >= 9) & (data <= 13))

@@ -23,6 +23,7 @@ from collections import namedtuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, blocks, mixed
@@ -47,11 +48,27 @@ def numbered(docs: DataFrame, id_col, text_col, carry) -> DataFrame:
     rows = docs.select(
         F.coalesce(ident, F.xxhash64(text)).alias("did"),
         ident.alias("id"),
-        text.alias("text"),
+        text.cast("binary").alias("text"),
+        F.xxhash64(text).alias("tie"),
         F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("rest"),
     )
-    order = Window.partitionBy("did").orderBy(F.xxhash64("text"), "text", F.col("id").asc_nulls_first())
-    return rows.repartition("did").withColumn("sub", F.row_number().over(order) - 1)
+    rows = rows.mapInArrow(_compressed, rows.schema)
+    order = Window.partitionBy("did").orderBy("tie", "text", F.col("id").asc_nulls_first())
+    return rows.repartition("did").withColumn("sub", F.row_number().over(order) - 1).drop("tie")
+
+
+def _compressed(batches):
+    """Texts travel compressed: they are most of what the shuffles move."""
+    for batch in batches:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        at = batch.schema.get_field_index("text")
+        texts = pa.array([pack(t.as_buffer()) for t in batch["text"]], pa.binary())
+        yield batch.set_column(at, batch.schema.field(at), texts)
+
+
+def _texts(column):
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in column.to_pylist()]
 
 
 def _packed(name, whole, did, tag, place, known, buckets):
@@ -132,7 +149,7 @@ def _first_level(batches, method):
     out = _Spans(method)
     for batch in batches:
         rows = zip(batch["did"].to_pylist(), batch["sub"].to_pylist())
-        for some, raw in blocks(rows, batch["text"].to_pylist()):
+        for some, raw in blocks(rows, _texts(batch["text"])):
             tokens = method.tokens(raw)
             grams = tokens.grams(k)
             doc, lo, hi, anchor = anchored(grams, tokens.first, n, k)
@@ -183,8 +200,8 @@ def _listed(items, sub):
 def _candidate_rows(batches, method):
     """Blocks of the documents that have candidates, with their spans."""
     for batch in batches:
-        rows = []
-        texts = []
+        rows, texts = [], []
+        unpack = zstandard.ZstdDecompressor().decompress
         halves = batch["halves"].to_pylist() if "halves" in batch.schema.names else [None] * batch.num_rows
         for did, sub, text, items, alive in zip(
             batch["did"].to_pylist(), batch["sub"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist(), halves
@@ -193,7 +210,7 @@ def _candidate_rows(batches, method):
             place = np.sort(place[kind >= CANDIDATE])
             if len(place):
                 rows.append((did, sub, place, _listed(alive, sub)[1]))
-                texts.append(text)
+                texts.append(unpack(text))
         for some, raw in blocks(rows, texts):
             yield some, method.tokens(raw)
 
@@ -249,6 +266,7 @@ def _lists(rows, name):
 
 
 def _removed_rows(batches, method, finish, schema):
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
         for row in batch.to_pylist():
@@ -257,7 +275,7 @@ def _removed_rows(batches, method, finish, schema):
             spans.append(place[(kind == REMOVED) | (kind == BOTH)])
             spans.append(_listed(row["windows"], row["sub"])[1])
             start, count, _ = _unpack(np.concatenate(spans))
-            out.append({"id": row["id"], "rest": row["rest"], **finish(row["text"], merged(start, start + count - 1 + method.n))})
+            out.append({"id": row["id"], "rest": row["rest"], **finish(unpack(row["text"]).decode(), merged(start, start + count - 1 + method.n))})
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -282,10 +300,10 @@ def without_repeats(docs: DataFrame, method, id_col, text_col, carry, finish, fi
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     method = method._replace(buckets=max(256, 4 * partitions))
-    if not 8 <= method.n < 1 << 15:
-        raise ValueError("a window has 8 to 32,767 tokens")
+    if not method.tokens.least_window <= method.n < 1 << 15:
+        raise ValueError(f"a window has {method.tokens.least_window} to 32,767 tokens")
+    # all levels read the same columns, so that they share one shuffle of texts
     rows = numbered(docs, id_col, text_col, carry)
-    texts = rows.select("did", "sub", "text")
 
     def level(function, df):
         packed = df.mapInArrow(lambda batches: function(batches, method), _PACKED).repartition("bucket")
@@ -299,7 +317,7 @@ def without_repeats(docs: DataFrame, method, id_col, text_col, carry, finish, fi
     gram = Window.partitionBy("bucket", "name")
     kind = F.col("tag").bitwiseAND(F.lit(3))
     spans = (
-        level(_first_level, texts)
+        level(_first_level, rows)
         .withColumn("nth", F.row_number().over(pair))
         .withColumn("many", F.count(F.lit(1)).over(alike) > 1)
         .withColumn("shared", F.min("whole").over(gram) != F.max("whole").over(gram))
@@ -311,12 +329,12 @@ def without_repeats(docs: DataFrame, method, id_col, text_col, carry, finish, fi
     spans = _lists(spans.filter(F.col("tag").bitwiseAND(F.lit(3)) != OPEN), "spans")
 
     # level 2k: both extensions of each candidate
-    halves = level(_second_level, texts.join(spans, "did", "left"))
+    halves = level(_second_level, rows.join(spans, "did", "left"))
     halves = halves.withColumn("many", F.count(F.lit(1)).over(alike) > 1)
     halves = _lists(halves.filter(F.col("many") | (kind != OPEN)), "halves")
 
     # level n: the windows that are left
-    windows = level(_last_level, texts.join(spans, "did", "left").join(halves, "did", "left"))
+    windows = level(_last_level, rows.join(spans, "did", "left").join(halves, "did", "left"))
     again = F.row_number().over(pair) > 1 if method.keep_first else F.count(F.lit(1)).over(alike) > 1
     windows = windows.withColumn("again", again).filter(F.col("again") | (kind != OPEN))
     windows = _lists(windows, "windows")
