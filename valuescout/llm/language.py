@@ -94,9 +94,11 @@ def codewords(count):
     Up to five languages get all possible splits, more get the best of some
     fixed random codes by the least distance of two rows.
     """
+    if count < 2:
+        return np.zeros((count, 0))
     if count <= 5:
-        splits = [[(i >> lang) & 1 for lang in range(count)] for i in range(1, 1 << max(count - 1, 0))]
-        return np.array(splits, float).reshape(-1, count).T * 2 - 1
+        splits = [[(i >> lang) & 1 for lang in range(count)] for i in range(1, 1 << (count - 1))]
+        return np.array(splits, float).T * 2 - 1
     bits = int(np.ceil(10 * np.log2(count)))
     rng = np.random.Generator(np.random.PCG64(3))
     best, distance = None, -1
