@@ -153,3 +153,28 @@ def test_profile(spark):
         got = full.loc[c, "top_neighbourhoods"]
         assert sorted(got.values(), reverse=True) == sorted(top, reverse=True)[:3]
         assert all(top[k] == v for k, v in got.items())
+
+
+def test_kmeans_seeding_does_not_depend_on_partitions(spark):
+    """All rows take part at every size; rows with missing values are counted."""
+    rng = np.random.default_rng(8)
+    for n in (9_999, 20_000):
+        points = rng.standard_normal((n, 2)) + 6 * rng.integers(0, 3, (n, 1))
+        rows = [tuple(map(float, p)) for p in points] + [(None, 1.0), (float("nan"), 2.0)]
+        df = spark.createDataFrame(rows, "x double, y double")
+        found = []
+        for parts in (1, 3, 7):
+            one, three = sg.kmeans_sweep(df.repartition(parts), ["x", "y"], ks=(1, 3), restarts=2)
+            assert one.left_out == three.left_out == 2
+            np.testing.assert_allclose(one.centers, [points.mean(axis=0)])
+            assert abs(one.sse - points.var(axis=0).sum() * n) < 1e-6 * one.sse
+            found.append(sorted(three.centers))
+        np.testing.assert_allclose(found[0], found[1], rtol=1e-9)
+        np.testing.assert_allclose(found[0], found[2], rtol=1e-9)
+
+
+def test_standardised_sse_of_one_cluster(spark):
+    df = spark.range(500).selectExpr("cast(id % 17 as double) a", "cast(id * id % 23 as double) b")
+    scaled = sg.standardize(df, ["a", "b"])
+    (one,) = sg.kmeans_sweep(scaled, ["z_a", "z_b"], ks=(1,))
+    assert abs(one.sse - 500 * 2) < 1e-6

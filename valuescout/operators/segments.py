@@ -18,7 +18,9 @@ from valuescout.constants import (
 
 # Centres travel with the plan, so their number is checked.
 _MAX_CENTRE_VALUES = 1_000_000
-_SEEDING_ROWS = 10_000
+# seeding: rounds over all rows, and candidates drawn per round and centre
+_SEEDING_ROUNDS = 4
+_OVERSAMPLING = 4
 
 
 def scaling(df: DataFrame, columns) -> DataFrame:
@@ -50,12 +52,16 @@ def standardize(df: DataFrame, columns, prefix="z_") -> DataFrame:
 
 @dataclass
 class Solution:
-    """The best restart for one k; `centers` are in the units of the input."""
+    """The best restart for one k; `centers` are in the units of the input.
+
+    `left_out` counts the rows with a missing value, which take no part.
+    """
 
     k: int
     sse: float
     iterations: int
     centers: list
+    left_out: int = 0
 
 
 def kmeans_sweep(
@@ -67,7 +73,9 @@ def kmeans_sweep(
     tol=KMEANS_TOL,
     seed=SPLIT_SEED,
 ) -> list[Solution]:
-    """Best of `restarts` k-means++ starts for every k (runs jobs).
+    """Best of `restarts` k-means|| starts for every k (runs jobs).
+
+    Rows with a null or NaN are left out and counted.
 
     All starts of all k move together: one pass over the persisted rows gives
     every cluster its new centre, so the data is read once per iteration and
@@ -76,18 +84,19 @@ def kmeans_sweep(
     A start has settled when its centres move by less than `tol` times the
     mean variance (squared distances, summed over the centres).
     """
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    given = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(c)
+    rows = given.filter(complete).persist()
     try:
         n, *variances = rows.agg(F.count("*"), *[F.var_pop(c) for c in columns]).first()
         if not n:
             raise ValueError("no rows to cluster")
+        left_out = given.filter(~complete).count()
         still = tol * float(np.mean(variances))
-        sample = _seeding_sample(rows, n, seed)
-        active = {}
-        for k in ks:
-            for start in range(restarts if k > 1 else 1):
-                rng = np.random.default_rng([seed, k, start])
-                active[k, start] = _plus_plus(sample, k, rng)
+        starts = [(k, start) for k in ks for start in range(restarts if k > 1 else 1)]
+        active = _seeds(rows, columns, starts, seed)
         settled = {}
         for iteration in range(1, max_iter + 1):
             moved = _advance(rows, columns, active)
@@ -107,26 +116,113 @@ def kmeans_sweep(
         (task, settled[task], costs[task][1]) for task in sorted(settled)
     ):
         if k not in best or cost < best[k].sse:
-            best[k] = Solution(k, cost, iterations, centers.tolist())
+            best[k] = Solution(k, cost, iterations, centers.tolist(), left_out)
     return [best[k] for k in sorted(best)]
 
 
-def _seeding_sample(rows, n, seed):
-    """Start points come from about 10,000 rows drawn evenly, or from all rows
-    where there are no more than that; every pass then reads all rows."""
-    drawn = rows if n <= _SEEDING_ROWS else rows.sample(_SEEDING_ROWS / n, seed)
-    points = drawn.toPandas().to_numpy(dtype="float64")
-    return points[np.lexsort(points.T)]
+def _seeds(rows, columns, starts, seed):
+    """Starting centres per (k, start), by k-means|| over all rows.
+
+    The first candidate of a start is the row that a hash draws. In each round
+    every row becomes a candidate with a probability in proportion to its
+    squared distance from the candidates so far (Bahmani et al. 2012); at the
+    end each candidate counts as many rows as are nearest to it, and weighted
+    k-means++ picks the k centres among them. All starts share each pass. Draws
+    are hashes of the row's values, so partitions do not matter; only
+    candidates and their weights reach the driver, a few per centre.
+    """
+    drawn = rows.withColumn("_hash", F.xxhash64(*columns))
+    values = ", ".join(f"v{i} double" for i in range(len(columns)))
+
+    def uniform(hashes, salt):
+        mixed = (hashes.view("uint64") ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return (mixed ^ (mixed >> np.uint64(29))) / 2.0**64
+
+    def salts(number):
+        return np.random.default_rng([seed, number]).integers(0, 1 << 63, len(starts))
 
+    def rows_of(start, points):
+        frame = {f"v{i}": points[:, i] for i in range(points.shape[1])}
+        return pd.DataFrame({"start": start, **frame})
 
-def _plus_plus(points, k, rng):
+    def least(batches):
+        salt, best = salts(0), {}
+        for batch in batches:
+            points, hashes = batch[columns].to_numpy(dtype="float64"), batch["_hash"].to_numpy()
+            for s in range(len(starts)) if len(points) else ():
+                draw = uniform(hashes, salt[s])
+                at = draw.argmin()
+                best[s] = min(best.get(s, (2.0,)), (draw[at], *points[at]))
+        for s, (draw, *point) in best.items():
+            yield rows_of(s, np.array([point])).assign(draw=draw)
+
+    firsts = drawn.mapInPandas(least, f"start int, {values}, draw double")
+    point = F.struct("draw", *[f"v{i}" for i in range(len(columns))])
+    firsts = firsts.groupBy("start").agg(F.min(point).alias("p")).toPandas()
+    found = {s: np.array([p[1:]], dtype="float64") for s, p in zip(firsts["start"], firsts["p"])}
+
+    def distance(points, candidates):
+        return ((points[:, None, :] - candidates[None]) ** 2).sum(axis=2)
+
+    def measured(costs, number):
+        """Costs per start; and, once costs are known, the round's draws."""
+
+        def one(batches):
+            total, salt = np.zeros(len(starts)), salts(number)
+            for batch in batches:
+                points, hashes = batch[columns].to_numpy(dtype="float64"), batch["_hash"].to_numpy()
+                for s, (k, _) in enumerate(starts):
+                    gap = distance(points, found[s]).min(axis=1)
+                    total[s] += gap.sum()
+                    if costs is not None and costs[s] > 0:
+                        hit = uniform(hashes, salt[s]) < _OVERSAMPLING * k * gap / costs[s]
+                        if hit.any():
+                            yield rows_of(s, np.unique(points[hit], axis=0)).assign(cost=0.0)
+            none = np.full((len(starts), len(columns)), np.nan)
+            yield rows_of(np.arange(len(starts)), none).assign(cost=total)
+
+        out = drawn.mapInPandas(one, f"start int, {values}, cost double")
+        return out.groupBy("start", *[f"v{i}" for i in range(len(columns))]).agg(F.sum("cost").alias("cost")).toPandas()
+
+    costs = None
+    for number in range(1, _SEEDING_ROUNDS + 2):
+        table = measured(costs, number)
+        points = table[[f"v{i}" for i in range(len(columns))]].to_numpy(dtype="float64")
+        drawn_rows = ~np.isnan(points).any(axis=1)
+        costs = np.zeros(len(starts))
+        costs[table["start"].to_numpy()[~drawn_rows]] = table["cost"].to_numpy()[~drawn_rows]
+        for s in found:
+            mine = points[drawn_rows & (table["start"].to_numpy() == s)]
+            found[s] = np.unique(np.vstack([found[s], mine]), axis=0)
+
+    def weighed(batches):
+        total = {s: np.zeros(len(c)) for s, c in found.items()}
+        for batch in batches:
+            points = batch[columns].to_numpy(dtype="float64")
+            for s, candidates in found.items():
+                nearest = distance(points, candidates).argmin(axis=1)
+                total[s] += np.bincount(nearest, minlength=len(candidates))
+        for s, n in total.items():
+            yield pd.DataFrame({"start": s, "candidate": np.arange(len(n)), "n": n})
+
+    weights = drawn.mapInPandas(weighed, "start int, candidate int, n double")
+    weights = weights.groupBy("start", "candidate").agg(F.sum("n").alias("n")).toPandas().sort_values("candidate")
+    out = {}
+    for s, (k, start) in enumerate(starts):
+        n = weights.loc[weights["start"] == s, "n"].to_numpy()
+        out[k, start] = _plus_plus(found[s], n, k, np.random.default_rng([seed, k, start]))
+    return out
+
+
+def _plus_plus(points, counts, k, rng):
     """Each next centre is drawn in proportion to the squared distance from
-    the centres so far (Arthur & Vassilvitskii 2007)."""
-    centers = [points[rng.integers(len(points))]]
+    the centres so far (Arthur & Vassilvitskii 2007), by weight of the points."""
+    centers = [points[rng.choice(len(points), p=counts / counts.sum())]]
     nearest = ((points - centers[0]) ** 2).sum(axis=1)
     while len(centers) < k:
-        total = nearest.sum()
-        weights = nearest / total if total > 0 else None
+        total = (nearest * counts).sum()
+        weights = nearest * counts / total if total > 0 else None
         centers.append(points[rng.choice(len(points), p=weights)])
         nearest = np.minimum(nearest, ((points - centers[-1]) ** 2).sum(axis=1))
     return np.array(centers)
