@@ -9,7 +9,6 @@ from valuescout.functions.values import log_price
 from valuescout.operators.exposure import low_exposure, review_facts
 from valuescout.operators.pricing import mean_price_by, train_test_flag
 
-SINCE = "1998-01-01"
 POSITIVE_VALUE = 150000
 MIN_RATE = 0.5
 
@@ -19,9 +18,8 @@ def table(spark: SparkSession, sf_dir, name) -> DataFrame:
 
 
 def reviews(spark, sf_dir):
-    """Orders since 1998: the order value plays the review score."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= SINCE)
-    return orders.select(
+    """All orders: the order value plays the review score."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("listing_id"),
         F.col("o_totalprice").alias("score"),
     )
@@ -71,10 +69,10 @@ def segment_inputs(spark, sf_dir):
 
 
 # The same adapters in SQL.
-SQL_REVIEWS = f"""
+SQL_REVIEWS = """
 reviews AS (
   SELECT CAST(o_custkey AS VARCHAR) AS listing_id, o_totalprice AS score
-  FROM orders WHERE o_orderdate >= TIMESTAMP '{SINCE}')"""
+  FROM orders)"""
 
 SQL_FACTS = f"""{SQL_REVIEWS},
 counts AS (

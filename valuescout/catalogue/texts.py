@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from valuescout.catalogue.tables import table
+from valuescout.catalogue.tables import SQL_BUCKET, table
 from valuescout.constants import COMMON_ENGLISH_WORDS
 from valuescout.dictionaries import (
     DEGREE,
@@ -16,10 +16,10 @@ from valuescout.dictionaries import (
     tag_rows,
 )
 from valuescout.functions import text as tx
-from valuescout.functions.ids import valid_id
+from valuescout.functions.ids import hash_bucket, valid_id
 from valuescout.operators import exposure, phrases as ph
 from valuescout.operators.langid import keep_language, langid_fit, langid_model, langid_score
-from valuescout.operators.rows import split_groups
+from valuescout.operators.rows import keep_valid_ids, split_groups
 from valuescout.operators.sentiment import lexicon_sentiment
 from valuescout.plans.reviews import clean_reviews, cleaning_audit
 from valuescout.session import spread
@@ -180,9 +180,9 @@ scores AS (
 
 
 def sentiment_by_group(spark, sf_dir):
-    """Mean score and positive rate of labelled texts, toxic or not."""
+    """Mean score and positive rate of toxic, other and unlabelled texts."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scored = sentiment_scores(spark, sf_dir).join(labels, "doc_id")
+    scored = sentiment_scores(spark, sf_dir).join(labels, "doc_id", "left")
     return scored.groupBy("toxic").agg(
         F.count("*").alias("n"),
         F.round(F.avg("sentiment_vader"), 6).alias("mean_sentiment"),
@@ -194,7 +194,7 @@ SENTIMENT_BY_GROUP = f"""
 WITH {_SQL_SENTIMENT}
 SELECT toxic, count(*) AS n, round(avg(sentiment_vader), 6) AS mean_sentiment,
        round(avg(CASE WHEN sentiment_vader >= 0.5 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS positive_rate
-FROM scores JOIN labels USING (doc_id) GROUP BY toxic"""
+FROM scores LEFT JOIN labels USING (doc_id) GROUP BY toxic"""
 
 
 def _profile(spark, sf_dir):
@@ -237,15 +237,19 @@ found AS (
 
 
 def langid_confusion(spark, sf_dir):
-    docs = _documents(spark, sf_dir, "doc_id", "lang", "text")
-    scored = langid_score(docs, "text", langid_model(_profile(spark, sf_dir)))
-    return scored.groupBy("lang", "lang_found").agg(F.count("*").alias("n"))
+    """Given and found languages, apart for texts the profile has not seen."""
+    docs = _documents(spark, sf_dir, "doc_id", "lang", "text").withColumn("held_out", hash_bucket("doc_id"))
+    docs = docs.withColumn("held_out", (F.col("held_out") == 0).cast("int"))
+    profile = langid_fit(docs.filter(F.col("held_out") == 0), "text", "lang")
+    scored = langid_score(docs, "text", langid_model(profile))
+    return scored.groupBy("held_out", "lang", "lang_found").agg(F.count("*").alias("n"))
 
 
+_HELD_OUT = SQL_BUCKET.format(id="doc_id", seed=42, n=5)
 LANGID_CONFUSION = f"""
-WITH {_SQL_LANGID}
-SELECT d.lang, lang_found, count(*) AS n FROM documents d LEFT JOIN found USING (doc_id)
-GROUP BY d.lang, lang_found"""
+WITH {_SQL_LANGID.replace("FROM grams GROUP BY lang, gram", f"FROM grams WHERE {_HELD_OUT} <> 0 GROUP BY lang, gram")}
+SELECT CAST({_HELD_OUT} = 0 AS INTEGER) AS held_out, d.lang, lang_found, count(*) AS n
+FROM documents d LEFT JOIN found USING (doc_id) GROUP BY ALL"""
 
 
 def english_only(spark, sf_dir):
@@ -259,19 +263,20 @@ WITH {_SQL_LANGID}
 SELECT doc_id, lang, n_chars FROM documents JOIN found USING (doc_id) WHERE lang_found = 'en'"""
 
 
-def _english_reviews(spark, sf_dir):
-    """English documents, labelled by whether their source is little rated:
-    its number of labelled texts is below the median source's."""
+def _grouped_reviews(spark, sf_dir, language=None):
+    """Documents, labelled by whether their source is little rated: its number
+    of labelled texts is below the median source's. With a language only the
+    texts found to be in it."""
     docs = table(spark, sf_dir, "documents")
     listing = valid_id(F.regexp_extract("source", "^src([0-9]+)$", 1)).alias("listing_id")
     reviews = docs.select(F.col("doc_id").alias("id"), listing)
     rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     flags = exposure.low_exposure(exposure.review_counts(reviews.join(rated, "id")))
     hidden = flags.filter(F.col("is_hidden") == 1)
-    english = spread(docs.filter(F.col("lang") == "en")).select(
-        F.col("doc_id").alias("id"), listing, "text"
-    )
-    return split_groups(english, hidden, "listing_id", "group", "hidden", "other", "id")
+    texts = keep_valid_ids(spread(docs).select(F.col("doc_id").alias("id"), listing, "text"), "listing_id")
+    if language is not None:
+        texts = keep_language(texts, "text", langid_model(_profile(spark, sf_dir)), language)
+    return split_groups(texts, hidden, "listing_id", "group", "hidden", "other", "id")
 
 
 _SQL_GROUPS = """
@@ -284,11 +289,13 @@ hidden AS (SELECT listing_id FROM exposure WHERE n < (SELECT median(n) FROM expo
 grouped AS (
   SELECT id, listing_id, text,
          CASE WHEN listing_id IN (SELECT listing_id FROM hidden) THEN 'hidden' ELSE 'other' END AS "group"
-  FROM reviews WHERE lang = 'en')"""
+  FROM reviews)"""
+
+_SQL_ENGLISH_GROUPS = f"""{_SQL_LANGID}, {_SQL_GROUPS.replace("FROM reviews)", "FROM reviews JOIN found ON id = doc_id WHERE lang_found = 'en')")}"""
 
 
 def split(spark, sf_dir):
-    return _english_reviews(spark, sf_dir).select("id", "listing_id", "group")
+    return _grouped_reviews(spark, sf_dir).select("id", "listing_id", "group")
 
 
 def token_counts(spark, sf_dir):
@@ -327,7 +334,7 @@ def _sql_lemma(word, tag, listed):
 
 def tagged_counts(spark, sf_dir):
     """How often each (lemma, tag) occurs per group."""
-    grouped = _english_reviews(spark, sf_dir)
+    grouped = _grouped_reviews(spark, sf_dir)
     tagged = ph.tag_tokens(grouped, ["id", "group"], "text", tag_dictionary(spark))
     lemmas = ph.lemmatize(tagged, lemma_dictionary(spark))
     return lemmas.groupBy("group", "lemma", "tag").agg(F.count("*").alias("n"))
@@ -346,14 +353,14 @@ SELECT "group", lemma, tag, count(*) AS n FROM based GROUP BY ALL"""
 
 
 def phrase_windows(spark, sf_dir):
-    found = ph.phrase_windows(_english_reviews(spark, sf_dir), "group", "text")
+    found = ph.phrase_windows(_grouped_reviews(spark, sf_dir), "group", "text")
     return found.groupBy("group", "w1", "w2").agg(
         F.count("*").alias("n"), F.count("w3").alias("n_triples")
     )
 
 
 _VALID = f"regexp_matches({{0}}, '^[a-z]+$') AND length({{0}}) > 2 AND {{0}} NOT IN ({_quoted(ph.STOPWORDS)})"
-_SQL_WINDOWS = f"""{_SQL_GROUPS},
+_SQL_LAID = f"""
 listed AS (
   SELECT "group", list_transform(regexp_extract_all(text, '[A-Za-z'']+|[.,!?;:]'), lambda x: lower(x)) AS t
   FROM grouped),
@@ -363,13 +370,14 @@ laid AS (
 windows AS (
   SELECT "group", w1, w2, CASE WHEN {_VALID.format("w3x")} THEN w3x END AS w3
   FROM laid WHERE {_VALID.format("w1")} AND {_VALID.format("w2")})"""
+_SQL_WINDOWS = f"{_SQL_GROUPS}, {_SQL_LAID}"
 
 PHRASE_WINDOWS = f"""
 WITH {_SQL_WINDOWS}
 SELECT "group", w1, w2, count(*) AS n, count(w3) AS n_triples FROM windows GROUP BY ALL"""
 
 
-_SQL_PHRASES = f"""{_SQL_WINDOWS}, {_SQL_TAGS}, {_SQL_LEMMAS},
+_SQL_PHRASES = f"""{_SQL_ENGLISH_GROUPS}, {_SQL_LAID}, {_SQL_TAGS}, {_SQL_LEMMAS},
 distinct_words AS (
   SELECT w1 AS w FROM windows UNION SELECT w2 FROM windows UNION SELECT w3 FROM windows WHERE w3 IS NOT NULL),
 tagged AS (
@@ -394,7 +402,7 @@ ranked AS (
 
 
 def _counts(spark, sf_dir):
-    grouped = _english_reviews(spark, sf_dir)
+    grouped = _grouped_reviews(spark, sf_dir, "en")
     return ph.phrase_counts(grouped, "group", "text", tag_dictionary(spark), lemma_dictionary(spark))
 
 
@@ -429,7 +437,7 @@ TOP_SHARED = 500
 
 
 def phrase_ratio(spark, sf_dir):
-    sizes = _english_reviews(spark, sf_dir).groupBy("group").agg(F.count("*").alias("n_reviews"))
+    sizes = _grouped_reviews(spark, sf_dir, "en").groupBy("group").agg(F.count("*").alias("n_reviews"))
     ratio = ph.phrase_ratio(_counts(spark, sf_dir), sizes, "group", "hidden", "other", TOP_SHARED)
     return ratio.withColumns({c: F.round(c, 6) for c in ("per_k_a", "per_k_b", "ratio")})
 

@@ -34,7 +34,8 @@ def grams(c, sizes=GRAM_SIZES) -> Column:
 
 def langid_fit(df: DataFrame, text, lang, size=PROFILE_SIZE, sizes=GRAM_SIZES) -> DataFrame:
     """(lang, gram, n, share): the most frequent n-grams per language, ties by
-    n-gram; `share` is among the grams kept."""
+    n-gram; `share` is among the grams kept. `size` is the published method's
+    parameter: rarer n-grams are no part of a profile."""
     counts = (
         df.filter(F.col(lang).isNotNull())
         .select(F.col(lang).alias("lang"), F.explode(grams(text, sizes)).alias("gram"))
@@ -91,10 +92,9 @@ def langid_score(
     known n-gram. Texts are scored where they lie: no shuffle, no Python."""
     counted = model.counter.transform(df.withColumn("_grams", grams(text, sizes)))
     scored = model.bayes.transform(counted)
-    raw = vector_to_array("_raw")
+    grams_known = F.aggregate(vector_to_array("_counts"), F.lit(0.0), lambda total, n: total + n)
     listed = F.array(*[F.lit(lang) for lang in model.languages])
-    known = F.size(F.array_distinct(raw)) > 1 if len(model.languages) > 1 else F.size("_grams") > 0
-    found = F.when(known, F.get(listed, F.col("_found").cast("int")))
+    found = F.when(grams_known > 0, F.get(listed, F.col("_found").cast("int")))
     return scored.select(*df.columns, found.alias(name))
 
 

@@ -47,10 +47,15 @@ def derive_features(df: DataFrame, patterns=AMENITY_PATTERNS) -> DataFrame:
 def clean_listings(raw: DataFrame, reviews: DataFrame, order=None) -> DataFrame:
     """One row per listing that has a price and at least one cleaned review.
 
-    `order` names the column that ranks duplicate rows of one id. Price test
-    and semi join come before the feature work, which then runs on survivors.
+    `order` names the column that ranks duplicate rows of one id; without it
+    their other columns do, so that one row per id is left in any case. Price
+    test and semi join come before the feature work, which then runs on
+    survivors.
     """
-    if order is not None:
+    if order is None:
+        rest = [c for c in raw.columns if c != "id"]
+        raw = dedupe_first(raw.withColumn("_order", F.struct(*rest)), "id", "_order")
+    else:
         raw = dedupe_first(raw, "id", order)
     reviewed = distinct_ids(reviews, "listing_id").withColumnRenamed("listing_id", "id")
     kept = keep_members(price_listings(raw), reviewed, "id")
