@@ -112,11 +112,14 @@ def test_stream_equals_batch(spark, exports, tmp_path):
     folder = str(exports / "reviews")
     out, ids = str(tmp_path / "out"), str(tmp_path / "ids")
     raw = st.review_stream(spark, folder, RAW_REVIEWS, files_per_batch=1)
+    # few records are kept: counts are added up while the query runs
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
     counts = st.append_available(st.clean_stream(raw, 2025), out, str(tmp_path / "c1"))
     batch = clean_reviews(scan_csv_text(spark, folder), 2025).cache()
     streamed = spark.read.parquet(out).select(*batch.columns)
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     assert counts == {"rows_in": scan_csv_text(spark, folder).count(), "rows_kept": batch.count()}
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     # Nothing new: nothing is added.
     again = st.review_stream(spark, folder, RAW_REVIEWS, files_per_batch=1)
     st.append_available(st.clean_stream(again, 2025), out, str(tmp_path / "c1"))
@@ -135,6 +138,10 @@ def test_whole_study(spark, exports, tmp_path):
     read = lambda name: spark.read.parquet(f"{out}/{name}")
     counts = [r["n"] for r in read("funnel").orderBy("ord").collect()]
     assert counts == sorted(counts, reverse=True) and counts[-1] == read("gems").count() > 20
+    weights = read("phrase_weights").collect()
+    assert {r["group"] for r in weights} == {"in", "out"} and max(r["weight"] for r in weights) == 1.0
+    assert read("phrase_ratio").filter("ratio > 0").count() > 0
+    assert {r["group"] for r in read("theme_share").collect()} == {"in", "out"}
     assert read("gems").join(read("listings_clean").withColumnRenamed("id", "listing_id"), "listing_id", "left_anti").count() == 0
     assigned = read("assignments")
     no_bedrooms = read("gems").join(
@@ -146,3 +153,33 @@ def test_whole_study(spark, exports, tmp_path):
     assert {r["group"] for r in read("phrases").collect()} == {"in", "out"}
     gems_csv = scan_csv_text(spark, f"{out}/gems_csv")
     assert gems_csv.count() == counts[-1]
+
+
+def test_phrases_of_one_language_only(spark):
+    """A text that passes the cleaning step but is found to be in another
+    language does not count."""
+    from valuescout.dictionaries import lemma_dictionary, tag_dictionary
+    from valuescout.operators.langid import langid_fit
+    from valuescout.plans.phrases import contrast_phrases
+
+    labelled = [("the great location and a lovely place with friendly people", "en"),
+                ("der sehr gute platz und eine schöne wohnung mit netten leuten", "de")]
+    profile = langid_fit(spark.createDataFrame(labelled, "text string, lang string"), "text", "lang")
+    reviews = spark.createDataFrame(
+        [("1", "a", "the great location and friendly people"), ("1", "b", "eine schöne wohnung great location und der gute platz")],
+        "listing_id string, id string, comments_clean string",
+    )
+    ids = spark.createDataFrame([("1",)], "listing_id string")
+    dictionaries = tag_dictionary(spark), lemma_dictionary(spark)
+    both = contrast_phrases(reviews, ids, *dictionaries).filter("phrase = 'great location'").first()
+    one = contrast_phrases(reviews, ids, *dictionaries, profile=profile).filter("phrase = 'great location'").first()
+    assert (both["count"], one["count"]) == (2, 1)
+
+
+def test_duplicate_listings_go_without_an_order_too(spark):
+    rows = [dict.fromkeys(RAW_LISTING_COLUMNS, None) | {"id": i, "price": p, "name": n}
+            for i, p, n in (("5", "$10.00", "a"), ("5", "$20.00", "b"), ("6", "$30.00", "c"))]
+    raw = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} string" for c in RAW_LISTING_COLUMNS))
+    reviews = spark.createDataFrame([("5",), ("6",), ("6",)], "listing_id string")
+    cleaned = clean_listings(raw, reviews).collect()
+    assert sorted((r["id"], r["price_clean"]) for r in cleaned) == [("5", 10.0), ("6", 30.0)]

@@ -2,11 +2,12 @@
 
 from pyspark.sql import SparkSession, functions as F
 
-from valuescout.constants import FINAL_K, MIN_DISCOUNT, MIN_POSITIVE_RATE
-from valuescout.dictionaries import lemma_dictionary, sentiment_lexicon, tag_dictionary
+from valuescout.constants import CLOUD_PHRASES, FINAL_K, MIN_DISCOUNT, MIN_POSITIVE_RATE, TOP_PHRASES
+from valuescout.dictionaries import LOCATION_THEME, lemma_dictionary, sentiment_lexicon, tag_dictionary
 from valuescout.operators.funnel import criteria, funnel, join_signals, select_gems
+from valuescout.operators.phrases import phrase_ratio, phrase_weights, theme_share, top_phrases
 from valuescout.plans.listings import clean_listings
-from valuescout.plans.phrases import contrast_phrases
+from valuescout.plans.phrases import group_phrases, group_sizes, in_language
 from valuescout.plans.pricing import fair_price
 from valuescout.plans.reviews import clean_reviews, exposure_and_rate, listing_facts
 from valuescout.plans.segments import enrich, profile_segments, segment, validate_segments
@@ -29,9 +30,17 @@ def run_market(
     min_discount=MIN_DISCOUNT,
     segment_settings=None,
     tree=None,
+    language_profile=None,
+    language="en",
+    multiline=True,
 ):
     """Every stage is written as a table under `out`, and the next one reads
-    that table: a lost executor never repeats more than one stage."""
+    that table: a lost executor never repeats more than one stage.
+
+    `language_profile` (see `langid_fit`) keeps the reviews found to be in
+    `language` for the phrases; without one all reviews count. Where no cell
+    of the exports breaks a line, `multiline=False` lets Spark split files.
+    """
     lexicon = sentiment_lexicon(spark) if lexicon is None else lexicon
     tag_dict = tag_dictionary(spark) if tag_dict is None else tag_dict
     lemma_dict = lemma_dictionary(spark) if lemma_dict is None else lemma_dict
@@ -41,14 +50,14 @@ def run_market(
         return spark.read.parquet(f"{out}/{name}")
 
     raw_reviews = spread(
-        scan_csv_text(spark, reviews_path, ["listing_id", "id", "date", "comments"])
+        scan_csv_text(spark, reviews_path, ["listing_id", "id", "date", "comments"], multiline=multiline)
     )
     reviews = stage(clean_reviews(raw_reviews, year), "reviews_clean")
     facts = stage(listing_facts(reviews, "id", lexicon), "listing_facts")
 
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .csv(listings_path)
     )
@@ -74,5 +83,11 @@ def run_market(
     write_table(validate_segments(assigned), f"{out}/external_validation")
     write_table(profile_segments(found, chosen), f"{out}/profile")
 
-    contrast = contrast_phrases(reviews, gems, tag_dict, lemma_dict)
-    write_table(contrast, f"{out}/phrases")
+    spoken = in_language(reviews, language_profile, language)
+    spoken = stage(spoken, "reviews_spoken") if language_profile is not None else spoken
+    counts = stage(group_phrases(spoken, gems, tag_dict, lemma_dict), "phrase_counts")
+    write_table(top_phrases(counts, "group", TOP_PHRASES), f"{out}/phrases")
+    write_table(phrase_weights(counts, "group", CLOUD_PHRASES), f"{out}/phrase_weights")
+    sizes = group_sizes(spoken, gems)
+    write_table(phrase_ratio(counts, sizes, "group", "in", "out"), f"{out}/phrase_ratio")
+    write_table(theme_share(counts, "group", LOCATION_THEME), f"{out}/theme_share")

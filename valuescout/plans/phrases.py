@@ -8,6 +8,24 @@ from valuescout.operators.langid import keep_language, langid_model
 from valuescout.operators.rows import keep_valid_ids, split_groups
 
 
+def in_language(
+    reviews: DataFrame, profile: DataFrame | None, language="en", text="comments_clean"
+) -> DataFrame:
+    """Reviews with a valid listing id; with a language `profile` only those
+    found to be in `language` (runs one small job)."""
+    reviews = keep_valid_ids(reviews, "listing_id")
+    return reviews if profile is None else keep_language(reviews, text, langid_model(profile), language)
+
+
+def group_phrases(
+    reviews: DataFrame, ids: DataFrame, tag_dict, lemma_dict, review_key="id", text="comments_clean"
+) -> DataFrame:
+    """(group, phrase, count) for listings in `ids` ("in") and all others
+    ("out"), from one pass over the reviews."""
+    grouped = split_groups(reviews, ids, "listing_id", spread_by=review_key)
+    return ops.phrase_counts(grouped, "group", text, tag_dict, lemma_dict)
+
+
 def contrast_phrases(
     reviews: DataFrame,
     ids: DataFrame,
@@ -19,14 +37,9 @@ def contrast_phrases(
     language="en",
     top=10,
 ) -> DataFrame:
-    """(group, phrase, count, rank) for listings in `ids` ("in") and all
-    others ("out"), from one pass over the reviews. With a language `profile`
-    only texts in `language` are used (runs one small job)."""
-    reviews = keep_valid_ids(reviews, "listing_id")
-    if profile is not None:
-        reviews = keep_language(reviews, text, langid_model(profile), language)
-    grouped = split_groups(reviews, ids, "listing_id", spread_by=review_key)
-    counts = ops.phrase_counts(grouped, "group", text, tag_dict, lemma_dict)
+    """(group, phrase, count, rank): the most frequent phrases of each group."""
+    spoken = in_language(reviews, profile, language, text)
+    counts = group_phrases(spoken, ids, tag_dict, lemma_dict, review_key, text)
     return ops.top_phrases(counts, "group", top)
 
 

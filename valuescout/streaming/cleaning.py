@@ -6,7 +6,7 @@ from valuescout.functions.ids import valid_id
 from valuescout.plans.reviews import clean_reviews
 from valuescout.sources.csv import clean_na
 
-_KEPT_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+_POLL_SECONDS = 0.05
 
 
 def review_stream(spark: SparkSession, folder, schema, files_per_batch=100) -> DataFrame:
@@ -40,24 +40,31 @@ def append_available(df: DataFrame, out, checkpoint) -> dict:
 
     The file sink and its checkpoint make each batch appear once, also after a
     restart. Returns the observed counts, summed over the batches of this run.
+    They are added up while the query runs, as Spark keeps the last progress
+    records only; a batch that was missed is an error, not a smaller count.
     """
-    spark = df.sparkSession
-    before = spark.conf.get(_KEPT_PROGRESS)
-    spark.conf.set(_KEPT_PROGRESS, "100000")
-    try:
-        query = (
-            df.writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", out)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(_KEPT_PROGRESS, before)
-    totals = {}
-    for progress in query.recentProgress:
-        for name, row in progress.observedMetrics.items():
-            totals[name] = totals.get(name, 0) + (row["n"] or 0)
+    query = (
+        df.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    totals, last = {}, None
+
+    def add_up():
+        nonlocal last
+        for progress in query.recentProgress:
+            if last is not None and progress.batchId <= last:
+                continue
+            if last is not None and progress.batchId > last + 1:
+                raise RuntimeError(f"no counts of the batches after {last}")
+            for name, row in progress.observedMetrics.items():
+                totals[name] = totals.get(name, 0) + (row["n"] or 0)
+            last = progress.batchId
+
+    while not query.awaitTermination(_POLL_SECONDS):
+        add_up()
+    add_up()
     return totals
