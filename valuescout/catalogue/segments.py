@@ -65,6 +65,44 @@ nearest AS (
 SELECT cluster, count(*) AS n, round(sum(dist2), 4) AS sse FROM nearest GROUP BY cluster"""
 
 
+def kmeans_step(spark, sf_dir):
+    """One K-means pass from the label means: new centres and the SSE."""
+    vectors, centers = _label_centers(spark, sf_dir)
+    names = [f"e{i}" for i in range(64)]
+    flat = vectors.select(*[F.col("embedding")[i].alias(n) for i, n in enumerate(names)])
+    return _rounded(sg.kmeans_pass(flat, names, centers), "center", "sse", places=4)
+
+
+KMEANS_STEP = f"""
+{ASSIGN_SSE[: ASSIGN_SSE.index("SELECT cluster, count(*)")]},
+cost AS (SELECT sum(dist2) AS sse FROM nearest)
+SELECT CAST(cluster AS INTEGER) AS cluster, CAST(i - 1 AS INTEGER) AS position,
+       round(avg(CAST(embedding[i] AS DOUBLE)), 4) AS center, round(any_value(sse), 4) AS sse
+FROM nearest JOIN embeddings USING (vec_id), range(1, 65) t(i), cost GROUP BY cluster, i"""
+
+
+def silhouette_given(spark, sf_dir):
+    return _rounded(sg.silhouette_of(table(spark, sf_dir, "embeddings"), "embedding", "label"), "silhouette")
+
+
+SILHOUETTE_GIVEN = """
+WITH points AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+sums AS (SELECT label, i, sum(v[i]) AS y FROM points, range(1, 65) t(i) GROUP BY label, i),
+groups AS (SELECT label, list(y ORDER BY i) AS y FROM sums GROUP BY label),
+sizes AS (
+  SELECT label, count(*) AS n, sum(list_sum(list_transform(v, lambda x: x * x))) AS psi FROM points GROUP BY label),
+totals AS (
+  SELECT vec_id, p.label AS own, g.label AS other, n,
+         n * list_sum(list_transform(v, lambda x: x * x)) + psi
+         - 2 * list_sum(list_transform(range(1, 65), lambda i: v[i] * y[i])) AS total
+  FROM points p, groups g JOIN sizes s ON g.label = s.label),
+gaps AS (
+  SELECT vec_id, max(CASE WHEN own = other THEN CASE WHEN n > 1 THEN total / (n - 1) END END) AS a,
+         min(CASE WHEN own <> other THEN total / n END) AS b
+  FROM totals GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM gaps"""
+
+
 def assign_regions(spark, sf_dir):
     """Every listing to the nearest of the region means, in two dimensions."""
     inputs = segment_inputs(spark, sf_dir).select(
@@ -306,12 +344,16 @@ QUERIES = {
     "room_mix": room_mix,
     "top_neigh": top_neigh,
     "cluster_z": cluster_z,
+    "kmeans_step": kmeans_step,
+    "silhouette_given": silhouette_given,
     "kmeans_sweep": kmeans_sweep,
     "kmeans_centroids": kmeans_centroids,
     "silhouette": silhouette,
 }
 
 ORACLES = {
+    "kmeans_step": KMEANS_STEP,
+    "silhouette_given": SILHOUETTE_GIVEN,
     "standardize": STANDARDIZE,
     "cluster_means": CLUSTER_MEANS,
     "assign_sse": ASSIGN_SSE,

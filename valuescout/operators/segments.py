@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valuescout.constants import (
@@ -264,6 +265,31 @@ def _advance(rows, columns, models):
     return moved
 
 
+def kmeans_pass(df: DataFrame, columns, centers) -> DataFrame:
+    """(cluster, position, center, sse): one pass of the sweep from the given
+    [(cluster, [values])]; `sse` is that of the whole assignment before."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    start = np.array([values for _, values in centers], dtype="float64")
+    moved, cost = _advance(rows, list(columns), {0: start})[0]
+    cells = [
+        (int(cluster), i, float(v), cost)
+        for (cluster, _), center in zip(centers, moved)
+        for i, v in enumerate(center)
+    ]
+    return df.sparkSession.createDataFrame(cells, "cluster int, position int, center double, sse double")
+
+
+def silhouette_of(df: DataFrame, column, cluster) -> DataFrame:
+    """(silhouette): squared Euclidean silhouette of given clusters (runs a
+    job); `column` holds a vector as an array."""
+    vectors = df.select(
+        F.col(cluster).cast("double").alias("prediction"),
+        array_to_vector(F.col(column).cast("array<double>")).alias("features"),
+    )
+    score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vectors)
+    return df.sparkSession.createDataFrame([(float(score),)], "silhouette double")
+
+
 def sse_table(spark, solutions) -> DataFrame:
     return spark.createDataFrame(
         [(s.k, float(s.sse), s.iterations) for s in solutions], "k int, sse double, iterations int"
