@@ -20,7 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-PIECE = 1 << 14
+PIECE = 1 << 16
+SLICE = 256
 WINDOW = 16
 
 # fixed value: how the vocabulary's texts are cut before merging
@@ -222,7 +223,7 @@ def concatenated(codec, parts):
 
 
 def _cut_pieces(batches, codec_bytes, size):
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         codec = _codec(codec_bytes)
         rows = {"key": [], "piece": [], "stretch": [], "special": [], "text": []}
         for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
@@ -241,7 +242,7 @@ def _lists(ids):
 
 
 def _encoded_pieces(batches, codec_bytes):
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         codec = _codec(codec_bytes)
         ids = [codec.plain(t) if t is not None else [s] for t, s in zip(batch["text"].to_pylist(), batch["special"].to_pylist())]
         names = ["key", "piece", "stretch", "text"]
@@ -249,7 +250,7 @@ def _encoded_pieces(batches, codec_bytes):
 
 
 def _joined(batches, codec_bytes):
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         codec = _codec(codec_bytes)
         out = []
         for parts in batch["parts"].to_pylist():
@@ -267,12 +268,15 @@ def _joined(batches, codec_bytes):
 
 def _whole(batches, codec_bytes, schema):
     """Encode the texts that are short; take the ids of the others as given."""
-    for batch in batches:
+    for whole in batches:
         codec = _codec(codec_bytes)
-        given = batch["ids"].to_pylist()
-        ids = [codec.encode(t) if g is None else g for t, g in zip(batch["text"].to_pylist(), given)]
-        more = {"ids": _lists(ids), "decoded": pa.array([codec.decode(x) for x in ids], pa.string())}
-        yield pa.RecordBatch.from_arrays([more.get(f.name, batch[f.name] if f.name in batch.schema.names else None) for f in schema], schema=schema)
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            given = batch["ids"].to_pylist()
+            ids = [codec.encode(t) if g is None else g for t, g in zip(batch["text"].to_pylist(), given)]
+            more = {"ids": _lists(ids), "decoded": pa.array([codec.decode(x) for x in ids], pa.string())}
+            columns = [more[f.name] if f.name in more else batch[f.name] for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def encode_texts(docs: DataFrame, vocabulary, id_col="doc_id", text_col="text", carry=(), size=PIECE) -> DataFrame:
