@@ -84,9 +84,9 @@ def test_clean_reviews(spark, exports):
     assert cleaned.filter(F.col("comments_clean").contains("\n")).count() == 0
     steps = cleaning_audit(raw, 2025).orderBy("ord").collect()
     assert steps[0]["n_rows"] == raw.count() and steps[-1]["n_rows"] == cleaned.count()
-    scored = score_reviews(cleaned, "id", sentiment_lexicon(spark))
+    scored = score_reviews(cleaned, sentiment_lexicon(spark))
     assert scored.columns == [*cleaned.columns, "sentiment_vader"] and scored.count() == cleaned.count()
-    facts = listing_facts(cleaned, "id", sentiment_lexicon(spark)).collect()
+    facts = listing_facts(scored).collect()
     assert all(r["listing_id"].isdigit() and 0 <= r["positive_rate"] <= 1 for r in facts)
 
 

@@ -2,7 +2,7 @@ import math
 import re
 
 from valuescout.dictionaries import DEGREE, NEGATORS, VALENCE, sentiment_lexicon
-from valuescout.operators.sentiment import add_score, lexicon_sentiment
+from valuescout.operators.sentiment import add_score
 
 TEXTS = [
     "Great place!", "The place was good.", "The place was not good.", "VERY good, really clean",
@@ -47,7 +47,7 @@ def expected(text):
 def test_rules(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string").repartition(3)
     got = {r["id"]: r["sentiment_vader"] for r in
-           lexicon_sentiment(df, "id", "text", sentiment_lexicon(spark)).collect()}
+           add_score(df, "text", sentiment_lexicon(spark)).collect()}
     assert set(got) == set(range(len(TEXTS)))
     for i, text in enumerate(TEXTS):
         assert abs(got[i] - expected(text)) <= 5.1e-5, (text, got[i], expected(text))
@@ -56,7 +56,7 @@ def test_rules(spark):
 
 def test_column_order(spark):
     df = spark.createDataFrame([(1, "a", "good", "z"), (2, "b", None, "z")], "id int, x string, t string, y string")
-    scored = add_score(df, lexicon_sentiment(df, "id", "t", sentiment_lexicon(spark)), "id", "t")
+    scored = add_score(df, "t", sentiment_lexicon(spark))
     assert scored.columns == ["id", "x", "t", "sentiment_vader", "y"]
     assert {r["id"]: r["sentiment_vader"] > 0 for r in scored.collect()} == {1: True, 2: False}
 
@@ -64,7 +64,7 @@ def test_column_order(spark):
 def test_words_stay_whole_texts(spark):
     """A hit at the very end of a long text counts."""
     df = spark.createDataFrame([(1, "word " * 50000 + "wonderful")], "id int, t string")
-    score = lexicon_sentiment(df, "id", "t", sentiment_lexicon(spark)).first()["sentiment_vader"]
+    score = add_score(df, "t", sentiment_lexicon(spark)).first()["sentiment_vader"]
     assert score > 0.5
 
 
@@ -73,9 +73,26 @@ def test_copies_are_counted(spark):
     from valuescout.operators.exposure import review_facts
     rows = [("7", "1", "good place")] * 40 + [("7", "2", "bad"), ("7", "3", ""), ("8", "4", "good"), ("8", "4", "bad")]
     df = spark.createDataFrame(rows, "listing_id string, id string, t string").repartition(5)
-    scores = lexicon_sentiment(df, ["listing_id", "id"], "t", sentiment_lexicon(spark), count="n").cache()
-    got = sorted((r["id"], r["n"], round(r["sentiment_vader"] - expected("good place"), 4) == 0) for r in scores.collect())
-    assert got == [("1", 40, True), ("2", 1, False), ("3", 1, False), ("4", 1, False), ("4", 1, True)]
+    scores = add_score(df, "t", sentiment_lexicon(spark)).cache()
+    good = [r for r in scores.collect() if r["t"] == "good place"]
+    assert scores.count() == 44 and len(good) == 40
+    assert all(round(r["sentiment_vader"] - expected("good place"), 4) == 0 for r in good)
     facts = {r["listing_id"]: (r["review_count"], r["positive_rate"])
-             for r in review_facts(scores, threshold=0.4, count="n").collect()}
+             for r in review_facts(scores, threshold=0.4).collect()}
     assert facts == {"7": (42, 40 / 42), "8": (2, 0.5)}
+
+
+def test_scores_are_made_in_place(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = add_score(df, "text", sentiment_lexicon(spark))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan") :]
+    assert "Exchange" not in physical and "Join" not in physical and "Python" not in physical
+
+
+def test_a_near_word_of_the_lexicon_neither_strengthens_nor_negates(spark):
+    df = spark.createDataFrame([(1, "not good"), (2, "very good"), (3, "good")], "id int, t string")
+    full = spark.createDataFrame([("good", 1.9), ("not", 0.0), ("very", 0.0)], "word string, valence double")
+    got = {r["id"]: r["sentiment_vader"] for r in add_score(df, "t", full).collect()}
+    assert got[1] == got[2] == got[3] > 0
+    few = {r["id"]: r["sentiment_vader"] for r in add_score(df, "t", full.filter("word = 'good'")).collect()}
+    assert few[1] < 0 < few[3] < few[2]

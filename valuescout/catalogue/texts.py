@@ -20,8 +20,8 @@ from valuescout.functions.ids import hash_bucket, valid_id
 from valuescout.operators import exposure, phrases as ph
 from valuescout.operators.langid import keep_language, langid_fit, langid_model, langid_score
 from valuescout.operators.rows import keep_valid_ids, split_groups
-from valuescout.operators.sentiment import lexicon_sentiment
-from valuescout.plans.reviews import clean_reviews, cleaning_audit
+from valuescout.operators.sentiment import add_score
+from valuescout.plans.reviews import clean_reviews, cleaning_audit, score_reviews
 from valuescout.session import spread
 
 YEAR = 2025
@@ -132,7 +132,12 @@ FROM counts, range(0, 4) t(i)"""
 
 def sentiment_scores(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text")
-    return lexicon_sentiment(docs, "doc_id", "text", sentiment_lexicon(spark))
+    return add_score(docs, "text", sentiment_lexicon(spark)).drop("text")
+
+
+def reviews_scored(spark, sf_dir):
+    """All columns of the cleaned reviews, the score right after the text."""
+    return score_reviews(reviews_clean(spark, sf_dir), sentiment_lexicon(spark))
 
 
 _UP = _quoted(w for w, s in DEGREE.items() if s > 0)
@@ -140,7 +145,12 @@ _DOWN = _quoted(w for w, s in DEGREE.items() if s < 0)
 
 
 def _sql_degree(word):
-    return f"(CASE WHEN {word} IN ({_UP}) THEN 1.0 WHEN {word} IN ({_DOWN}) THEN -1.0 ELSE 0.0 END)"
+    known = f"{word} IN (SELECT word FROM lexicon)"
+    return f"(CASE WHEN {known} THEN 0.0 WHEN {word} IN ({_UP}) THEN 1.0 WHEN {word} IN ({_DOWN}) THEN -1.0 ELSE 0.0 END)"
+
+
+def _sql_negates(word):
+    return f"CAST({word} IN ({_quoted(NEGATORS)}) AND {word} NOT IN (SELECT word FROM lexicon) AS INTEGER)"
 
 
 _SQL_SENTIMENT = f"""
@@ -164,8 +174,7 @@ hits AS (
          (valence + sign(valence) * (
             CASE WHEN mixed AND length(form) > 1 AND regexp_matches(form, '^[A-Z'']+$') THEN 0.733 ELSE 0.0 END
             + 0.293 * {_sql_degree("p1")} + 0.293 * 0.95 * {_sql_degree("p2")} + 0.293 * 0.9 * {_sql_degree("p3")}))
-         * pow(-0.74, CAST(p1 IN ({_quoted(NEGATORS)}) AS INTEGER) + CAST(p2 IN ({_quoted(NEGATORS)}) AS INTEGER)
-                      + CAST(p3 IN ({_quoted(NEGATORS)}) AS INTEGER))
+         * pow(-0.74, {_sql_negates("p1")} + {_sql_negates("p2")} + {_sql_negates("p3")})
          * CASE WHEN but IS NULL THEN 1.0 WHEN pos < but THEN 0.5 ELSE 1.5 END AS s
   FROM context JOIN lexicon USING (word)),
 sums AS (
@@ -179,6 +188,13 @@ scores AS (
   SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS sentiment_vader FROM stressed)"""
 
 
+REVIEWS_SCORED = f"""
+WITH {_SQL_REVIEWS},
+cleaned AS (SELECT id, listing_id, date, comments_clean FROM steps WHERE in_year AND has_text AND english),
+{_SQL_SENTIMENT.replace("SELECT doc_id, text, regexp", "SELECT id AS doc_id, comments_clean AS text, regexp").replace("FROM documents)", "FROM (SELECT id, comments_clean, comments_clean AS text FROM cleaned))")}
+SELECT id, listing_id, date, comments_clean, sentiment_vader FROM cleaned JOIN scores ON id = doc_id"""
+
+
 def sentiment_by_group(spark, sf_dir):
     """Mean score and positive rate of toxic, other and unlabelled texts."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -459,6 +475,7 @@ QUERIES = {
     "reviews_clean": reviews_clean,
     "audit_reviews": audit_reviews,
     "sentiment_scores": sentiment_scores,
+    "reviews_scored": reviews_scored,
     "sentiment_by_group": sentiment_by_group,
     "langid_profile": langid_profile,
     "langid_confusion": langid_confusion,
@@ -479,6 +496,7 @@ ORACLES = {
     "looks_english": f"SELECT doc_id, lang, CAST({_sql_english('text')} AS INTEGER) AS english FROM documents",
     "reviews_clean": REVIEWS_CLEAN,
     "audit_reviews": AUDIT_REVIEWS,
+    "reviews_scored": REVIEWS_SCORED,
     "sentiment_scores": f"WITH {_SQL_SENTIMENT} SELECT doc_id, sentiment_vader FROM scores",
     "sentiment_by_group": SENTIMENT_BY_GROUP,
     "langid_profile": f"WITH {_SQL_GRAMS} SELECT lang, gram, n, round(share, 6) AS share FROM profile",

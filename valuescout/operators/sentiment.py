@@ -1,10 +1,10 @@
-"""Lexicon-and-rule sentiment (Hutto & Gilbert, ICWSM 2014) as a join."""
+"""Lexicon-and-rule sentiment (Hutto & Gilbert, ICWSM 2014) as a column."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from valuescout.dictionaries import DEGREE, NEGATORS
 from valuescout.functions.text import words
-from valuescout.operators.rows import copy_if_small
+from valuescout.operators.rows import evaluate_once
 
 # The empirical constants of the published rule set.
 DEGREE_STEP = 0.293
@@ -16,119 +16,96 @@ EXCLAMATION_STEP, EXCLAMATION_MAX = 0.292, 4
 QUESTION_STEP, QUESTION_MAX, QUESTION_CAP = 0.18, 3, 0.96
 NORMALISER = 15.0
 
-# Stands for the text itself, so that texts without a hit keep a row.
-_WHOLE = "\u0000"
-
-
-def _degree(word, degree):
-    up = [w for w, sign in degree.items() if sign > 0]
-    down = [w for w, sign in degree.items() if sign < 0]
-    return F.when(word.isin(*up), 1.0).when(word.isin(*down), -1.0).otherwise(0.0)
-
-
-def _adjusted(valence: Column, degree, negators) -> Column:
-    """Valence of a hit in the light of the three words before it."""
-    sign = F.signum(valence)
-    score = valence + F.when(F.col("_caps"), CAPS_STEP).otherwise(0.0) * sign
-    negations = F.lit(0)
-    for weight, name in zip(DISTANCE_WEIGHTS, ("_p1", "_p2", "_p3")):
-        word = F.lower(F.coalesce(name, F.lit("")))
-        score = score + _degree(word, degree) * DEGREE_STEP * weight * sign
-        negations = negations + word.isin(*negators).cast("int")
-    score = score * F.pow(F.lit(NEGATION_FACTOR), negations)
-    before = F.col("_pos") < F.col("_but")
-    weight = F.when(F.col("_but") == 0, 1.0).when(before, BUT_BEFORE).otherwise(BUT_AFTER)
-    return score * weight
-
-
-def lexicon_sentiment(
-    df: DataFrame,
-    keys,
-    text,
-    lexicon: DataFrame,
-    degree=DEGREE,
-    negators=NEGATORS,
-    name="sentiment_vader",
-    count=None,
-) -> DataFrame:
-    """(keys, score in -1..1), one row per key and text; blank texts score 0.
-    Rows alike in both are scored together; `count` names a column for their
-    number.
+# Entries of a lexicon travel with the plan; published ones have under 10,000.
+MAX_ENTRIES = 50_000
+
+
+def lexicon_entries(lexicon: DataFrame) -> dict:
+    """{word: valence}, read once; refuses more than fit in a plan."""
+    rows = lexicon.select("word", "valence").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"a lexicon has {MAX_ENTRIES} entries at most")
+    return {r["word"]: float(r["valence"]) for r in rows if r["word"]}
+
+
+def _lookup(entries):
+    """Column function from a word to its valence or NULL: a literal array of
+    small maps, the word's hash picks the map."""
+    slots = max(1, len(entries) // 4)
+    spark_hash = F.pmod(F.xxhash64("word"), F.lit(slots)).cast("int")
+    parts = [{"": 0.0} for _ in range(slots)]
+
+    def build(spark):
+        rows = spark.createDataFrame([(w,) for w in entries] or [("",)], "word string")
+        for r in rows.select("word", spark_hash.alias("slot")).collect():
+            if r["word"]:
+                parts[r["slot"]][r["word"]] = entries[r["word"]]
+        maps = [F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*map(F.lit, m.values()))) for m in parts]
+        table = F.array(*maps)
+        return lambda word: F.try_element_at(F.get(table, F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")), word)
+
+    return build
+
+
+def sentiment(spark, text, entries, degree=DEGREE, negators=NEGATORS) -> Column:
+    """Score in -1..1 of a text column, computed where the text lies.
 
-    Every word carries its neighbours along when the text is laid out, so the
-    rules need no window and no sort. The lexicon is counted; a small one is
-    copied to all tasks, and one partial sum per text is all that is shuffled.
+    Each word is looked up, and a hit is adjusted by the three words before it
+    unless they are in the lexicon themselves: degree words strengthen or
+    weaken it, negators turn it. Blank texts score 0.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(
-        *keys,
-        F.xxhash64(body).alias("_text"),
-        words(body).alias("_w"),
-        F.least(
-            F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit(""))),
-            F.lit(EXCLAMATION_MAX),
-        ).alias("_bang"),
-        (F.length(body) - F.length(F.replace(body, F.lit("?"), F.lit("")))).alias("_ask"),
-        # Capitals stress a word only where the text has small letters too.
-        body.rlike("[a-z]").alias("_mixed"),
-        # Place of the first "but", counted in words from 1; 0 if there is none.
-        F.when(
-            body.rlike(r"(?i)(?<![a-z'])but(?![a-z'])"),
-            F.size(words(F.regexp_extract(body, r"(?is)^(.*?)(?<![a-z'])but(?![a-z'])", 1))) + 1,
-        )
-        .otherwise(0)
-        .alias("_but"),
-    )
-    blank = F.lit(None).cast("string")
-    shifted = [F.concat(F.array_repeat(blank, i), F.col("_w")).alias(f"_p{i}") for i in (1, 2, 3)]
-    laid_out = (
-        base.withColumn("_w", F.concat(F.col("_w"), F.array(F.lit(_WHOLE))))
-        .select(
-            *keys, "_text", "_bang", "_ask", "_mixed", "_but",
-            F.posexplode(F.arrays_zip(F.col("_w").alias("_w"), *shifted)).alias("_i", "_z"),
-        )
-        .select(
-            *keys, "_text", "_bang", "_ask", "_but",
-            (F.col("_i") + 1).alias("_pos"),
-            "_z.*",
-            F.lower("_z._w").alias("_word"),
-            (F.col("_mixed") & (F.length("_z._w") > 1) & F.col("_z._w").rlike("^[A-Z']+$")).alias("_caps"),
-        )
-        .filter(F.col("_w").isNotNull())
-    )
-    entries = lexicon.select(F.col("word").alias("_word"), F.col("valence").alias("_valence"))
-    whole = df.sparkSession.range(1).select(F.lit(_WHOLE).alias("_word"), F.lit(0.0).alias("_valence"))
-    hits = laid_out.join(copy_if_small(entries.unionByName(whole)), "_word").select(
-        *keys,
-        "_text",
-        "_bang",
-        "_ask",
-        (F.col("_word") == _WHOLE).alias("_end"),
-        _adjusted(F.col("_valence"), degree, negators).alias("_s"),
-    )
-    copies = F.count_if("_end")
-    sums = hits.groupBy(*keys, "_text").agg(
-        (F.sum("_s") / copies).alias("_s"),
-        F.max("_bang").alias("_bang"),
-        F.max("_ask").alias("_ask"),
-        copies.alias("_n"),
-    )
-    asks = (
-        F.when(F.col("_ask") < 2, 0.0)
-        .when(F.col("_ask") <= QUESTION_MAX, F.col("_ask") * QUESTION_STEP)
-        .otherwise(QUESTION_CAP)
-    )
-    stressed = F.col("_s") + F.signum("_s") * (F.col("_bang") * EXCLAMATION_STEP + asks)
-    score = F.round(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORMALISER), 4).alias(name)
-    number = [] if count is None else [F.col("_n").alias(count)]
-    return sums.withColumn("_s", stressed).select(*keys, score, *number)
-
-
-def add_score(df: DataFrame, scores: DataFrame, key, after, name="sentiment_vader") -> DataFrame:
-    """Put the score column right after column `after`; unscored rows get 0.
-    `key` must identify a text."""
-    at = df.columns.index(after) + 1
-    order = [*df.columns[:at], name, *df.columns[at:]]
-    joined = df.join(scores, key, "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit(0.0))).select(*order)
+    valence_of = _lookup(entries)(spark)
+    up, down = ([w for w, sign in degree.items() if sign * way > 0] for way in (1, -1))
+    body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+    def adjusted(listed):
+        def one(word, i):
+            valence = F.get(listed["valence"], i)
+            sign = F.signum(valence)
+            form = F.get(listed["form"], i)
+            # Capitals stress a word only where the text has small letters too.
+            caps = listed["mixed"] & (F.length(form) > 1) & form.rlike("^[A-Z']+$")
+            score = valence + F.when(caps, CAPS_STEP).otherwise(0.0) * sign
+            negations = F.lit(0)
+            for back, weight in enumerate(DISTANCE_WEIGHTS, start=1):
+                near = F.coalesce(F.get(listed["word"], i - back), F.lit(""))
+                plain = F.get(listed["valence"], i - back).isNull()
+                step = F.when(near.isin(*up), 1.0).when(near.isin(*down), -1.0).otherwise(0.0)
+                score = score + F.when(plain, step).otherwise(0.0) * DEGREE_STEP * weight * sign
+                negations = negations + (plain & near.isin(*negators)).cast("int")
+            score = score * F.pow(F.lit(NEGATION_FACTOR), negations)
+            before = i + 1 < listed["but"]
+            place = F.when(listed["but"] == 0, 1.0).when(before, BUT_BEFORE).otherwise(BUT_AFTER)
+            return F.when(valence.isNull(), 0.0).otherwise(score * place)
+
+        return F.aggregate(F.transform(listed["word"], one), F.lit(0.0), lambda total, x: total + x)
+
+    # Arrays of one element let each step refer to the last one by name.
+    def told(line):
+        valence = F.transform(line["word"], valence_of)
+        but = F.array_position(line["word"], F.lit("but"))
+        fields = [line["form"].alias("form"), line["word"].alias("word"), line["mixed"].alias("mixed")]
+        return F.struct(*fields, valence.alias("valence"), but.alias("but"))
+
+    forms = F.transform(F.array(words(body)), lambda w: F.struct(w.alias("form"), F.transform(w, F.lower).alias("word"), body.rlike("[a-z]").alias("mixed")))
+    total = F.transform(F.transform(forms, told), adjusted)
+
+    def stressed(s):
+        bang = F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))
+        ask = F.length(body) - F.length(F.replace(body, F.lit("?"), F.lit("")))
+        asks = F.when(ask < 2, 0.0).when(ask <= QUESTION_MAX, ask * QUESTION_STEP).otherwise(QUESTION_CAP)
+        return s + F.signum(s) * (F.least(bang, F.lit(EXCLAMATION_MAX)) * EXCLAMATION_STEP + asks)
+
+    scored = F.transform(F.transform(total, stressed), lambda s: F.round(s / F.sqrt(s * s + NORMALISER), 4))
+    return F.get(scored, 0)
+
+
+def add_score(
+    df: DataFrame, text, lexicon: DataFrame, name="sentiment_vader", degree=DEGREE, negators=NEGATORS
+) -> DataFrame:
+    """Put the score column right after the text. Rows stay where they are,
+    also those that are alike; nothing is shuffled or joined."""
+    at = df.columns.index(text) + 1
+    score = sentiment(df.sparkSession, text, lexicon_entries(lexicon), degree, negators)
+    scored = evaluate_once(df, name, score)
+    return scored.select(*df.columns[:at], name, *df.columns[at:])

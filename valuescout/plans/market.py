@@ -9,7 +9,7 @@ from valuescout.operators.phrases import phrase_ratio, phrase_weights, theme_sha
 from valuescout.plans.listings import clean_listings
 from valuescout.plans.phrases import group_phrases, group_sizes, in_language
 from valuescout.plans.pricing import fair_price
-from valuescout.plans.reviews import clean_reviews, exposure_and_rate, listing_facts
+from valuescout.plans.reviews import clean_reviews, exposure_and_rate, listing_facts, score_reviews
 from valuescout.plans.segments import enrich, profile_segments, segment, validate_segments
 from valuescout.session import spread
 from valuescout.sources.csv import clean_na, scan_csv_text, with_file_order
@@ -53,7 +53,8 @@ def run_market(
         scan_csv_text(spark, reviews_path, ["listing_id", "id", "date", "comments"], multiline=multiline)
     )
     reviews = stage(clean_reviews(raw_reviews, year), "reviews_clean")
-    facts = stage(listing_facts(reviews, "id", lexicon), "listing_facts")
+    scored = stage(score_reviews(reviews, lexicon), "reviews_scored")
+    facts = stage(listing_facts(scored), "listing_facts")
 
     raw = (
         spark.read.option("header", True)

@@ -7,7 +7,7 @@ from valuescout.functions.text import looks_english, meaningful, normalize_text
 from valuescout.functions.values import in_year, to_date
 from valuescout.operators.exposure import low_exposure, review_facts
 from valuescout.operators.rows import audit, evaluate_once
-from valuescout.operators.sentiment import add_score, lexicon_sentiment
+from valuescout.operators.sentiment import add_score
 
 
 def _steps(year):
@@ -37,20 +37,15 @@ def cleaning_audit(df: DataFrame, year, date="date", text="comments") -> DataFra
     return audit(prepared, _steps(year))
 
 
-def score_reviews(cleaned: DataFrame, key, lexicon, text="comments_clean") -> DataFrame:
+def score_reviews(cleaned: DataFrame, lexicon, text="comments_clean") -> DataFrame:
     """Cleaned reviews with `sentiment_vader` right after the text."""
-    return add_score(cleaned, lexicon_sentiment(cleaned, key, text, lexicon), key, text)
-
-
-def listing_facts(
-    cleaned: DataFrame, review_key, lexicon, listing="listing_id", threshold=POSITIVE_THRESHOLD
-) -> DataFrame:
-    """(listing_id, review_count, positive_rate, is_hidden) straight from the
-    cleaned reviews: only ids and scores are shuffled, never the text."""
-    keys = [listing, review_key]
-    scores = lexicon_sentiment(cleaned, keys, "comments_clean", lexicon, count="n_reviews")
-    facts = review_facts(scores, listing, "sentiment_vader", threshold, "n_reviews")
-    return low_exposure(facts)
+    return add_score(cleaned, text, lexicon)
+
+
+def listing_facts(scored: DataFrame, listing="listing_id", threshold=POSITIVE_THRESHOLD) -> DataFrame:
+    """(listing_id, review_count, positive_rate, is_hidden) of scored reviews:
+    only ids and scores are shuffled, never the text."""
+    return low_exposure(review_facts(scored, listing, "sentiment_vader", threshold))
 
 
 def exposure_and_rate(facts: DataFrame):
