@@ -75,13 +75,18 @@ FROM described"""
 
 
 def one_hot(spark, sf_dir):
-    return pricing.one_hot_long(listings(spark, sf_dir), "id", "room_type")
-
-
-ONE_HOT = f"""
-WITH {SQL_LISTINGS}
-SELECT id, room_type AS level, CAST(1 AS INTEGER) AS value FROM listings
-WHERE room_type <> (SELECT min(room_type) FROM listings)"""
+    """All customers: what the tree's pipeline makes of the segment."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("room_type"))
+    coded = pricing.one_hot(customers, ["room_type"])
+    return coded.select("id", F.array_join(F.transform("room_type_onehot", lambda x: x.cast("int").cast("string")), "").alias("bits"))
+
+
+ONE_HOT = """
+WITH levels AS (
+  SELECT DISTINCT c_mktsegment AS level FROM customer
+  WHERE c_mktsegment <> (SELECT min(c_mktsegment) FROM customer))
+SELECT c_custkey AS id, string_agg(CASE WHEN c_mktsegment = level THEN '1' ELSE '0' END, '' ORDER BY level DESC) AS bits
+FROM customer, levels GROUP BY c_custkey"""
 
 
 def price_metrics(spark, sf_dir):

@@ -3,6 +3,7 @@
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
@@ -21,7 +22,7 @@ from valuescout.constants import (
 from valuescout.functions.ids import hash_bucket, in_test_set
 from valuescout.functions.values import log_price
 from valuescout.operators.quantiles import median_impute
-from valuescout.operators.rows import copy_if_small, fold_top_n
+from valuescout.operators.rows import fold_top_n
 
 _MAX_BINS = 256
 
@@ -85,15 +86,13 @@ def one_hot_stages(categorical):
     ], coded
 
 
-def one_hot_long(df: DataFrame, key, column) -> DataFrame:
-    """(key, level, value): the indicator row of every key in long form, first
-    level left out. Rows whose level is the first one have no entry."""
-    first = df.agg(F.min(column)).scalar()
-    return (
-        df.select(key, F.col(column).alias("level"), first.alias("_first"))
-        .filter(F.col("level") != F.col("_first"))
-        .select(key, "level", F.lit(1).alias("value"))
-    )
+def one_hot(df: DataFrame, columns) -> DataFrame:
+    """Adds `<c>_onehot`, an array of 0 and 1 per level in descending order, the
+    alphabetically first level left out; fits the stages of the tree's pipeline
+    (runs a job). Every row stays, also those of the first level."""
+    stages, coded = one_hot_stages(list(columns))
+    encoded = Pipeline(stages=stages).fit(df).transform(df)
+    return encoded.select(*df.columns, *[vector_to_array(c).alias(c) for c in coded])
 
 
 def tree_pipeline(
@@ -145,15 +144,15 @@ def fair_price_score(model: PipelineModel, prepared: DataFrame, key="id") -> Dat
 
 def mean_price_by(df: DataFrame, group, key="id") -> DataFrame:
     """The same predictions table from a one-split model: the geometric mean
-    price of the training rows in the listing's group. The groups are counted
-    (a job), so that listings of a big group need not meet in one task."""
+    price of the training rows in the listing's group. One row per group is
+    copied to all tasks once its size is known at run time."""
     fitted = (
         df.filter(F.col("in_test_set") == 0)
         .groupBy(group)
         .agg(F.avg("log_price").alias("predicted_log_price"))
     )
     predicted = F.exp("predicted_log_price")
-    return df.join(copy_if_small(fitted), group).select(
+    return df.join(fitted, group).select(
         F.col(key).alias("id"),
         "price_clean",
         "log_price",

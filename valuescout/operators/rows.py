@@ -12,15 +12,6 @@ SMALL_ROWS = 500_000
 SALTS = 16
 
 
-def copy_if_small(df: DataFrame, rows=SMALL_ROWS) -> DataFrame:
-    """Ask for a copy of `df` in every task if it is small (counts it).
-
-    A join of wide or exploded rows with a small table then needs no shuffle.
-    A bigger table gets no hint, and both sides are shuffled by the key.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def keep_valid_ids(df: DataFrame, key) -> DataFrame:
     """Normalise `key` and drop the rows whose id is corrupt."""
     return df.withColumn(key, valid_id(key)).filter(F.col(key).isNotNull())
