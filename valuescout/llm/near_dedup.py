@@ -2,14 +2,16 @@
 
 Documents with the same set of shingles are one class; one of its documents
 stands for all. Signatures (`minhash`) are cut into bands; documents that
-agree in a band share a bucket. Each bucket has one hub, drawn by a hash, and
-every other member is compared with it only, so a bucket of m documents makes
-m - 1 pairs. All pairs are confirmed on the full sets.
+agree in a band share a bucket. Each bucket has one hub, the member that meets
+most others in all its buckets, and every other member is compared with it
+only, so a bucket of m documents makes m - 1 pairs. All pairs are confirmed on
+the full sets.
 
 A star can miss a link between two members that are not like the hub. So
 buckets whose members are still in different components are gone through
-again, block by block: a short sketch of the signatures rules out pairs that
-are far from alike, the others are confirmed on the full sets too.
+again, in blocks of bounded size: signatures rule out pairs that are far from
+alike, the others are confirmed on the full sets in the task, each pair in the
+first bucket it shares. Only links that join components leave the task.
 """
 
 import numpy as np
@@ -24,9 +26,9 @@ from valuescout.session import cut_lineage
 
 BINS, ROWS = 250, 5
 SKETCH = 128
-# five standard deviations of the sketch below a similarity of 0.75
-_FAR = 0.55
-BLOCK = 256
+# five standard deviations below a similarity of 0.75, by sketch and signature
+_FAR, _FAR_WHOLE = 0.55, 0.61
+BLOCK = 512
 
 _SIGNED = "doc_id long, n long, ka long, kb long, bands array<long>, sketch binary"
 
@@ -81,32 +83,37 @@ def _grouped(batches, keys):
         yield rest
 
 
-def _across(batches, similarity):
-    """Likely pairs between different components within one block or two."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    found, size = [], 0
+def _links_in(group, percent, unpack):
+    """Links between different components within one block or two."""
+    component, own = group["component"].to_numpy(), group["block"].to_numpy()
+    if (component == component[0]).all():
+        return
+    doc, band = group["doc_id"].to_numpy(), group["band"][0].as_py()
+    two = group["low"][0].as_py() != group["high"][0].as_py()
+    text, name, _ = shingle_sets([unpack(t) for t in group["text"].to_pylist()])
+    signature = signatures(text, name, len(doc), BINS)
+    earlier = band_keys(signature, ROWS)[:, :band]
+    edge = np.searchsorted(text, np.arange(len(doc) + 1))
+    n = np.diff(edge)
+    for i in range(len(doc)):
+        other = i + 1 + np.flatnonzero((component != component[i])[i + 1 :])
+        other = other[own[other] != own[i]] if two else other
+        other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
+        other = other[(signature[other] == signature[i]).mean(axis=1) >= _FAR_WHOLE]
+        other = other[~(earlier[other] == earlier[i]).any(axis=1)]
+        for j in other:
+            common = len(np.intersect1d(name[edge[i] : edge[i + 1]], name[edge[j] : edge[j + 1]], assume_unique=True))
+            if component[i] != component[j] and 100 * common >= percent * (n[i] + n[j] - common):
+                component = np.where(component == component[j], component[i], component)
+                yield min(doc[i], doc[j]), max(doc[i], doc[j])
+
+
+def _across(batches, percent):
+    unpack = zstandard.ZstdDecompressor().decompress
     for group in _grouped(batches, ("bucket", "low", "high")):
-        if group.num_rows < 2:
-            continue
-        component, own = group["component"].to_numpy(), group["block"].to_numpy()
-        if (component == component[0]).all():
-            continue
-        doc, n = group["doc_id"].to_numpy(), group["n"].to_numpy()
-        sketch = _sketches(group["sketch"].combine_chunks())
-        two = group["low"][0].as_py() != group["high"][0].as_py()
-        for i in range(len(doc)):
-            other = np.flatnonzero((component > component[i]) & (own != own[i] if two else True))
-            least, most = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-            other = other[least >= similarity * most]
-            other = other[(sketch[other] == sketch[i]).mean(axis=1) >= _FAR]
-            if len(other):
-                found.append((np.minimum(doc[other], doc[i]), np.maximum(doc[other], doc[i])))
-                size += len(other)
-        if size > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=schema)
-            found, size = [], 0
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=schema)
+        links = list(_links_in(group, percent, unpack)) if group.num_rows > 1 else ()
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
 
 def _packed(batches):
@@ -174,41 +181,46 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent=7
     reps = named.join(classes, ["ka", "kb"]).filter(F.col("doc_id") == F.col("rep"))
     reps = cut_lineage(reps.select("doc_id", "n", "ka", "bands", "sketch").dropDuplicates(["doc_id", "ka"]))
 
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     full = cut_lineage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = banded.join(full, "bucket").join(reps.select("doc_id", "n", "sketch"), "doc_id")
-    members = cut_lineage(members.select("bucket", "size", "doc_id", "n", "sketch"))
+    met = banded.join(full, "bucket")
+    degree = met.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    members = cut_lineage(met.join(degree, "doc_id").select("band", "bucket", "size", "doc_id", "degree"))
 
-    draw = F.struct(F.xxhash64("bucket", "doc_id"), "doc_id", "n", "sketch")
+    draw = F.struct(-F.col("degree"), "doc_id")
     hubs = cut_lineage(members.groupBy("bucket").agg(F.min(draw).alias("hub")))
     star = members.join(hubs, "bucket").select(
-        F.least("doc_id", "hub.doc_id").alias("a"),
-        F.greatest("doc_id", "hub.doc_id").alias("b"),
-        F.least("n", "hub.n").alias("fewer"),
-        F.greatest("n", "hub.n").alias("more"),
-        "sketch",
-        F.col("hub.sketch").alias("hub_sketch"),
+        F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")
     )
-    star = star.filter((F.col("a") < F.col("b")) & (F.col("fewer") * 100 >= F.col("more") * percent))
-    star = cut_lineage(star.mapInArrow(_likely, "a long, b long").distinct())
+    star = cut_lineage(star.filter(F.col("a") < F.col("b")).distinct())
+    facts = reps.select("doc_id", "n", "sketch")
+    for end, n, sketch in (("a", "n", "sketch"), ("b", "hub_n", "hub_sketch")):
+        star = star.join(facts.select(F.col("doc_id").alias(end), F.col("n").alias(n), F.col("sketch").alias(sketch)), end)
+    star = star.filter(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    star = star.select("a", "b", "sketch", "hub_sketch").mapInArrow(_likely, "a long, b long")
+    star = cut_lineage(star.distinct())
     links = confirmed_links(star, texts, percent)
     found = cut_lineage(components(links))
 
     # what the stars may have missed: pairs across components of one bucket
-    placed = members.join(found, F.col("doc_id") == F.col("node"), "left")
+    placed = members.select("band", "bucket", "size", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left")
     placed = cut_lineage(placed.withColumn("component", F.coalesce("component", "doc_id")).drop("node"))
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    torn = cut_lineage(torn.filter(F.col("least") != F.col("most")).select("bucket"))
+    whose = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(38,0)")).alias(f"whose{i}") for i in (0, 1)]
+    torn = placed.groupBy("band", "bucket", "size").agg(F.min("component").alias("least"), F.max("component").alias("most"), *whose)
+    torn = torn.filter(F.col("least") != F.col("most"))
+    # of buckets with the same members the first will do
+    torn = torn.groupBy("size", "whose0", "whose1").agg(F.min(F.struct("band", "bucket")).alias("first"))
+    torn = cut_lineage(torn.select("first.bucket"))
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     spread = placed.join(torn, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), count).cast("int"))
+    spread = spread.join(texts.mapInArrow(_packed, "doc_id long, text binary"), "doc_id")
     spread = spread.withColumn("partner", F.explode(F.sequence(F.lit(0), count - 1)))
     spread = spread.withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner"))
     keys = ["bucket", "low", "high"]
+    spread = spread.select(*keys, "band", "block", "component", "doc_id", "text")
     spread = spread.repartition(*keys).sortWithinPartitions(*keys)
-    across = spread.select(*keys, "block", "component", "doc_id", "n", "sketch")
-    across = across.mapInArrow(lambda b: _across(b, percent / 100), "a long, b long").distinct()
-    across = cut_lineage(across.join(star, ["a", "b"], "left_anti"))
-    links = links.union(confirmed_links(across, texts, percent))
+    across = spread.mapInArrow(lambda b: _across(b, percent), "a long, b long")
+    links = cut_lineage(links.union(across).distinct())
     found = cut_lineage(components(links))
 
     of_class = signed.drop("bands", "sketch").join(classes, ["ka", "kb"], "left")
