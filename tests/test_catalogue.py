@@ -38,6 +38,27 @@ def test_models(spark):
     assert len(baseline) == 4 and all(0 < r["purity_random_baseline"] <= 1 for r in baseline)
 
 
+def test_registered_models(spark):
+    """One statement on each query that has no SQL form."""
+    def rows(name):
+        return QUERIES[name](spark, FOLDER).collect()
+
+    predictions = rows("price_predictions")
+    assert len(predictions) > 50
+    assert all(abs(r["price_clean"] - r["predicted_price"] - r["residual"]) < 1e-6 for r in predictions)
+    ranked = [r["importance"] for r in rows("importances")]
+    assert ranked and all(0 <= x <= 1 for x in ranked) and sum(ranked) <= 1 + 1e-9
+    assert len(rows("price_cv")) >= 4
+    overfit = rows("price_overfit")
+    assert len(overfit) >= 2
+    sse = {r["k"]: r["sse"] for r in rows("kmeans_sweep")}
+    assert sorted(sse) == list(range(1, 8)) and all(sse[k] >= sse[k + 1] for k in range(1, 7))
+    centres = rows("kmeans_centroids")
+    assert {(r["k"], r["cluster"]) for r in centres} == {(4, i) for i in range(4)}
+    assert all(-1 <= r["silhouette"] <= 1 for r in rows("silhouette"))
+    assert len(rows("external_validation")) == 4
+
+
 def test_scans_are_pruned_and_filters_pushed(spark):
     plan = QUERIES["year_filter"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan

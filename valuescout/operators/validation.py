@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from valuescout.constants import BASELINE_SHUFFLES, SPLIT_SEED
 from valuescout.session import cut_lineage
 
-# numpy's own sampler stops at this population.
-_NUMPY_LIMIT = 10**9
-
 
 def crosstab_long(df: DataFrame, cluster, variable) -> DataFrame:
     """(cluster, class, n); rows without a class are left out."""
@@ -139,9 +136,8 @@ def _random_agreement(sizes, totals, seed):
 
 
 def _draw(rng, left, size):
-    """How many of each class land in a cluster of this size."""
-    if left.sum() < _NUMPY_LIMIT:
-        return rng.multivariate_hypergeometric(left, size, method="marginals")
+    """How many of each class land in a cluster of this size; one sampler for
+    populations of any size, as numpy's ends at 10**9."""
     row, rest = np.zeros_like(left), int(left.sum())
     for i, total in enumerate(left[:-1].tolist()):
         rest -= total
