@@ -112,6 +112,7 @@ def followed(rows: DataFrame, id_col, tie_cols, columns) -> DataFrame:
         halves, F.lit(0), lambda at, half: at + F.when(F.element_at(ends, at + half) <= ident, half).otherwise(F.lit(0))
     )
     part = F.when(ident.isNotNull(), search).otherwise(-1 - F.pmod(F.xxhash64(*tie_cols), F.lit(64)).cast("int"))
+    part = F.coalesce(part, F.lit(0))  # never null: a filter would keep the two readers of `dealt` from sharing it
     order = [F.col(c) if c != id_col else ident.desc_nulls_last() for c in [id_col, *tie_cols]]
     inside = Window.partitionBy("part").orderBy(*order)
     value = F.struct(*columns)
