@@ -223,3 +223,21 @@ def test_followers_with_nulls_and_ties(spark):
     one = imatch.fingerprints(df.filter("doc_id = 1"), bits=bits).collect()
     assert one[0]["next_text"] == "a"
     assert imatch.fingerprints(df.limit(0), bits=bits).collect() == []
+
+
+def test_subsets_hold_nearly_all_of_the_lexicon(spark):
+    """A text of a single lexicon term has a fingerprint, and so has an edit to it."""
+    df = spark.createDataFrame([(i, f"term{i}") for i in range(300)], "doc_id long, text string")
+    out = imatch.fingerprints(df).collect()
+    assert all(any(h is not None for h in r["hashes"]) for r in out)
+    assert len({tuple(r["hashes"]) for r in out}) == 300
+
+
+def test_different_texts_without_terms_are_not_alike(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["the", "the", "of", None, ""])]
+    # each word in a third of the rows or more: outside the band
+    df = spark.createDataFrame(rows + [(9 + i, "the of") for i in range(3)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in imatch.op5_imatch(spark, tmp_path).collect()}
+    assert all(set(r["fingerprint"]) == {"-", " "} for r in out.values())
+    assert [out[i]["near_next"] for i in (1, 2, 3, 4, 11)] == [1.0, 0.0, 0.0, 1.0, 1.0]

@@ -1,9 +1,10 @@
 """I-Match fingerprints: hashes of the telling terms of a text.
 
 Terms within a band of inverse document frequency form the lexicon. From it
-several random subsets are drawn; a text has one hash per subset, over its
-distinct terms in that subset, sorted. Texts that share a hash agree in all
-terms of that subset. All work on texts is done by built-in column functions.
+several random subsets are drawn, each of half of it, so that a term is in none
+of them once in 2**32 only; a text has one hash per subset, over its distinct
+terms in that subset, sorted. Texts that share a hash agree in all terms of
+that subset. All work on texts is done by built-in column functions.
 """
 
 import math
@@ -14,7 +15,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 IDF_BAND = (2.0, 6.0)
 SUBSETS = 32
 LEXICON_BITS = 22
-_SHARE_BITS = 7
+_SHARE_BITS = 1
 _PER_BYTE = 4
 
 
@@ -78,14 +79,14 @@ def fingerprint(text: Column, bits: bytes) -> Column:
     return F.transform(F.array(terms), lambda t: F.array(*[hashed(t, i) for i in range(SUBSETS)]))[0]
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, equal: Column) -> Column:
     """Share of equal hashes among the subsets that either text has terms in.
 
-    1 if neither has a term in any subset.
+    If neither has a term in any subset: 1 if the texts are `equal`, else 0.
     """
     used = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.isNotNull() | y.isNotNull()), lambda u: u))
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda u: u))
-    return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
+    return F.when(used == 0, equal.cast("double")).otherwise(same / used)
 
 
 def printed(hashes: Column) -> Column:
@@ -163,6 +164,6 @@ def op5_imatch(spark, sf_dir):
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(F.col("hashes")).alias("fingerprint"),
         printed(F.col("edited_hashes")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("edited_hashes"), F.col("edited") == F.col("text")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes"), F.col("next_text") == F.col("text")).alias("near_next"),
     )
