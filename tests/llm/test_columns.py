@@ -132,6 +132,28 @@ def test_each_participant_is_the_assistant_once(spark):
     assert {r["speaker"] for r in out} == set("abc")
 
 
+def test_parts_are_the_whole_dialogue(spark, monkeypatch):
+    """Hundreds of turns; one participant is silent in most parts."""
+    monkeypatch.setattr(chat, "PARTS_PER_BLOCK", 2)
+    schema = "conv_id long, turn long, role string, text string"
+    for conv in (1, None):
+        said = [(0, "system", "be kind"), (1, "cy", "hello"), *((i, ("anna", "bo")[i % 2], f"é{i}") for i in range(2, 500)), (500, "cy", "bye")]
+        said = said if conv else [(0, "bo", "lost")]
+        out = chat.rotate_perspectives(spark.createDataFrame([(conv, *s) for s in said], schema).repartition(5)).collect()
+        assert len({r["part"] for r in out}) == (8 if conv else 1)
+        for speaker in {s[1] for s in said} - {"system"}:
+            mine = sorted((r for r in out if r["speaker"] == speaker), key=lambda r: r["part"])
+            whole, wanted = "".join(r["rendered"] for r in mine), ""
+            for _, name, text in said:
+                head = "assistant" if name == speaker else name if name == "system" else f"user name={name}"
+                wanted += f"<|im_start|>{head}\n{text}<|im_end|>\n"
+            assert whole == wanted and sum(r["n_turns"] for r in mine) == len(said)
+            own = [whole[m["start"] : m["stop"]] for r in mine for m in r["mask"]]
+            assert own == [f"{t}<|im_end|>" for _, name, t in said if name == speaker]
+            assert [whole[r["start"] :].startswith(r["rendered"]) for r in mine] == [True] * len(mine)
+            assert [r["start"] for r in mine] == [sum(len(q["rendered"]) for q in mine[:n]) for n in range(len(mine))]
+
+
 def test_native_plans(spark):
     for df in (chat.op9_chat(spark, FOLDER), imatch.op5_imatch(spark, FOLDER)):
         plan = df._jdf.queryExecution().toString()

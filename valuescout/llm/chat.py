@@ -6,31 +6,79 @@ marks what the assistant says, its end marker included, as spans of characters
 of the rendered text. Built-in column functions only.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 TURNS_PER_PART = 64
+PARTS_PER_BLOCK = 64
+
+
+def _views(parts: DataFrame) -> DataFrame:
+    """at, speaker and begin: a row per part and participant of its dialogue.
+
+    `begin` is the length of all earlier parts as the speaker has them. It is
+    added up without texts, inside blocks of parts and then over blocks, so
+    that a long dialogue is not added up in one task.
+    """
+
+    def length(s):
+        name = F.when(s["speaker"] == SYSTEM, len(SYSTEM)).otherwise(len("user name=") + F.length(s["speaker"]))
+        return (F.length(s["text"]) + name + len(f"{BEGIN}{END}\n\n")).cast("long")
+
+    # a speaker's own turns are headed by other words than all the others have
+    gain = len("assistant") - len("user name=") - F.length("speaker")
+    others = F.filter("said", lambda s: s["speaker"] != SYSTEM)
+    people = F.array_distinct(F.transform(others, lambda s: s["speaker"]))
+    turns_of = lambda name: F.size(F.filter("said", lambda s: s["speaker"] == name))
+    own = F.transform(people, lambda name: F.struct(name.alias("speaker"), turns_of(name).cast("long").alias("n_own")))
+    light = parts.select(
+        "at",
+        F.struct("at.conv", "at.alone").alias("whose"),
+        F.struct("at.conv", "at.alone", F.floor(F.col("at.part") / PARTS_PER_BLOCK).alias("block")).alias("block"),
+        F.aggregate("said", F.lit(0).cast("long"), lambda n, s: n + length(s)).alias("length"),
+        own.alias("own"),
+    )
+    spoken = light.select("at", "block", "whose", F.explode("own").alias("own")).select("at", "block", "whose", "own.*")
+    speakers = spoken.select("whose", "speaker").distinct()
+
+    def begins(sized, spoken, key, within, order):
+        """Lengths of what stands before each key, as each speaker has it."""
+        said = spoken.groupBy(key, "speaker").agg(F.sum("n_own").alias("n_own"))
+        seen = sized.join(said, [key, "speaker"], "left")
+        length = F.col("length") + F.coalesce("n_own", F.lit(0)) * gain
+        before = Window.partitionBy(within, "speaker").orderBy(F.col(order).asc_nulls_first())
+        before = before.rowsBetween(Window.unboundedPreceding, -1)
+        return seen.withColumn("before", F.coalesce(F.sum(length).over(before), F.lit(0)))
+
+    blocks = light.groupBy("block", "whose").agg(F.sum("length").alias("length")).join(speakers, "whose")
+    blocks = begins(blocks, spoken, "block", "whose", "block.block").select("block", "speaker", F.col("before").alias("first"))
+    inside = begins(light.select("at", "block", "length").join(blocks, "block"), spoken, "at", "block", "at.part")
+    return inside.select("at", "speaker", (F.col("first") + F.col("before")).alias("begin"))
 
 
 def rotate_perspectives(
     turns: DataFrame, conv_col="conv_id", turn_col="turn", speaker_col="role", text_col="text", per_part=TURNS_PER_PART
 ) -> DataFrame:
-    """One training text per participant and part of a dialogue.
+    """One training text per participant of a dialogue, in parts.
 
     A part holds the turns whose numbers fall in the same `per_part` numbers,
-    so that a dialogue of any length is dealt out in bounded pieces. The
-    system speaks for itself and is no participant. Returns conv (the id),
-    part, speaker, n_turns, n_own (turns of the speaker), rendered and mask
-    (array of start and stop).
+    so that a dialogue of any length is dealt out in bounded pieces. All who
+    speak anywhere in the dialogue have every part, whether they speak in it
+    or not: the parts of a speaker, put together in the order of their
+    numbers, are the rendering of the whole dialogue. The system speaks for
+    itself and is no participant. Returns conv (the id), part, speaker,
+    n_turns and n_own (turns of the part, and of the speaker in it), start
+    (where the part begins in the whole), rendered and mask (array of start
+    and stop, counted from the beginning of the whole).
 
     Defined cases: a null speaker has the empty name; a null text is empty; a
     null turn number belongs to part null and sorts first; rows without a
     conversation are dialogues of their own, equal ones together; equal turn
-    numbers are ordered by speaker and text, repeated rows are kept; a part
-    with the system alone gives no row; `<|` inside a text or name is written
-    `< |`, so that it can't end a turn; an empty table gives an empty result;
-    columns not named are ignored, whatever they are called.
+    numbers are ordered by speaker and text, repeated rows are kept; a
+    dialogue of the system alone gives no row; `<|` inside a text or name is
+    written `< |`, so that it can't end a turn; an empty table gives an empty
+    result; columns not named are ignored, whatever they are called.
     """
 
     def clean(column):
@@ -46,9 +94,10 @@ def rotate_perspectives(
         ).alias("said"),
     )
     alone = F.when(F.col("conv").isNull(), F.md5(F.to_json("said").cast("binary")))
-    parts = rows.groupBy("conv", alone.alias("alone"), "part").agg(F.array_sort(F.collect_list("said")).alias("said"))
-    names = F.array_distinct(F.transform("said", lambda s: s["speaker"]))
-    views = parts.select("conv", "part", "said", F.explode(F.filter(names, lambda n: n != SYSTEM)).alias("speaker"))
+    # structs are never null, so that equal nulls meet in joins
+    at = F.struct("conv", alone.alias("alone"), "part")
+    parts = rows.groupBy(at.alias("at")).agg(F.array_sort(F.collect_list("said")).alias("said"))
+    views = parts.join(_views(parts), "at").select("at.conv", "at.part", "said", "speaker", "begin")
 
     def head(said, speaker):
         own = F.when(said["speaker"] == speaker, F.lit(f"{BEGIN}assistant\n"))
@@ -63,9 +112,9 @@ def rotate_perspectives(
             (s["speaker"] == F.col("speaker")).alias("own"),
         ),
     )
-    views = views.select("conv", "part", "speaker", lines.alias("lines"))
+    views = views.select("conv", "part", "speaker", "begin", lines.alias("lines"))
     spans = "array<struct<start:long,stop:long>>"
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("mask"))
+    empty = F.struct(F.col("begin").alias("at"), F.array().cast(spans).alias("mask"))
 
     def advance(done, line):
         start = done["at"] + F.length(line["head"])
@@ -80,6 +129,7 @@ def rotate_perspectives(
         "speaker",
         F.size("lines").cast("long").alias("n_turns"),
         F.size(F.filter("lines", lambda l: l["own"])).cast("long").alias("n_own"),
+        F.col("begin").alias("start"),
         F.array_join(F.transform("lines", lambda l: F.concat(l["head"], l["body"], F.lit("\n"))), "").alias("rendered"),
         F.aggregate("lines", empty, advance, lambda done: done["mask"]).alias("mask"),
     )
