@@ -105,3 +105,19 @@ def test_words_and_windows():
     doc, lo, hi, anchor = anchored(tokens.grams(9), tokens.first, 35, 9)
     assert lo[0] == 0 and hi[-1] == 15 and (lo[1:] == hi[:-1] + 1).all()
     assert ((anchor >= lo) & (anchor <= lo + 26)).all() and (doc == 0).all()
+
+
+def test_names_that_differ_in_high_bits_only_are_not_equal(spark):
+    """Spans are told apart by all 64 bits of their second name."""
+
+    class High(ByteTokens):  # defined here, so that it travels to tasks
+        def __init__(self, raw):
+            super().__init__(raw)
+            names = self.running.names
+            self.running.names = lambda start, stop: names(start, stop) << np.uint64(32)
+
+    rows = [(i, words(i, 20) + PASSAGE[:40] + words(i + 1000, 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    method = repeats.Method(High, 100, True, 0)
+    out = repeats.without_repeats(df, method, "doc_id", "text", [], lambda text, runs: {"n": len(runs[0])}, "n long")
+    assert [r["n"] for r in out.collect()] == [0] * 40

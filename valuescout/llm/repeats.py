@@ -30,8 +30,8 @@ from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, bloc
 
 OPEN, REMOVED, CANDIDATE, BOTH = 0, 1, 2, 3
 _FLUSH = 1_000_000
-_LISTS = {"name": pa.int64(), "whole": pa.int32(), "did": pa.int64(), "tag": pa.int32(), "start": pa.int32(), "more": pa.int32()}
-_PACKED = "bucket int, name array<long>, whole array<int>, did array<long>, tag array<int>, start array<int>, more array<int>"
+_LISTS = {"name": pa.int64(), "whole": pa.int64(), "did": pa.int64(), "tag": pa.int32(), "start": pa.int32(), "more": pa.int32()}
+_PACKED = "bucket int, name array<long>, whole array<long>, did array<long>, tag array<int>, start array<int>, more array<int>"
 _U = np.uint64
 
 Method = namedtuple("Method", "tokens n keep_first buckets")
@@ -84,7 +84,7 @@ def _packed(name, whole, did, tag, place, known, buckets):
     bucket = (spread % _U(buckets)).astype(np.int32)
     order = np.lexsort((place, did, bucket))
     bucket = bucket[order]
-    columns = (name.view(np.int64), whole.astype(np.uint32).view(np.int32), did, tag, place >> 32, place & 0xFFFFFFFF)
+    columns = (name.view(np.int64), whole.view(np.int64), did, tag, place >> 32, place & 0xFFFFFFFF)
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     edges = pa.array(np.append(at, len(bucket)).astype(np.int32))
     lists = [
@@ -229,7 +229,8 @@ def _second_level(batches, method):
             fits = offset - count + 1 <= n - 2 * k if side == 0 else offset >= k
             begin = (begin + first)[fits]
             name = tokens.running.names(begin, begin + 2 * k)
-            out.add(name, mixed(name), ids[fits, 0], ids[fits, 1], _pack(anchor[fits], side))
+            # two that are taken for equal here are only looked at again
+            out.add(name, np.zeros_like(name), ids[fits, 0], ids[fits, 1], _pack(anchor[fits], side))
         if out.size >= _FLUSH:
             yield from out.flush()
     yield from out.flush()
