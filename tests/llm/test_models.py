@@ -122,6 +122,19 @@ def test_one_very_common_vector_and_small_blocks(spark):
     assert len(got) == 56
 
 
+@pytest.mark.parametrize("count,copies", [(100, 2), (400, 2), (100, 30)])
+def test_repeated_rows_take_no_places(spark, count, copies):
+    """Every id several times, by equal vectors and by worse ones."""
+    x = unit(6, count)
+    rows = [(i, [float(c) for c in x[i]]) for i in range(count)]
+    worse = [(i, [c / 2 for c in vec]) for i, vec in rows]
+    want = {(q, v) for q, _, v, _ in neighbours.brute_force(list(range(count)), x.astype(np.float64), lambda i: i % 20 == 0)}
+    for table in (rows * copies, rows * (copies - 1) + worse):
+        got = neighbours.nearest(frame(spark, table).repartition(6), F.col("vec_id") % 20 == 0, target=1.0).collect()
+        assert len(got) == len(want) == count // 20 * 20
+        assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -32,6 +32,13 @@ def scores(queries, vectors):
     return total
 
 
+def _per_id(near, ids):
+    """Scores reduced to the best of each id, along the last axis."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1])) if len(ids) else order
+    return np.maximum.reduceat(near[..., order], first, axis=-1) if len(first) < len(ids) else near
+
+
 class Forest:
     """Complete binary trees of random projections, and when to stop."""
 
@@ -103,8 +110,10 @@ class Forest:
         spent = []
         for q, bound in zip(trial, self.bounds(self.sample[trial])):
             near = self.sample @ self.sample[q]
-            near[q] = -np.inf
-            best = np.argsort(-near)[: min(self.k, n - 1)]
+            near[self.ids == self.ids[q]] = -np.inf
+            best = np.argsort(-near, kind="stable")
+            best = best[np.isfinite(near[best])]
+            best = best[np.sort(np.unique(self.ids[best], return_index=True)[1])[: self.k]]
             order = np.argsort(bound, kind="stable")
             upto = np.zeros(len(order))
             upto[order] = np.cumsum(sizes[order])
@@ -159,7 +168,7 @@ def _probed(batches, forest, sizes, budget):
                 seen = np.zeros(len(sizes), bool)
                 seen[cells] = True
                 found = seen[forest.home].any(axis=1) & (forest.ids != i)
-                near = forest.sample[found] @ q
+                near = _per_id(forest.sample[found] @ q, forest.ids[found])
                 taken.append(cells)
                 least.append(np.partition(near, -forest.k)[-forest.k] if len(near) >= forest.k else -np.inf)
             yield pa.RecordBatch.from_arrays(
@@ -194,11 +203,17 @@ def _nearest(vectors, queries, k):
     rough = q @ v.T
     rough[asked[:, None] == ids[None, :]] = -np.inf
     least = queries["least"].to_numpy()
-    if len(ids) > k:
-        least = np.maximum(least, np.partition(rough, -k, axis=1)[:, -k])
+    near = _per_id(rough, ids)
+    if near.shape[1] > k:
+        least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
     slack = _SLACK * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0))
     row, column = np.nonzero((rough >= least[:, None] - slack) & np.isfinite(rough))
     exact = scores(q[row], v[column])
+    order = np.lexsort((-exact, ids[column], row))
+    row, column, exact = row[order], column[order], exact[order]
+    new = np.ones(len(row), bool)  # the best row of each id
+    new[1:] = (row[1:] != row[:-1]) | (ids[column[1:]] != ids[column[:-1]])
+    row, column, exact = row[new], column[new], exact[new]
     order = np.lexsort((ids[column], -exact, row))
     row, column, exact = row[order], column[order], exact[order]
     nth = np.arange(len(row)) - np.searchsorted(row, row)
