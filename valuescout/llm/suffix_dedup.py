@@ -1,9 +1,10 @@
 """Removal of byte strings that occur earlier in the corpus.
 
-Distributed prefix doubling: Spark sorts (place, rank) pairs at offsets that
-grow twofold and ranks again, until a place is unique or past the threshold
-(see `repeats`). Only places that a rule on the content selects are ranked, so
-that about one byte in 38 gets a row; equal strings select equal places.
+In place of the ranks of prefix doubling, strings of n / 4, n / 2 and n bytes
+have hash names, made where the text lies; Spark groups equal names, until a
+place is unique or past the threshold (see `repeats`). Only places that a rule
+on the content selects are named, so that about one byte in 38 gets a row;
+equal strings select equal places.
 The first copy in the order (id, start) stays.
 """
 
