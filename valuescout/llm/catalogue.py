@@ -1,6 +1,18 @@
 """Registered queries of the subpackage and their SQL twins."""
 
-from valuescout.llm import bpe, chat, imatch, language, mixing, near_dedup, neighbours, substring_dedup, suffix_dedup, url_filter
+from valuescout.llm import (
+    bpe,
+    chat,
+    hard_negatives,
+    imatch,
+    language,
+    mixing,
+    near_dedup,
+    neighbours,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+)
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +27,12 @@ QUERIES = {
         near_dedup.op8_near_dedup,
         chat.op9_chat,
         suffix_dedup.op10_suffix_dedup,
+        hard_negatives.op12_hard_negatives,
     )
 }
-ORACLES = {"op2_mixing": mixing.SQL, "op6_url_filter": url_filter.SQL, "op9_chat": chat.SQL}
+ORACLES = {
+    "op2_mixing": mixing.SQL,
+    "op6_url_filter": url_filter.SQL,
+    "op9_chat": chat.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+}
