@@ -3,6 +3,7 @@
 from valuescout.llm import (
     bpe,
     chat,
+    decontamination,
     hard_negatives,
     imatch,
     language,
@@ -27,6 +28,7 @@ QUERIES = {
         near_dedup.op8_near_dedup,
         chat.op9_chat,
         suffix_dedup.op10_suffix_dedup,
+        decontamination.op11_decontamination,
         hard_negatives.op12_hard_negatives,
     )
 }
@@ -34,5 +36,6 @@ ORACLES = {
     "op2_mixing": mixing.SQL,
     "op6_url_filter": url_filter.SQL,
     "op9_chat": chat.SQL,
+    "op11_decontamination": decontamination.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
 }
