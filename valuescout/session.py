@@ -1,6 +1,7 @@
 """Session helpers: lineage cuts go to the shared folder the cluster names."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """Write `df` as a compressed columnar table beside the checkpoints (an action).
+
+    For results that are read several times and are too big for a checkpoint,
+    which is not compressed and is read with all its columns.
+    """
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly work on a scan with few splits.
 
