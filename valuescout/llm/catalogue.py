@@ -12,6 +12,7 @@ from valuescout.llm import (
     neighbours,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
     url_filter,
 )
 
@@ -30,6 +31,7 @@ QUERIES = {
         suffix_dedup.op10_suffix_dedup,
         decontamination.op11_decontamination,
         hard_negatives.op12_hard_negatives,
+        token_alignment.op13_alignment,
     )
 }
 ORACLES = {
