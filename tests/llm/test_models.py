@@ -62,6 +62,29 @@ def test_awkward_languages(spark):
     assert language.identify_languages(df.limit(0), model).collect() == []
 
 
+def test_a_plain_rewriting_gives_the_same(spark):
+    """Dictionaries and plain sums; also the same score alone, in blocks and in any partitions."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = rows.union(spark.createDataFrame(documents(), SCHEMA).selectExpr("doc_id + 100000", "text", "lang"))
+    learned = rows.filter(~language.held_out())
+    model = language.fit_languages(learned)
+    again = language.fit_languages(learned.repartition(7))
+    assert (model.weights == again.weights).all() and (model.trust == again.trust).all()
+    found = {}
+    for parts in (1, 7):
+        out = language.identify_languages(rows.repartition(parts), model, carry=["doc_id"])
+        found[parts] = {r["rest"]["doc_id"]: (r["lang_pred"], r["score"]) for r in out.collect()}
+    assert found[1] == found[7]
+    texts = [tuple(r) for r in rows.select("doc_id", "text").collect()]
+    wanted = language.brute_force([tuple(r) for r in learned.select("text", "lang").collect()], [t for _, t in texts])
+    for (doc_id, _), (lang, score) in zip(texts, wanted):
+        assert found[1][doc_id][0] == lang and abs(found[1][doc_id][1] - score) < 1e-6
+    for doc_id, text in texts[:20]:
+        if text:
+            alone = model.decode(model.margins(language._counts([text.encode()], language.FEATURES)))
+            assert found[1][doc_id][1] in (0.0, alone.max())
+
+
 def test_few_languages(spark):
     rows = [(1, "der die das und", "de"), (2, "the and of", None), (3, None, "en")]
     df = spark.createDataFrame(rows, DOCS)

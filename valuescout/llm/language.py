@@ -24,6 +24,9 @@ MAX_LANGUAGES = 512
 MARGIN = 0.05
 _SMOOTHING = 0.5
 _SCALE = 6.0
+# Weights are whole 65536ths: sums of counts times weights stay below 2**53, so
+# they are exact whatever the order, and a text's score is its own.
+_FIXED = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
 _CELLS = 1 << 21
 
@@ -42,7 +45,7 @@ _FOLD = _letters()
 
 def _counts(raw, features):
     """Rows of hashed counts of 2- and 3-grams of letters and word edges."""
-    out = np.zeros((len(raw), features), np.float32)
+    out = np.zeros((len(raw), features))
     length = np.array([len(r) + 2 for r in raw])
     data = _FOLD[np.frombuffer(b"".join(b" " + r + b" " for r in raw), np.uint8)]
     text = np.repeat(np.arange(len(raw)), length)
@@ -121,13 +124,13 @@ class Model:
 
     def margins(self, counts):
         total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        return _SCALE * (counts @ self.weights) / total
+        return _SCALE * (counts @ self.weights) / (total * _FIXED)
 
     def decode(self, margins):
         """Probability-like score per language, from weighted logistic loss."""
         loss = np.zeros((len(margins), len(self.languages)))
-        for row, (word, trust) in enumerate(zip(self.code, self.trust)):
-            loss[:, row] = np.logaddexp(0, -margins * word) @ trust
+        for margin, word, trust in zip(margins.T, self.code.T, self.trust.T):
+            loss += np.logaddexp(0, -margin[:, None] * word) * trust
         shifted = np.exp(loss.min(axis=1, keepdims=True) - loss)
         return shifted / shifted.sum(axis=1, keepdims=True)
 
@@ -165,10 +168,10 @@ def fit_languages(labelled: DataFrame, text_col="text", lang_col="lang", feature
     share = share + _SMOOTHING
     share /= share.sum(axis=1, keepdims=True)
     code = codewords(len(languages))
-    weights = np.zeros((features, code.shape[1]), np.float32)
+    weights = np.zeros((features, code.shape[1]))
     for bit in range(code.shape[1]):
         one = code[:, bit] > 0
-        weights[:, bit] = np.log(share[one].mean(axis=0)) - np.log(share[~one].mean(axis=0))
+        weights[:, bit] = np.rint(_FIXED * (np.log(share[one].mean(axis=0)) - np.log(share[~one].mean(axis=0))))
     model = Model(languages, code, weights, np.ones(code.shape))
     if not code.size:
         return model
@@ -209,8 +212,10 @@ def identify_languages(docs: DataFrame, model: Model, text_col="text", carry=(),
 
     Defined cases: a null text or one without a letter is `und` with score 0
     and ambiguous; a model without languages calls everything `und`; with one
-    language every text with a letter is that one, score 1; repeated rows get
-    equal answers; columns not named are ignored, whatever they are called.
+    language every text with a letter is that one, score 1; equal texts get
+    equal answers, whatever texts they are read with; very long texts are
+    counted whole; an empty table gives an empty result; columns not named are
+    ignored, whatever they are called.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -233,3 +238,72 @@ def op7_language(spark, sf_dir):
     model = fit_languages(docs.filter(~held_out()))
     found = identify_languages(docs.select("text", F.col("doc_id"), held_out().alias("held_out")), model, carry=("doc_id", "held_out"))
     return found.select("rest.doc_id", "rest.held_out", "lang_pred", "score", "ambiguous")
+
+
+def brute_force(labelled, texts, features=FEATURES):
+    """The same text by text with dictionaries, for small tables in tests.
+
+    `labelled` are (text, lang), `texts` the texts to predict. Returns
+    (lang_pred, score) of each.
+    """
+    import math
+
+    def grams(text):
+        data = "".join(chr(b) if b > 127 or chr(b).isalpha() else " " for b in text.encode())
+        data = " " + data.translate({c: c + 32 for c in range(65, 91)}) + " "
+        found = {}
+        for size in (2, 3):
+            for at in range(len(data) - size + 1):
+                if data[at : at + size].strip(" "):
+                    value = 0
+                    for c in data[at : at + size]:
+                        value = value * 257 + ord(c)
+                    cell = ((value + size) * 2654435761 % (1 << 32)) >> (33 - features.bit_length())
+                    found[cell] = found.get(cell, 0) + 1
+        return found
+
+    rows = [(grams(text), lang) for text, lang in labelled if text is not None and lang is not None]
+    languages = sorted({lang for _, lang in rows})
+    code = codewords(len(languages)).tolist()
+    bits = range(len(code[0]) if code else 0)
+    totals = {lang: [_SMOOTHING] * features for lang in languages}
+    for found, lang in rows:
+        for cell, n in found.items():
+            totals[lang][cell] += n
+    sums = {lang: math.fsum(totals[lang]) for lang in languages}
+
+    def weight(cell, bit):
+        sides = [[totals[lang][cell] / sums[lang] for lang, word in zip(languages, code) if (word[bit] > 0) == one] for one in (True, False)]
+        return round(_FIXED * math.log(math.fsum(sides[0]) / len(sides[0]) / (math.fsum(sides[1]) / len(sides[1]))))
+
+    known = {}
+
+    def margins(found):
+        out = []
+        for bit in bits:
+            for cell in found:
+                if (cell, bit) not in known:
+                    known[cell, bit] = weight(cell, bit)
+            out.append(_SCALE * sum(n * known[cell, bit] for cell, n in found.items()) / (_FIXED * max(1, sum(found.values()))))
+        return out
+
+    right = {lang: [1] * len(bits) for lang in languages}
+    have = {lang: 2 for lang in languages}
+    for found, lang in rows:
+        have[lang] += 1
+        for bit, m in enumerate(margins(found)):
+            right[lang][bit] += m * code[languages.index(lang)][bit] > 0
+    out = []
+    for text in texts:
+        if text is None or not languages or not _LETTER.search(text):
+            out.append((UNDETERMINED, 0.0))
+            continue
+        m, loss = margins(grams(text)), []
+        for lang, word in zip(languages, code):
+            trust = [r / have[lang] for r in right[lang]]
+            trust = [t * len(trust) / math.fsum(trust) for t in trust]
+            loss.append(math.fsum(math.log1p(math.exp(-a * b)) * t for a, b, t in zip(m, word, trust)))
+        share = [math.exp(min(loss) - x) for x in loss]
+        best = loss.index(min(loss))
+        out.append((languages[best], share[best] / math.fsum(share)))
+    return out
