@@ -149,25 +149,24 @@ WITH said AS (
          replace(coalesce(text, ''), '<|', '< |') AS text,
          CASE WHEN conv_id IS NULL THEN md5(concat(turn, '/', role, '/', text)) END AS alone
   FROM conversations
-), views AS (
-  SELECT DISTINCT conv_id, alone, part, speaker AS view FROM said WHERE speaker <> '{SYSTEM}'
+), people AS (
+  SELECT DISTINCT conv_id, alone, speaker AS view FROM said WHERE speaker <> '{SYSTEM}'
 ), lines AS (
   SELECT s.*, v.view, s.speaker = v.view AS own,
          CASE WHEN s.speaker = v.view THEN '{BEGIN}assistant' || chr(10)
               WHEN s.speaker = '{SYSTEM}' THEN '{BEGIN}{SYSTEM}' || chr(10)
               ELSE '{BEGIN}user name=' || s.speaker || chr(10) END AS head,
          s.text || '{END}' AS body
-  FROM said s JOIN views v ON s.conv_id IS NOT DISTINCT FROM v.conv_id
-       AND s.alone IS NOT DISTINCT FROM v.alone AND s.part IS NOT DISTINCT FROM v.part
+  FROM said s JOIN people v ON s.conv_id IS NOT DISTINCT FROM v.conv_id AND s.alone IS NOT DISTINCT FROM v.alone
 ), placed AS (
   SELECT *, row_number() OVER w AS n,
          sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS start
   FROM lines
-  WINDOW w AS (PARTITION BY conv_id, alone, part, view ORDER BY turn NULLS FIRST, speaker, text
+  WINDOW w AS (PARTITION BY conv_id, alone, view ORDER BY turn NULLS FIRST, speaker, text
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
 SELECT conv_id, part, view AS speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
        string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
-       string_agg(CASE WHEN own THEN start || '-' || (start + length(body)) END, ',' ORDER BY n) AS mask
+       coalesce(string_agg(CASE WHEN own THEN start || '-' || (start + length(body)) END, ',' ORDER BY n), '') AS mask
 FROM placed GROUP BY conv_id, alone, part, view
 """
