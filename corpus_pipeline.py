@@ -31,6 +31,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir) -> DataFrame:
     """Drop texts whose language can't be told: no letter, or two languages
     equally likely. The labels of the documents themselves train the model;
     without any label nothing can be told apart and texts with a letter stay.
+    Null and empty texts go; equal texts stay or go together; an empty table
+    gives an empty result.
     """
     docs = documents(docs)
     model = fit_languages(docs)
@@ -63,7 +65,12 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir) -> D
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir) -> DataFrame:
-    """Each document as often as the mix takes it: none, once, up to thrice."""
+    """Each document as often as the mix takes it: none, once, up to thrice.
+
+    Null and empty texts count no words and are taken like the others of their
+    source; rows that share id and text are taken together; a null source is a
+    source of its own; an empty table gives an empty result.
+    """
     done = mix_sources(documents(docs), carry=["doc_id", "text", "lang", "n_chars"])
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     out = done.filter(F.col("copies") > 0).withColumn("copy", copies)
@@ -71,15 +78,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir) -> DataFrame:
-    """Token ids of every text; decoding them must give the text again."""
-    done = encode_texts(documents(docs), default_vocabulary(), carry=["lang", "source", "text"])
+    """Token ids of every text; `exact` tells that decoding gives the text again.
+
+    A null or empty text has no ids and is exact; rows that share an id or a
+    text keep a row each; an empty table gives an empty result.
+    """
+    done = encode_texts(documents(docs), default_vocabulary(), carry=["lang", "source"], decoded=False)
     return done.select(
-        F.col("id").alias("doc_id"),
-        "rest.lang",
-        "rest.source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        (F.col("decoded") == F.coalesce("rest.text", F.lit(""))).alias("exact"),
+        F.col("id").alias("doc_id"), "rest.lang", "rest.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact"
     )
 
 

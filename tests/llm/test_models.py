@@ -201,6 +201,21 @@ def test_awkward_texts_in_pieces(spark, library):
     assert bpe.encode_texts(df.limit(0), PATH).collect() == []
 
 
+def test_texts_of_several_pieces(spark, library):
+    """At the size that the query uses: runs, special tokens and words across the cuts."""
+    rng = random.Random(8)
+    words = ["the", " of", "  ", "é", "中文", "'s", "12", "...", "\n", "<|endoftext|>", "antidisestablishmentarianism"]
+    size = bpe.PIECE
+    rows = [(1, "".join(rng.choices(words, k=size))), (2, "ab" * (2 * size)), (3, "x" * (size + 1)), (4, " " * (3 * size) + "end")]
+    rows += [(5, "".join(rng.choices("abcdefgh ", k=5 * size))), (6, rows[0][1]), (7, "y" * size)]
+    out = bpe.encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    got = [
+        (r["id"], len(r["ids"]), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, r["ids"])), r["decoded"])))
+        for r in out
+    ]
+    assert as_set(got) == as_set(digests(rows, library)) and all(r["exact"] for r in out)
+
+
 def test_any_cut_gives_the_same_ids(codec, library):
     rng = random.Random(11)
     parts = ["a", "e", "th", " ", "  ", "'", "'s", "s", "1", "23", "!", "...", "\n", "\t", "é", "中", "😀", " ", "<|endoftext|>", "<|endof", " the", "x" * 9]

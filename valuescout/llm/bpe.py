@@ -13,6 +13,7 @@ kind of characters changes, pre-tokens end whatever stands around, so windows
 that would leave a run of one kind go on to the next such border instead.
 """
 
+import hashlib
 import json
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-PIECE = 1 << 16
+PIECE = 1 << 14
 SLICE = 256
 WINDOW = 16
 
@@ -245,22 +246,23 @@ def _encoded_pieces(batches, codec_bytes):
     for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         codec = _codec(codec_bytes)
         ids = [codec.plain(t) if t is not None else [s] for t, s in zip(batch["text"].to_pylist(), batch["special"].to_pylist())]
-        names = ["key", "piece", "stretch", "text"]
+        names = ["key", "piece", "stretch"]
         yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), _lists(ids)], [*names, "ids"])
 
 
 def _joined(batches, codec_bytes):
+    """Join the pieces of each text; a piece's text is that of its ids."""
     for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         codec = _codec(codec_bytes)
         out = []
-        for parts in batch["parts"].to_pylist():
-            parts = sorted(parts, key=lambda p: p["piece"])
+        for parts in batch["parts"]:
+            parts = sorted(parts.as_py(), key=lambda p: p["piece"])
             ids, at = [], 0
             while at < len(parts):
                 stop = at
                 while stop < len(parts) and parts[stop]["stretch"] == parts[at]["stretch"]:
                     stop += 1
-                ids += concatenated(codec, [(p["text"] or "", p["ids"]) for p in parts[at:stop]])
+                ids += concatenated(codec, [(codec.decode(p["ids"]), p["ids"]) for p in parts[at:stop]])
                 at = stop
             out.append(ids)
         yield pa.RecordBatch.from_arrays([batch["key"], _lists(out)], ["key", "ids"])
@@ -272,28 +274,37 @@ def _whole(batches, codec_bytes, schema):
         codec = _codec(codec_bytes)
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
-            given = batch["ids"].to_pylist()
-            ids = [codec.encode(t) if g is None else g for t, g in zip(batch["text"].to_pylist(), given)]
-            more = {"ids": _lists(ids), "decoded": pa.array([codec.decode(x) for x in ids], pa.string())}
+            texts, keys = batch["text"].to_pylist(), batch["key"].to_pylist()
+            ids = [codec.encode(t) if k is None else g for t, k, g in zip(texts, keys, batch["ids"].to_pylist())]
+            decoded = [codec.decode(x) for x in ids]
+            exact = [d == t if k is None else hashlib.sha256(d.encode()).hexdigest() == k for d, t, k in zip(decoded, texts, keys)]
+            more = {"ids": _lists(ids), "exact": pa.array(exact, pa.bool_())}
+            if "decoded" in schema.names:
+                more["decoded"] = pa.array(decoded, pa.string())
             columns = [more[f.name] if f.name in more else batch[f.name] for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def encode_texts(docs: DataFrame, vocabulary, id_col="doc_id", text_col="text", carry=(), size=PIECE) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, vocabulary, id_col="doc_id", text_col="text", carry=(), size=PIECE, decoded=True
+) -> DataFrame:
     """Encode whole texts with a byte-level BPE vocabulary and decode them.
 
     `vocabulary` is the path of a tokenizers definition, read once on the
     driver; its content travels with the tasks. Texts of at most `size`
     characters are encoded where they lie; only the others' pieces are
-    shuffled, first to spread them, then to bring each text's pieces together.
+    shuffled, first to spread them, then, as ids, to bring each text's pieces
+    together.
 
     Returns id, rest (a struct of the columns named in `carry`), ids (array of
-    int) and decoded (the text of those ids).
+    int), exact (whether the ids decode to the text) and, unless switched off,
+    decoded (the text of those ids).
 
     Defined cases: a null or empty text has no ids; special tokens found in a
     text become their ids; equal texts get equal ids, repeated rows included;
-    an empty table gives an empty result; columns not named are ignored,
-    whatever they are called.
+    very long texts are cut into pieces and come back as one; an empty table
+    gives an empty result; columns not named are ignored, whatever they are
+    called.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -310,19 +321,18 @@ def encode_texts(docs: DataFrame, vocabulary, id_col="doc_id", text_col="text",
     long_texts = rows.filter(F.col("key").isNotNull()).select("key", "text")
     cut = long_texts.mapInArrow(lambda b: _cut_pieces(b, definition, size), "key string, piece int, stretch int, special int, text string")
     cut = cut.dropDuplicates(["key", "piece"])  # also deals the pieces out
-    done = cut.mapInArrow(lambda b: _encoded_pieces(b, definition), "key string, piece int, stretch int, text string, ids array<int>")
-    together = done.groupBy("key").agg(F.collect_list(F.struct("piece", "stretch", "text", "ids")).alias("parts"))
+    done = cut.mapInArrow(lambda b: _encoded_pieces(b, definition), "key string, piece int, stretch int, ids array<int>")
+    together = done.groupBy("key").agg(F.collect_list(F.struct("piece", "stretch", "ids")).alias("parts"))
     encoded = together.mapInArrow(lambda b: _joined(b, definition), "key string, ids array<int>")
     short = rows.filter(F.col("key").isNull()).withColumn("ids", F.lit(None).cast("array<int>"))
     long_rows = rows.filter(F.col("key").isNotNull()).select("id", "rest", "key").join(encoded, "key")
-    out = short.select("id", "rest", "ids", F.lit("").alias("decoded")).schema
-    for field in out.fields:
+    result = short.select("id", "rest", "ids", F.lit(True).alias("exact"), *[F.lit("").alias("decoded")] * decoded).schema
+    for field in result.fields:
         field.nullable = True
-    schema = to_arrow_schema(out)
-    columns = ["id", "rest", "text", "ids"]
-    long_rows = long_rows.withColumn("text", F.lit("")).select(*columns)
-    both = short.select(*columns).union(long_rows)
-    return both.mapInArrow(lambda b: _whole(b, definition, schema), out)
+    schema = to_arrow_schema(result)
+    columns = ["id", "rest", "text", "key", "ids"]
+    both = short.select(*columns).union(long_rows.withColumn("text", F.lit("")).select(*columns))
+    return both.mapInArrow(lambda b: _whole(b, definition, schema), result)
 
 
 def default_vocabulary():

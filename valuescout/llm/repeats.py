@@ -30,6 +30,7 @@ from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, bloc
 
 OPEN, REMOVED, CANDIDATE, BOTH = 0, 1, 2, 3
 _FLUSH = 1_000_000
+_ROWS = 256
 _LISTS = {"name": pa.int64(), "whole": pa.int64(), "did": pa.int64(), "tag": pa.int32(), "start": pa.int32(), "more": pa.int32()}
 _PACKED = "bucket int, name array<long>, whole array<long>, did array<long>, tag array<int>, start array<int>, more array<int>"
 _U = np.uint64
@@ -268,7 +269,8 @@ def _lists(rows, name):
 
 def _removed_rows(batches, method, finish, schema):
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    # few rows at a time become Python objects
+    for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
         out = []
         for row in batch.to_pylist():
             spans = []
