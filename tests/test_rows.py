@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from valuescout.operators import rows as ops
+from valuescout.functions.order import ordered_code
+from valuescout.operators import quantiles, rows as ops
 from valuescout.operators.quantiles import (
     count_median, exact_medians, exact_quantiles, median_impute, tertile,
 )
@@ -90,3 +91,42 @@ def test_tertile(spark):
     flat = spark.createDataFrame([(1.0,)] * 5 + [(2.0,)], "a double")
     with pytest.raises(Exception, match="equal tertile edges"):
         tertile(flat, {"t": "a"}).collect()
+
+
+def test_codes_sort_as_the_numbers_do(spark):
+    rng = np.random.default_rng(4)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    edge = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, np.inf, -np.inf, np.nan]
+    x = np.concatenate([edge, powers, -powers * (1 + 2**-52), powers[60:] * (1 - 2**-53), rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500)])
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    got = rows.select("v", ordered_code("v").alias("code")).collect()
+    assert [r["code"] for r in got if r["v"] is None] == [None]
+    got = [r for r in got if r["v"] is not None]
+    bits = np.array([r["v"] for r in got]).view(np.int64)
+    size = bits & np.int64(0x7FFFFFFFFFFFFFFF)
+    assert [r["code"] for r in got] == np.where(bits < 0, -size, size).tolist()
+
+
+def test_quantiles_of_many_distinct_values(spark):
+    """Five million values, and what one task of a round has to sort."""
+    df = spark.range(5_000_000).select((F.randn(3) * 1e6).alias("v"))
+    got = {r["probability"]: r["value"] for r in exact_quantiles(df, ["v"], [0.1, 0.5, 0.9]).collect()}
+    plain = df.agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))).first()[0]
+    assert [got[p] for p in (0.1, 0.5, 0.9)] == plain
+    cells = df.select(F.lit(0).alias("_c"), F.col("v").alias("_v"), ordered_code("v").alias("_code"))
+    counted = quantiles._histogram(cells, None, 1)
+    assert counted.count() <= 1 << quantiles.DIGIT_BITS
+    fullest = counted.orderBy(F.desc("_n")).limit(1).select("_c", F.col("_prefix").alias("_bucket"), F.array().cast(quantiles._WANTS).alias("_wants"))
+    inside = quantiles._histogram(cells, fullest, 2)
+    assert inside.count() <= 1 << quantiles.DIGIT_BITS
+    assert inside.agg(F.max("_n")).first()[0] < 50 < inside.agg(F.sum("_n")).first()[0] / 1000
+
+
+def test_quantiles_are_one_plan(spark):
+    """The same for two rows and for many; nothing runs while it is built."""
+    spark.sparkContext.setJobGroup("built", "quantiles")
+    plans = [exact_quantiles(spark.range(n).select(F.col("id").alias("v")), ["v"], [0.5]) for n in (2, 2_000_000)]
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("built")) == []
+    nodes = [[line.split("(")[0] for line in p._jdf.queryExecution().optimizedPlan().toString().splitlines()] for p in plans]
+    assert len(nodes[0]) == len(nodes[1])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

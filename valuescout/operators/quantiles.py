@@ -2,19 +2,42 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-_ACCURACY = 10_000
-_MARGIN = 5.0 / _ACCURACY
-_FEW_ROWS = 10_000
+from valuescout.functions.order import ordered_code
+
+# Four digits of 16 bits: a task sorts at most 65,536 counters of a bucket.
+DIGIT_BITS = 16
+_ROUNDS = 64 // DIGIT_BITS
+
+
+def _histogram(values: DataFrame, wanted: DataFrame | None, digits: int) -> DataFrame:
+    """(_c, _bucket, _wants, _prefix, _n, _v): rows per prefix of `digits`
+    digits, inside the buckets that `wanted` names (all rows at first)."""
+    prefix = F.shiftright("_code", 64 - DIGIT_BITS * digits)
+    if wanted is None:
+        inside = values.select("_c", "_v", F.lit(0).alias("_bucket"), F.lit(None).cast(_WANTS).alias("_wants"), prefix.alias("_prefix"))
+    else:
+        # two rows per column and probability at most, so always small enough to copy
+        inside = (
+            values.withColumn("_bucket", F.shiftright("_code", 64 - DIGIT_BITS * (digits - 1)))
+            .join(F.broadcast(wanted), ["_c", "_bucket"])
+            .select("_c", "_v", "_bucket", "_wants", prefix.alias("_prefix"))
+        )
+    return inside.groupBy("_c", "_bucket", "_wants", "_prefix").agg(F.count("*").alias("_n"), F.max("_v").alias("_v"))
+
+
+_WANTS = "array<struct<p:int,side:int,rank:bigint,total:bigint>>"
 
 
 def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
     """(column, probability, value): linear interpolation between the two
     nearest ranks, NULLs ignored.
 
-    A bounded sketch first brackets each wanted rank; the second pass counts
-    what lies below the bracket and sorts only the few values inside it. The
-    result is exact: if a bracket ever missed its rank the query would fail
-    rather than return a neighbour.
+    Radix selection: the numbers are read as whole numbers in the same order
+    (`ordered_code`). Each round counts the rows per next digit inside the
+    buckets that hold a wanted rank, and goes on with the digits in which the
+    ranks fall; after the last digit a bucket is one value. All is one plan,
+    the same for any number of rows; no task sorts more than the counters of
+    one bucket, no value is compared with others of its bucket.
     """
     columns, probabilities = list(columns), [float(p) for p in probabilities]
     cells = F.array(
@@ -24,59 +47,41 @@ def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
         ]
     )
     values = df.select(F.inline(cells)).filter(F.col("_v").isNotNull())
-
-    edges = [max(p - _MARGIN, 0.0) for p in probabilities]
-    edges += [min(p + _MARGIN, 1.0) for p in probabilities]
-    sketch = values.groupBy("_c").agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, _ACCURACY).alias("_e"),
-    )
-    brackets = []
-    # Few rows: the margin spans less than the two ranks, so take everything.
-    few = F.col("_n") < _FEW_ROWS
-    for i, p in enumerate(probabilities):
-        low = F.when(few | F.lit(p <= _MARGIN), F.col("_min")).otherwise(F.element_at("_e", i + 1))
-        upper = F.element_at("_e", len(edges) // 2 + i + 1)
-        high = F.when(few | F.lit(p >= 1 - _MARGIN), F.col("_max")).otherwise(upper)
-        brackets.append(F.struct(F.lit(i).alias("_p"), low.alias("_lo"), high.alias("_hi")))
-    probability = F.element_at(F.array(*[F.lit(p) for p in probabilities]), F.col("_p") + 1)
-    bracket = (
-        sketch.select("_c", "_n", F.inline(F.array(*brackets)))
-        .withColumn("_rank", probability * (F.col("_n") - 1))
-    )
-
-    # len(columns) * len(probabilities) rows, so always small enough to copy.
-    near = (
-        values.join(F.broadcast(bracket), "_c")
-        .filter(F.col("_v") <= F.col("_hi"))
-        .select("_c", "_p", "_rank", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .groupBy("_c", "_p", "_v")
-        .agg(F.count("*").alias("_n"), F.max("_rank").alias("_rank"))
-    )
-    upto = Window.partitionBy("_c", "_p").orderBy(F.col("_v").asc_nulls_first())
-    rank_low, rank_high = F.floor("_rank"), F.ceil("_rank")
-    picked = (
-        near.withColumn("_cum", F.sum("_n").over(upto))
-        .groupBy("_c", "_p")
-        .agg(
-            F.max("_rank").alias("_rank"),
-            F.max(F.when(F.col("_v").isNull(), F.col("_cum"))).alias("_below"),
-            F.min(F.when(F.col("_cum") > rank_low, F.col("_v"))).alias("_at_low"),
-            F.min(F.when(F.col("_cum") > rank_high, F.col("_v"))).alias("_at_high"),
-        )
-    )
-    missed = (
-        F.col("_at_high").isNull() | (F.coalesce("_below", F.lit(0)) > F.floor("_rank"))
-    )
-    fraction = F.col("_rank") - F.floor("_rank")
-    value = F.col("_at_low") + fraction * (F.col("_at_high") - F.col("_at_low"))
-    checked = F.when(missed, F.raise_error("quantile bracket missed its rank").cast("double"))
+    # never null, else each join would test that by computing the code once more
+    values = values.withColumn("_code", F.coalesce(ordered_code("_v"), F.lit(0)))
+
+    def ranks(total):
+        wants = []
+        for i, p in enumerate(probabilities):
+            rank = F.lit(p) * (total - 1)
+            for side, place in enumerate((F.floor(rank), F.ceil(rank))):
+                fields = F.lit(i), F.lit(side), place, total
+                wants.append(F.struct(*[x.alias(n) for x, n in zip(fields, ("p", "side", "rank", "total"))]))
+        return F.array(*wants).cast(_WANTS)
+
+    wanted = None
+    for digits in range(1, _ROUNDS + 1):
+        counted = _histogram(values, wanted, digits)
+        bucket = Window.partitionBy("_c", "_bucket")
+        upto = F.sum("_n").over(bucket.orderBy("_prefix"))
+        counted = counted.withColumn("_before", upto - F.col("_n"))
+        if wanted is None:
+            counted = counted.withColumn("_wants", ranks(F.sum("_n").over(bucket)))
+        here = F.filter("_wants", lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_n")))
+        rest = F.transform(here, lambda w: w.withField("rank", w["rank"] - F.col("_before")))
+        wanted = counted.select("_c", F.col("_prefix").alias("_bucket"), rest.alias("_wants"), "_v")
+        wanted = wanted.filter(F.size("_wants") > 0)
+        wanted = wanted if digits == _ROUNDS else wanted.drop("_v")
+
+    picked = wanted.select("_c", "_v", F.inline("_wants")).groupBy("_c", "p")
+    low, high = (F.max(F.when(F.col("side") == side, F.col("_v"))) for side in (0, 1))
+    picked = picked.agg(low.alias("low"), high.alias("high"), F.max("total").alias("total"))
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_c") + 1)
-    return picked.select(
-        name.alias("column"), probability.alias("probability"), checked.otherwise(value).alias("value")
-    )
+    probability = F.element_at(F.array(*[F.lit(p) for p in probabilities]), F.col("p") + 1)
+    rank = probability * (F.col("total") - 1)
+    between = F.col("low") + (rank - F.floor(rank)) * (F.col("high") - F.col("low"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("value")
+    return picked.select(name.alias("column"), probability.alias("probability"), value)
 
 
 def exact_medians(df: DataFrame, columns) -> DataFrame:
