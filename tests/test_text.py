@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
+from valuescout.dictionaries import lemma_dictionary, tag_dictionary
 from valuescout.functions import text as tx
 from valuescout.operators import phrases as ph
-from valuescout.operators.langid import grams, keep_language, langid_fit, langid_model, langid_score
+from valuescout.operators.langid import gram_counts, grams, keep_language, langid_fit, langid_model, langid_score
 
 
 def test_normalize_text(rows):
@@ -30,7 +31,6 @@ def test_looks_english(rows):
 
 
 def _tagged(spark, rows):
-    from valuescout.dictionaries import lemma_dictionary
     tags = spark.createDataFrame(
         [("great", "ADJ"), ("quiet", "ADJ"), ("good", "ADJ"), ("neighborhoods", "NOUN"),
          ("location", "NOUN"), ("host", "NOUN"), ("better", "ADJ"), ("walks", "NOUN")], "word string, tag string")
@@ -50,7 +50,6 @@ def test_phrases(spark):
 
 
 def test_tags_and_lemmas(spark):
-    from valuescout.dictionaries import lemma_dictionary, tag_dictionary
     df = spark.createDataFrame([(1, "Lovely cities, walked slowly!")], "id int, text string")
     tagged = ph.lemmatize(ph.tag_tokens(df, "id", "text", tag_dictionary(spark)), lemma_dictionary(spark))
     got = [(r["token"], r["tag"], r["lemma"]) for r in tagged.orderBy("pos").collect()]
@@ -101,3 +100,43 @@ def test_language(spark):
     assert got == {1: "en", 2: "it", 3: "de", 4: None, 5: None}
     kept = keep_language(docs, "text", model, "en").collect()
     assert [r["id"] for r in kept] == [1]
+
+
+def test_language_is_scored_once_and_after_the_spread(spark):
+    """A filter on the language neither repeats the scoring nor moves it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid_model(langid_fit(docs, "text", "lang"))
+    kept = keep_language(docs.repartition(5).select("doc_id", "text"), "text", model, "en")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?=(.{3}))") == 1 and plan.count("naive") <= 1
+    assert plan.index("(_language") < plan.index("regexp_extract_all") < plan.index("Repartition")
+
+
+def test_gram_counts_equal_the_grams(spark):
+    texts = [("x", t) for t in ("Ab, c", "", None, "é  É", "a", "ab", "straße 12 don't", "#a# b#")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    for sizes in ((1, 2, 3), (2,), (1, 4)):
+        plain = {}
+        for r in df.select(grams("text", sizes).alias("g")).collect():
+            for g in r["g"]:
+                plain[g] = plain.get(g, 0) + 1
+        assert {r["gram"]: r["n"] for r in gram_counts(df, "text", "lang", sizes).collect()} == plain
+
+
+def test_counted_phrases_equal_the_occurrences(spark):
+    rows = [("a", "great location, nice quiet rooms and great location"), ("a", "Great Location nice quiet rooms"), ("b", "quiet rooms. rooms quiet")]
+    df = spark.createDataFrame(rows, "g string, text string")
+    tags, lemmas = tag_dictionary(spark), lemma_dictionary(spark)
+    one = ph.phrases(df, "g", "text", tags, lemmas).groupBy("g", "phrase").count().collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, ph.phrase_counts(df, "g", "text", tags, lemmas).collect()))
+    each = ph.lemmatize(ph.tag_tokens(df, "g", "text", tags), lemmas).groupBy("g", "lemma", "tag").count().collect()
+    assert sorted(map(tuple, each)) == sorted(map(tuple, ph.tagged_counts(df, "g", "text", tags, lemmas).collect()))
+
+
+def test_windows_are_counted_before_they_are_looked_up(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = ph.phrase_counts(df, "source", "text", tag_dictionary(spark), lemma_dictionary(spark))
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(lines) if "Join LeftOuter" in line]
+    counted = [i for i, line in enumerate(lines) if "Aggregate" in line and "w1" in line]
+    assert len(joins) == 3 and counted and max(joins) < max(counted)

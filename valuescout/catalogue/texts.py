@@ -351,9 +351,7 @@ def _sql_lemma(word, tag, listed):
 def tagged_counts(spark, sf_dir):
     """How often each (lemma, tag) occurs per group."""
     grouped = _grouped_reviews(spark, sf_dir)
-    tagged = ph.tag_tokens(grouped, ["id", "group"], "text", tag_dictionary(spark))
-    lemmas = ph.lemmatize(tagged, lemma_dictionary(spark))
-    return lemmas.groupBy("group", "lemma", "tag").agg(F.count("*").alias("n"))
+    return ph.tagged_counts(grouped, "group", "text", tag_dictionary(spark), lemma_dictionary(spark))
 
 
 TAGGED_COUNTS = f"""
@@ -417,8 +415,8 @@ ranked AS (
   FROM counts)"""
 
 
-def _counts(spark, sf_dir):
-    grouped = _grouped_reviews(spark, sf_dir, "en")
+def _counts(spark, sf_dir, grouped=None):
+    grouped = grouped or _grouped_reviews(spark, sf_dir, "en")
     return ph.phrase_counts(grouped, "group", "text", tag_dictionary(spark), lemma_dictionary(spark))
 
 
@@ -453,8 +451,9 @@ TOP_SHARED = 500
 
 
 def phrase_ratio(spark, sf_dir):
-    sizes = _grouped_reviews(spark, sf_dir, "en").groupBy("group").agg(F.count("*").alias("n_reviews"))
-    ratio = ph.phrase_ratio(_counts(spark, sf_dir), sizes, "group", "hidden", "other", TOP_SHARED)
+    grouped = _grouped_reviews(spark, sf_dir, "en")
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n_reviews"))
+    ratio = ph.phrase_ratio(_counts(spark, sf_dir, grouped), sizes, "group", "hidden", "other", TOP_SHARED)
     return ratio.withColumns({c: F.round(c, 6) for c in ("per_k_a", "per_k_b", "ratio")})
 
 

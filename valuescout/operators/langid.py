@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from valuescout.operators.rows import evaluate_once
+
 GRAM_SIZES = (1, 2, 3)
 PROFILE_SIZE = 400
 _MAX_PROFILE_ROWS = 200_000
@@ -32,16 +34,29 @@ def grams(c, sizes=GRAM_SIZES) -> Column:
     return F.concat(*found)
 
 
+def gram_counts(df: DataFrame, text, by, sizes=GRAM_SIZES) -> DataFrame:
+    """(by, gram, n) over all texts, the n-grams of `grams`.
+
+    Only the longest n-gram from each letter on is laid out and counted; the
+    shorter ones are its beginnings, so they come from the few distinct ones.
+    """
+    longest = max(sizes)
+    # marks that no text has fill up the last ones
+    padded = F.concat(letters_only(text), F.lit("#" * (longest - 1)))
+    windows = F.regexp_extract_all(padded, F.lit(rf"(?=(.{{{longest}}}))"), F.lit(1))
+    counted = df.select(by, F.explode(windows).alias("_w")).groupBy(by, "_w").agg(F.count("*").alias("n"))
+    beginnings = F.array(*[F.substring("_w", F.lit(1), F.lit(n)) for n in sizes])
+    found = counted.select(by, F.explode(beginnings).alias("gram"), "n")
+    found = found.filter((F.col("gram") != " ") & ~F.contains("gram", F.lit("#")))
+    return found.groupBy(by, "gram").agg(F.sum("n").alias("n"))
+
+
 def langid_fit(df: DataFrame, text, lang, size=PROFILE_SIZE, sizes=GRAM_SIZES) -> DataFrame:
     """(lang, gram, n, share): the most frequent n-grams per language, ties by
     n-gram; `share` is among the grams kept. `size` is the published method's
     parameter: rarer n-grams are no part of a profile."""
-    counts = (
-        df.filter(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.explode(grams(text, sizes)).alias("gram"))
-        .groupBy("lang", "gram")
-        .agg(F.count("*").alias("n"))
-    )
+    labelled = df.filter(F.col(lang).isNotNull()).withColumn("lang", F.col(lang))
+    counts = gram_counts(labelled, text, "lang", sizes)
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counts.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= size)
     total = F.sum("n").over(Window.partitionBy("lang"))
@@ -77,8 +92,8 @@ def langid_model(profile: DataFrame, smoothing=0.5) -> LanguageModel:
     bayes = NaiveBayes(
         smoothing=smoothing,
         featuresCol="_counts",
-        rawPredictionCol="_raw",
-        probabilityCol="_probability",
+        rawPredictionCol="",  # only the language is asked for
+        probabilityCol="",
         predictionCol="_found",
     )
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_counts")
@@ -89,13 +104,17 @@ def langid_score(
     df: DataFrame, text, model: LanguageModel, sizes=GRAM_SIZES, name="lang_found"
 ) -> DataFrame:
     """Add the most likely language of every text, NULL for texts without a
-    known n-gram. Texts are scored where they lie: no shuffle, no Python."""
-    counted = model.counter.transform(df.withColumn("_grams", grams(text, sizes)))
+    known n-gram. Texts are scored where they lie: no shuffle, no Python.
+
+    N-grams and language are made once per row: a filter on the language reads
+    the column and does not take the scoring along to the scan.
+    """
+    counted = model.counter.transform(evaluate_once(df, "_grams", grams(text, sizes)))
     scored = model.bayes.transform(counted)
     grams_known = F.aggregate(vector_to_array("_counts"), F.lit(0.0), lambda total, n: total + n)
     listed = F.array(*[F.lit(lang) for lang in model.languages])
     found = F.when(grams_known > 0, F.get(listed, F.col("_found").cast("int")))
-    return scored.select(*df.columns, found.alias(name))
+    return evaluate_once(scored, name, found).select(*df.columns, name)
 
 
 def keep_language(df: DataFrame, text, model, wanted="en", sizes=GRAM_SIZES) -> DataFrame:

@@ -87,11 +87,8 @@ def phrase_windows(df: DataFrame, by, text, stopwords=STOPWORDS) -> DataFrame:
     )
 
 
-def phrases(df: DataFrame, by, text, tag_dict, lemma_dict, stopwords=STOPWORDS) -> DataFrame:
-    """(by, phrase): one row per occurrence of two or three adjacent adjectives
-    and nouns with at least one of each; a triple also gives its pairs."""
-    by = [by] if isinstance(by, str) else list(by)
-    windows = phrase_windows(df, by, text, stopwords)
+def _phrases_in(windows: DataFrame, keep, tag_dict, lemma_dict) -> DataFrame:
+    """(keep, phrase): the pair and the triple of each window that are phrases."""
     listed = word_table(tag_dict, lemma_dict)
     for i in (1, 2, 3):
         side = listed.select(
@@ -120,15 +117,48 @@ def phrases(df: DataFrame, by, text, tag_dict, lemma_dict, stopwords=STOPWORDS)
         fits = reduce(lambda a, b: a & b, [t.isin("ADJ", "NOUN") for t in tags])
         return F.when(fits & has[0] & has[1], F.concat_ws(" ", *[lemma(i) for i in range(1, n + 1)]))
 
-    found = windows.select(*by, F.explode(F.array(phrase(2), phrase(3))).alias("phrase"))
+    found = windows.select(*keep, F.explode(F.array(phrase(2), phrase(3))).alias("phrase"))
     return found.filter(F.col("phrase").isNotNull())
 
 
+def phrases(df: DataFrame, by, text, tag_dict, lemma_dict, stopwords=STOPWORDS) -> DataFrame:
+    """(by, phrase): one row per occurrence of two or three adjacent adjectives
+    and nouns with at least one of each; a triple also gives its pairs."""
+    by = [by] if isinstance(by, str) else list(by)
+    return _phrases_in(phrase_windows(df, by, text, stopwords), by, tag_dict, lemma_dict)
+
+
 def phrase_counts(df, by, text, tag_dict, lemma_dict, stopwords=STOPWORDS) -> DataFrame:
-    """(by, phrase, count)."""
+    """(by, phrase, count).
+
+    Windows of words are counted first, next to the texts and then over all of
+    them; what is tagged, looked up and joined into a phrase is each distinct
+    window once, however often it was written.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    found = phrases(df, by, text, tag_dict, lemma_dict, stopwords)
-    return found.groupBy(*by, "phrase").agg(F.count("*").alias("count"))
+    windows = phrase_windows(df, by, text, stopwords)
+    counted = windows.groupBy(*by, "w1", "w2", "w3").agg(F.count("*").alias("count"))
+    found = _phrases_in(counted, [*by, "count"], tag_dict, lemma_dict)
+    return found.groupBy(*by, "phrase").agg(F.sum("count").alias("count"))
+
+
+def tagged_counts(df: DataFrame, by, text, tag_dict, lemma_dict) -> DataFrame:
+    """(by, lemma, tag, n): how often each base form occurs per group.
+
+    Tokens are counted first; the distinct ones are tagged and lemmatised.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    laid_out = df.select(*by, F.explode(tokens(text)).alias("token"))
+    counted = laid_out.groupBy(*by, F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    joined = counted.join(word_table(tag_dict, lemma_dict), "word", "left")
+    tag = F.coalesce("tag", ending_tag(F.col("word")))
+    tagged = joined.withColumn("tag", tag)
+    lemma = (
+        F.when(F.col("tag") == "ADJ", F.coalesce("adj_lemma", "word"))
+        .when(F.col("tag") == "NOUN", F.coalesce("noun_lemma", noun_lemma(F.col("word"))))
+        .otherwise(F.col("word"))
+    )
+    return tagged.groupBy(*by, lemma.alias("lemma"), "tag").agg(F.sum("n").alias("n"))
 
 
 def top_phrases(counts: DataFrame, by, n=TOP_PHRASES) -> DataFrame:

@@ -57,13 +57,20 @@ def written_table(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Files are written with row groups of about this size, and only a whole row
+# group can be read by a task of its own.
+ROW_GROUP_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work on a scan with few splits.
+    """Use all cores for costly work on a scan with few row groups.
 
     A table of a few files or row groups is read by a few tasks, and whatever
-    follows without a shuffle stays in them. Where there are at least as many
-    splits as cores, as in any big table, the scan is left as it is. Meant for
-    plain scans: counting their splits plans the scan and runs no job.
+    follows without a shuffle stays in them. Where there is at least one for
+    each core, as in any big table, the scan is left as it is. Meant for plain
+    scans: files and bytes come from their listing, no job runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    files = len(df.inputFiles())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if max(files, size // ROW_GROUP_BYTES) < cores else df
