@@ -151,6 +151,12 @@ def test_whole_study(spark, exports, tmp_path):
         "price_tertile", "room_type", "discount_tertile"}
     assert read("profile").agg(F.sum("n_listings")).first()[0] == assigned.count()
     assert {r["group"] for r in read("phrases").collect()} == {"in", "out"}
+    for k in (1, 2, 3, 4):
+        assert read(f"assignments_k{k}").select("cluster").distinct().count() == k == read(f"means_k{k}").count()
+        assert read(f"means_k{k}").agg(F.sum("n")).first()[0] == assigned.count()
+    z = read("cluster_z").collect()
+    assert len(z) == 4 * 5 and all(abs(r["z_clipped"]) <= 1.5 for r in z)
+    assert read("listing_areas").first()[0] == 8 and read("listing_missing").count() == 11
     gems_csv = scan_csv_text(spark, f"{out}/gems_csv")
     assert gems_csv.count() == counts[-1]
 

@@ -32,7 +32,10 @@ from valuescout.operators.rows import (
     member_flag,
     missing_rates,
 )
+from valuescout.session import scratch_folder
 from valuescout.sources.csv import REJECT, clean_na, parse_lines
+from valuescout.sources.sinks import write_csv
+from valuescout.sources.split_csv import scan_csv_split
 
 
 def scan_clean_na(spark, sf_dir):
@@ -61,6 +64,21 @@ SELECT id, CASE WHEN name NOT IN ({_TOKENS}) THEN name END AS name,
 FROM raw"""
 
 
+def scan_split(spark, sf_dir):
+    """The documents written as CSV, line breaks and quotes in their cells, and
+    read back in blocks of their files."""
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_folder(spark)
+    write_csv(docs.select(F.col("doc_id").alias("id"), "lang", "source", "text"), path)
+    back = scan_csv_split(spark, path)
+    return back.select("id", "lang", "source", F.length("text").alias("length"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+SCAN_SPLIT = f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, CAST(length(t) AS INTEGER) AS length, md5(t) AS md5
+FROM (SELECT *, CASE WHEN text NOT IN ({_TOKENS}) THEN text END AS t FROM documents)"""
+
+
 def scan_rejects(spark, sf_dir):
     """Orders as CSV lines, finished ones with a broken date."""
     schema = T.StructType.fromDDL("key bigint, priority string, day date")
@@ -408,6 +426,7 @@ FROM listings"""
 
 QUERIES = {
     "scan_clean_na": scan_clean_na,
+    "scan_split": scan_split,
     "scan_rejects": scan_rejects,
     "valid_ids": valid_ids,
     "distinct_ids": distinct_id_set,
@@ -431,6 +450,7 @@ QUERIES = {
 
 ORACLES = {
     "scan_clean_na": SCAN_CLEAN_NA,
+    "scan_split": SCAN_SPLIT,
     "scan_rejects": SCAN_REJECTS,
     "valid_ids": _SQL_CLEAN_IDS,
     "distinct_ids": f"SELECT DISTINCT listing_id FROM ({_SQL_CLEAN_IDS})",

@@ -50,11 +50,15 @@ def written_table(df: DataFrame) -> DataFrame:
     For results that are read several times and are too big for a checkpoint,
     which is not compressed and is read with all its columns.
     """
-    spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def scratch_folder(spark) -> str:
+    """A new name beside the checkpoints, which all executors share."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
 
 
 # Files are written with row groups of about this size, and only a whole row

@@ -25,6 +25,8 @@ def write_csv(df: DataFrame, path, mode="overwrite", quote_all=True):
         .option("header", True)
         .option("quoteAll", quote_all)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
