@@ -18,9 +18,12 @@ from valuescout.llm.suffix_dedup import remove_earlier_bytes
 
 COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 REST = ["doc_id", "lang", "source", "n_chars"]
+BATCH_ROWS = 1000  # whole texts that go to a Python worker at once
 
 
 def documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents; their texts travel in batches of bounded rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     have = set(docs.columns)
     return docs.select(
         *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in COLUMNS.items()]

@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from valuescout.llm.names import tidily
+
 PIECE = 1 << 14
 SLICE = 256
 WINDOW = 16
@@ -223,6 +225,7 @@ def concatenated(codec, parts):
     return parts[0][1]
 
 
+@tidily
 def _cut_pieces(batches, codec_bytes, size):
     for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         codec = _codec(codec_bytes)
@@ -242,6 +245,7 @@ def _lists(ids):
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
 
 
+@tidily
 def _encoded_pieces(batches, codec_bytes):
     for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         codec = _codec(codec_bytes)
@@ -250,6 +254,7 @@ def _encoded_pieces(batches, codec_bytes):
         yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), _lists(ids)], [*names, "ids"])
 
 
+@tidily
 def _joined(batches, codec_bytes):
     """Join the pieces of each text; a piece's text is that of its ids."""
     for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
@@ -268,6 +273,7 @@ def _joined(batches, codec_bytes):
         yield pa.RecordBatch.from_arrays([batch["key"], _lists(out)], ["key", "ids"])
 
 
+@tidily
 def _whole(batches, codec_bytes, schema):
     """Encode the texts that are short; take the ids of the others as given."""
     for whole in batches:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from valuescout.llm.names import blocks
+from valuescout.llm.names import blocks, lazily, tidily
 from valuescout.llm.repeats import merged
 from valuescout.session import cut_lineage
 
@@ -197,10 +197,10 @@ class Matcher:
 _FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
+@tidily
 def _found(batches, matcher, schema, hits_only):
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        for some, raw in blocks(range(batch.num_rows), texts, BLOCK_BYTES):
+        for some, raw in blocks(range(batch.num_rows), lazily(batch["text"]), BLOCK_BYTES):
             part = batch.slice(some[0], len(some))
             count, runs, items = matcher.find(raw)
             names = [sorted(matcher.names[i] for i in x) for x in items]

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from valuescout.llm.names import blocks
+from valuescout.llm.names import blocks, lazily, tidily
 
 UNDETERMINED = "und"
 FEATURES = 1 << 13
@@ -28,7 +28,7 @@ _SCALE = 6.0
 # they are exact whatever the order, and a text's score is its own.
 _FIXED = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
-_CELLS = 1 << 21
+_CELLS = 1 << 20
 
 
 def _letters():
@@ -71,14 +71,12 @@ def _counts(raw, features):
 def _counted(batches, features):
     """Blocks of row numbers in a batch with their counts."""
     rows = max(1, _CELLS // features)
-    for batch in batches:
-        texts = batch["text"].to_pylist()
-        for at in range(0, batch.num_rows, rows):
-            part = range(at, min(at + rows, batch.num_rows))
-            for some, raw in blocks(part, [texts[i] for i in part]):
-                yield batch, some, raw, _counts(raw, features)
+    for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+        for some, raw in blocks(range(batch.num_rows), lazily(batch["text"])):
+            yield batch, some, raw, _counts(raw, features)
 
 
+@tidily
 def _sums(batches, features):
     for batch, some, _, counts in _counted(batches, features):
         lang = np.array(batch["lang"].to_pylist(), object)[list(some)]
@@ -135,6 +133,7 @@ class Model:
         return shifted / shifted.sum(axis=1, keepdims=True)
 
 
+@tidily
 def _right(batches, model, features):
     place = {lang: i for i, lang in enumerate(model.languages)}
     for batch, some, _, counts in _counted(batches, features):
@@ -185,8 +184,10 @@ def fit_languages(labelled: DataFrame, text_col="text", lang_col="lang", feature
     return model
 
 
+@tidily
 def _predicted(batches, model, features, margin, schema):
-    for batch in batches:
+    rows = max(1, _CELLS // features)
+    for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
         texts = batch["text"].to_pylist()
         known = [t is not None and _LETTER.search(t) is not None for t in texts]
         pred, score, unsure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)

@@ -6,13 +6,18 @@ sums (`Running`). Both are used together, so that two different strings would
 have to collide in two independent 64-bit families to be taken for equal.
 """
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _PLACE = U((1 << 28) - 1)  # low bits of a key that hold a place in the block
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
+_POWER_STEP = 1 << 18
 
 
 def _table(seed):
@@ -55,9 +60,8 @@ class Running:
 
     @classmethod
     def _power(cls, n):
-        have = cls._powers.get("n", 0)
-        if have < n:
-            n = max(n, min(2 * have, 1 << 22), 1 << 16)
+        if cls._powers.get("n", 0) < n:
+            n = -(-n // _POWER_STEP) * _POWER_STEP
             up, down = np.full(n, U(_BASE)), np.full(n, U(_BASE_INVERSE))
             up[0] = down[0] = 1
             if n > 1 << 22:  # a single huge document: do not keep its powers
@@ -124,6 +128,31 @@ def blocks(ids, texts, size=BLOCK_TOKENS):
         yield some, raw
 
 
+def lazily(column):
+    """The values of an Arrow column, each made when it is asked for."""
+    return (value.as_py() for value in column)
+
+
+def give_back():
+    """Return freed memory to the system: Python workers outlive their tasks,
+    and what one stage has freed would count beside the next one's needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
+def tidily(function):
+    """The same generator function; when it has ended, its memory is returned."""
+
+    @functools.wraps(function)
+    def run(*args):
+        yield from function(*args)
+        give_back()
+
+    return run
+
+
 def _sliding_min(x, width):
     cover = 1
     while 2 * cover <= width:

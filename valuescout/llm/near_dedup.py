@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from valuescout.llm.components import components
 from valuescout.llm.minhash import SHINGLE, band_keys, set_keys, shingle_sets, signatures
-from valuescout.llm.names import blocks
+from valuescout.llm.names import blocks, lazily, tidily
 from valuescout.session import cut_lineage
 
 BINS, ROWS = 250, 5
@@ -33,10 +33,11 @@ BLOCK = 512
 _SIGNED = "doc_id long, n long, ka long, kb long, bands array<long>, sketch binary"
 
 
+@tidily
 def _signed(batches):
     for batch in batches:
         rows = zip(batch["doc_id"].to_pylist())
-        for some, raw in blocks(rows, batch["text"].to_pylist()):
+        for some, raw in blocks(rows, lazily(batch["text"])):
             text, name, _ = shingle_sets(raw)
             (ka, kb), n = set_keys(text, name, len(raw))
             signature = signatures(text, name, len(raw), BINS)
@@ -60,6 +61,7 @@ def _sketches(column):
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
+@tidily
 def _likely(batches):
     """Pairs whose sketches do not rule out that they are alike."""
     for batch in batches:
@@ -108,6 +110,7 @@ def _links_in(group, percent, unpack):
                 yield min(doc[i], doc[j]), max(doc[i], doc[j])
 
 
+@tidily
 def _across(batches, percent):
     unpack = zstandard.ZstdDecompressor().decompress
     for group in _grouped(batches, ("bucket", "low", "high")):
@@ -116,6 +119,7 @@ def _across(batches, percent):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
 
+@tidily
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -123,6 +127,7 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], texts], ["doc_id", "text"])
 
 
+@tidily
 def _confirmed(batches, percent):
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:

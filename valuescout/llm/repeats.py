@@ -26,10 +26,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, blocks, mixed
+from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, blocks, lazily, mixed, tidily
 
 OPEN, REMOVED, CANDIDATE, BOTH = 0, 1, 2, 3
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 _ROWS = 256
 _LISTS = {"name": pa.int64(), "whole": pa.int64(), "did": pa.int64(), "tag": pa.int32(), "start": pa.int32(), "more": pa.int32()}
 _PACKED = "bucket int, name array<long>, whole array<long>, did array<long>, tag array<int>, start array<int>, more array<int>"
@@ -58,6 +58,7 @@ def numbered(docs: DataFrame, id_col, text_col, carry) -> DataFrame:
     return rows.repartition("did").withColumn("sub", F.row_number().over(order) - 1).drop("tie")
 
 
+@tidily
 def _compressed(batches):
     """Texts travel compressed: they are most of what the shuffles move."""
     for batch in batches:
@@ -69,7 +70,7 @@ def _compressed(batches):
 
 def _texts(column):
     unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(t) for t in column.to_pylist()]
+    return (unpack(t) for t in lazily(column))
 
 
 def _packed(name, whole, did, tag, place, known, buckets):
@@ -145,6 +146,7 @@ class _Spans:
         yield _packed(name, whole, did, sub * 4 + kind, place, kind != OPEN, self.method.buckets)
 
 
+@tidily
 def _first_level(batches, method):
     n, k = method.n, -(-method.n // 4)
     out = _Spans(method)
@@ -200,7 +202,7 @@ def _listed(items, sub):
 
 def _candidate_rows(batches, method):
     """Blocks of the documents that have candidates, with their spans."""
-    for batch in batches:
+    for batch in (b.slice(at, 8 * _ROWS) for b in batches for at in range(0, b.num_rows, 8 * _ROWS)):
         rows, texts = [], []
         unpack = zstandard.ZstdDecompressor().decompress
         halves = batch["halves"].to_pylist() if "halves" in batch.schema.names else [None] * batch.num_rows
@@ -216,6 +218,7 @@ def _candidate_rows(batches, method):
             yield some, method.tokens(raw)
 
 
+@tidily
 def _second_level(batches, method):
     n, k = method.n, -(-method.n // 4)
     out = _Names(method, 2)
@@ -237,6 +240,7 @@ def _second_level(batches, method):
     yield from out.flush()
 
 
+@tidily
 def _last_level(batches, method):
     n, k = method.n, -(-method.n // 4)
     out = _Names(method, 1 if method.keep_first else 2)
@@ -267,6 +271,7 @@ def _lists(rows, name):
     return rows.groupBy("did").agg(F.collect_list(F.struct("tag", "place")).alias(name))
 
 
+@tidily
 def _removed_rows(batches, method, finish, schema):
     unpack = zstandard.ZstdDecompressor().decompress
     # few rows at a time become Python objects

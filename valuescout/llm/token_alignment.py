@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valuescout.llm.bpe import _codec, default_vocabulary
-from valuescout.llm.names import blocks
+from valuescout.llm.names import blocks, lazily, tidily
 from valuescout.session import cut_lineage, written_table
 
 PIECE = 8192  # ends of both lists in a piece of the merge
@@ -186,10 +186,11 @@ _ALIGNED = (
 )
 
 
+@tidily
 def _aligned(batches, vocabulary, model, piece, schema):
     aligner = _Aligner(vocabulary, model, piece)
     for batch in batches:
-        for some, raw in blocks(range(batch.num_rows), batch["text"].to_pylist(), BLOCK_BYTES):
+        for some, raw in blocks(range(batch.num_rows), lazily(batch["text"]), BLOCK_BYTES):
             part = batch.slice(some[0], len(some))
             new = aligner.align([r.decode() for r in raw])
             new = {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in new.items()}
@@ -248,6 +249,7 @@ def _summed(parts):
     return pa.RecordBatch.from_arrays([pa.array(code), pa.array(total)], ["pair", "n"])
 
 
+@tidily
 def _counted(batches):
     parts, size = [], 0
     for batch in batches:
@@ -275,6 +277,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return sums.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("link_b")))
 
 
+@tidily
 def _scored(batches, codes, counts, best, schema):
     for batch in batches:
         row, code, n = _flat(batch)
