@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from valuescout.operators import profile as pr, segments as sg, validation as vd
+from valuescout.session import cut_lineage
 
 # Published room-type counts per cluster and their agreement.
 GOLDEN = {0: {"e": 15, "p": 3}, 1: {"e": 177, "p": 26}, 2: {"e": 47}, 3: {"e": 110, "p": 72, "h": 2}}
@@ -178,3 +179,92 @@ def test_standardised_sse_of_one_cluster(spark):
     scaled = sg.standardize(df, ["a", "b"])
     (one,) = sg.kmeans_sweep(scaled, ["z_a", "z_b"], ks=(1,))
     assert abs(one.sse - 500 * 2) < 1e-6
+
+
+def expected_entropy(sizes, totals):
+    """Mean normalised entropy over all relabellings, from the distribution of
+    each cell: x ln x times the hypergeometric probability of x."""
+    from math import exp, lgamma, log
+
+    def choose(n, k):
+        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+    n = sum(sizes)
+    cells = 0.0
+    for s in sizes:
+        for t in totals:
+            for x in range(max(1, s + t - n), min(s, t) + 1):
+                cells += x * log(x) * exp(choose(t, x) + choose(n - t, s - x) - choose(n, s))
+    return (sum(s * log(s) for s in sizes) - cells) / n / log(len(totals))
+
+
+def test_baseline_against_its_closed_form(spark):
+    rng = np.random.default_rng(12)
+    sizes, n_classes = [40, 90, 170], 25
+    labels = rng.integers(0, n_classes, sum(sizes))
+    cluster = np.repeat(np.arange(3), sizes)
+    df = spark.createDataFrame([(int(c), f"class {k}") for c, k in zip(cluster, labels)], "cluster int, c string")
+    tables = vd.crosstabs(df, "cluster", ["c"])
+    found = vd.perm_baseline(tables, shuffles=3000).first()
+    assert found["entropy_random_baseline"] == pytest.approx(expected_entropy(sizes, np.bincount(labels).tolist()), abs=1e-3)
+    again = vd.perm_baseline(tables.repartition(3), shuffles=3000).first()
+    assert again["purity_random_baseline"] == pytest.approx(found["purity_random_baseline"], abs=1e-12)
+
+
+def test_baseline_of_very_many_classes(spark):
+    """A hundred thousand classes: no row holds more than a node's branches."""
+    df = spark.range(250_000).select((F.col("id") % 3).cast("int").alias("cluster"), F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("string").alias("c"))
+    tables = cut_lineage(vd.crosstabs(df, "cluster", ["c"]))
+    found = vd.perm_baseline(tables, shuffles=2).first()
+    seen = vd.agreement(tables).first()
+    assert seen["n_classes"] > 90_000
+    assert found["entropy_random_baseline"] == pytest.approx(seen["normalized_entropy"], abs=2e-3)
+    assert found["purity_random_baseline"] == pytest.approx(seen["purity"], abs=1e-4)
+    code = F.xxhash64("class")
+    for digits in range(vd._DIGITS + 1):
+        parent, child = (F.shiftrightunsigned(code, 64 - vd._DIGIT_BITS * d) if d else F.lit("root") for d in (digits, digits + 1))
+        child = code if digits == vd._DIGITS else child
+        widest = tables.groupBy(parent).agg(F.countDistinct(child).alias("n")).agg(F.max("n")).first()[0]
+        assert widest <= 1 << vd._DIGIT_BITS
+
+
+def test_silhouette_of_all_k_in_two_jobs(spark):
+    """Equal to the stock evaluator, with two passes over the data in all."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 1.0, (80, 3)) for c in (-6, 0, 5)] + [np.full((1, 3), 40.0)])
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in x], "a double, b double, c double").cache()
+    df.count()
+    columns = ["a", "b", "c"]
+    solutions = [sg.Solution(k, 0.0, 1, x[np.linspace(0, len(x) - 1, k).astype(int)].tolist()) for k in range(1, 7)]
+    spark.sparkContext.setJobGroup("silhouettes", "all k")
+    found = {r["k"]: r["silhouette"] for r in sg.silhouette(df, columns, solutions).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("silhouettes")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found) == [2, 3, 4, 5, 6] and len(jobs) <= 5  # a shuffle stage of a plan may be a job
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
+    judge = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", distanceMeasure="squaredEuclidean")
+    for s in solutions[1:]:
+        labelled = sg.assign(vectors, list(enumerate(s.centers)), columns)
+        assert found[s.k] == pytest.approx(judge.evaluate(labelled), abs=1e-9)
+
+
+def test_many_centres_do_not_become_literals(spark):
+    rng = np.random.default_rng(8)
+    centers = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 3)))]
+    df = spark.createDataFrame([tuple(map(float, v)) for v in rng.normal(size=(50, 3))], "a double, b double, c double")
+    found = sg.assign(df, centers, ["a", "b", "c"])
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    for r in found.collect():
+        dist = [sum((r[c] - v) ** 2 for c, v in zip("abc", center)) for _, center in centers]
+        assert r["cluster"] == int(np.argmin(dist)) and r["dist2"] == pytest.approx(min(dist))
+
+
+def test_mean_vectors_are_summed_before_they_are_laid_out(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [0.5, 0.5]), ("b", None), ("c", None), ("d", [1.0, None])]
+    df = spark.createDataFrame(rows, "g string, v array<float>")
+    means = sg.vector_means(df, "g", "v")
+    assert sorted(map(tuple, means.collect())) == [("a", 0, 2.0), ("a", 1, 4.0), ("b", 0, 0.5), ("b", 1, 0.5)]
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1

@@ -229,6 +229,23 @@ def external_validation(spark, sf_dir):
     return vd.external_validation(_external(spark, sf_dir), "cluster", EXTERNALS)
 
 
+def external_observed(spark, sf_dir):
+    """The observed half of the validation table, read off the table itself."""
+    found = external_validation(spark, sf_dir)
+    return _rounded(found.select("external_variable", "n_classes", "purity", "normalized_entropy"), "purity", "normalized_entropy")
+
+
+EXTERNAL_OBSERVED = f"""
+WITH {_SQL_EXTERNAL},
+per_cluster AS (
+  SELECT external_variable, cluster, sum(n) AS s, max(n) AS top, sum(n * ln(n)) AS nlnn
+  FROM tables GROUP BY external_variable, cluster),
+classes AS (SELECT external_variable, count(DISTINCT class) AS n_classes FROM tables GROUP BY external_variable)
+SELECT external_variable, n_classes, round(CAST(sum(top) AS DOUBLE) / sum(s), 6) AS purity,
+       round((sum(s * ln(s)) - sum(nlnn)) / sum(s) / nullif(ln(n_classes), 0), 6) AS normalized_entropy
+FROM per_cluster JOIN classes USING (external_variable) GROUP BY external_variable, n_classes"""
+
+
 MEANS = (
     ("mean_price_clean", "price_clean", 1),
     ("mean_predicted_price", "predicted_price", 1),
@@ -340,6 +357,7 @@ QUERIES = {
     "norm_entropy": norm_entropy,
     "perm_baseline": perm_baseline,
     "external_validation": external_validation,
+    "external_observed": external_observed,
     "cluster_profile": cluster_profile,
     "room_mix": room_mix,
     "top_neigh": top_neigh,
@@ -363,6 +381,7 @@ ORACLES = {
     "crosstab": f"WITH {_SQL_EXTERNAL} SELECT * FROM tables",
     "purity": PURITY,
     "norm_entropy": NORM_ENTROPY,
+    "external_observed": EXTERNAL_OBSERVED,
     "cluster_profile": CLUSTER_PROFILE,
     "room_mix": ROOM_MIX,
     "top_neigh": TOP_NEIGH,

@@ -5,8 +5,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from valuescout.constants import (
@@ -19,6 +19,7 @@ from valuescout.constants import (
 
 # Centres travel with the plan, so their number is checked.
 _MAX_CENTRE_VALUES = 1_000_000
+_MAX_LITERALS = 512
 # seeding: rounds over all rows, and candidates drawn per round and centre
 _SEEDING_ROUNDS = 4
 _OVERSAMPLING = 4
@@ -340,8 +341,13 @@ def assign(df: DataFrame, centers, columns) -> DataFrame:
     """Add `cluster` (nearest centre) and `dist2`.
 
     `centers` is [(cluster, [values])]; the distances are plain arithmetic on
-    the scanned columns, so rows neither shuffle nor leave the JVM.
+    the scanned columns, so rows neither shuffle nor leave the JVM. Where the
+    centres have more than a few hundred values, they do not become literals
+    of the plan (see `assign_vectors`).
     """
+    if len(centers) * len(columns) > _MAX_LITERALS:
+        vectors = df.withColumn("_vector", F.array(*[F.col(c).cast("double") for c in columns]))
+        return assign_vectors(vectors, centers, "_vector").drop("_vector")
     return (
         df.withColumn("_nearest", nearest(centers, columns))
         .withColumn("cluster", F.col("_nearest.cluster"))
@@ -373,10 +379,15 @@ def assign_vectors(df: DataFrame, centers, column) -> DataFrame:
 
 
 def vector_means(df: DataFrame, group, column) -> DataFrame:
-    """(group, position, mean): the mean vector per group in long form, summed
-    in every task before the shuffle."""
-    cells = df.select(group, F.posexplode(column).alias("position", "_v"))
-    return cells.groupBy(group, "position").agg(F.avg(F.col("_v").cast("double")).alias("mean"))
+    """(group, position, mean): the mean vector per group in long form.
+
+    A task adds whole vectors and sends one per group; only the means are laid
+    out by position. Vectors that are null or hold a null take no part.
+    """
+    whole = F.col(column).isNotNull() & F.forall(column, lambda v: v.isNotNull())
+    vectors = df.filter(whole).select(group, array_to_vector(F.col(column).cast("array<double>")).alias("_v"))
+    means = vectors.groupBy(group).agg(Summarizer.mean(F.col("_v")).alias("_mean"))
+    return means.select(group, F.posexplode(vector_to_array("_mean")).alias("position", "mean"))
 
 
 def collect_vector_centers(means: DataFrame, group):
@@ -440,16 +451,43 @@ def partition_sse(df: DataFrame, columns, parts) -> DataFrame:
 
 
 def silhouette(df: DataFrame, columns, solutions) -> DataFrame:
-    """(k, silhouette) with squared Euclidean distance, for every k above 1
-    (runs jobs)."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df).persist()
-    judge = ClusteringEvaluator(
-        predictionCol="cluster", featuresCol="features", distanceMeasure="squaredEuclidean"
-    )
-    rows = []
-    for s in solutions:
-        if s.k > 1:
-            labelled = assign(vectors, list(enumerate(s.centers)), columns)
-            rows.append((s.k, float(judge.evaluate(labelled))))
-    vectors.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
+    """(k, silhouette) with squared Euclidean distance, for every k above 1.
+
+    The mean squared distance of a row from a cluster follows from the
+    cluster's size, its sum of vectors and its sum of squared lengths. One pass
+    adds these up for all clusters of all k (a job), a second one scores every
+    row for all k.
+    """
+    solutions = [s for s in solutions if s.k > 1]
+    spark = df.sparkSession
+    if not solutions:
+        return spark.createDataFrame([], "k int, silhouette double")
+    values = [F.col(c).cast("double") for c in columns]
+    length = sum((v * v for v in values), F.lit(0.0))
+    found = [nearest(list(enumerate(s.centers)), columns)["cluster"].alias(f"_c{s.k}") for s in solutions]
+    rows = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(values)], length.alias("_length"), *found)
+    labels = F.array(*[F.struct(F.lit(s.k).alias("k"), F.col(f"_c{s.k}").alias("cluster")) for s in solutions])
+    sums = [F.sum(f"_v{i}") for i in range(len(values))]
+    laid_out = rows.select("*", F.inline(labels))
+    stats = laid_out.groupBy("k", "cluster").agg(F.count("*").alias("n"), F.sum("_length").alias("length"), F.array(*sums).alias("sums"))
+    clusters = {}
+    for r in sorted(stats.collect()):
+        clusters.setdefault(r["k"], []).append(r)
+
+    def score(k):
+        own, away, size = F.lit(None).cast("double"), [], F.lit(None).cast("long")
+        for r in clusters[k]:
+            mean = [v / r["n"] for v in r["sums"]]
+            dot = sum((F.col(f"_v{i}") * F.lit(v) for i, v in enumerate(mean)), F.lit(0.0))
+            distance = F.col("_length") + F.lit(r["length"] / r["n"]) - 2 * dot
+            here = F.col(f"_c{k}") == r["cluster"]
+            own = F.when(here, distance * (r["n"] / max(r["n"] - 1, 1))).otherwise(own)
+            size = F.when(here, F.lit(r["n"])).otherwise(size)
+            away.append(F.when(~here, distance))
+        other = F.array_min(F.array_compact(F.array(*away)))
+        far = F.greatest(own, other)
+        return F.when((size == 1) | other.isNull() | (far <= 0), 0.0).otherwise((other - own) / far)
+
+    means = rows.agg(*[F.avg(score(s.k)).alias(f"_s{s.k}") for s in solutions])
+    cells = F.array(*[F.struct(F.lit(s.k).alias("k"), F.col(f"_s{s.k}").alias("silhouette")) for s in solutions])
+    return means.select(F.inline(cells))

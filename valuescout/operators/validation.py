@@ -79,65 +79,95 @@ def perm_baseline(tables: DataFrame, shuffles=BASELINE_SHUFFLES, seed=SPLIT_SEED
     means over random relabellings that keep cluster sizes and class totals.
 
     Shuffling labels and counting again gives a random table with the same
-    margins, so tables are drawn from the margins directly. The cost depends
-    on clusters, classes and shuffles only, not on the number of rows; each
-    shuffle has its own seed, so the result does not depend on partitioning.
+    margins, so tables are drawn from the margins directly. Classes are the
+    leaves of a tree whose branches are digits of their hashes. From the root
+    on, each node deals its rows, so many of each cluster, to its branches;
+    what a branch gets is a row of its own, and a leaf adds its part to the
+    figures of its shuffle. No row holds more classes than a node has
+    branches, whatever their number. A node's draws have a seed of its own,
+    so the result does not depend on partitions.
     """
-    by_cluster = tables.groupBy("external_variable", "cluster").agg(F.sum("n").alias("n"))
-    by_class = tables.groupBy("external_variable", "class").agg(F.sum("n").alias("n"))
-    # One entry per cluster or class: as long as the printed table is wide.
-    sizes = by_cluster.groupBy("external_variable").agg(
-        F.sort_array(F.collect_list("n")).alias("sizes")
-    )
-    totals = by_class.groupBy("external_variable").agg(
-        F.sort_array(F.collect_list("n")).alias("totals")
+    key = "external_variable"
+    by_cluster = tables.groupBy(key, "cluster").agg(F.sum("n").alias("n"))
+    by_class = tables.groupBy(key, F.xxhash64("class").alias("code")).agg(F.sum("n").alias("n"))
+    # one entry per cluster
+    sizes = by_cluster.groupBy(key).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("cluster", "n"))), lambda c: c["n"]).alias("left")
     )
     # A fixed number of tasks: by its few bytes the plan would end up in one.
     tasks = min(shuffles, tables.sparkSession.sparkContext.defaultParallelism)
-    draws = (
-        sizes.join(totals, "external_variable")
-        .withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
-        .repartition(tasks, "external_variable", "shuffle")
+    draws = sizes.select(
+        key, F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle"), F.lit(0).cast("long").alias("node"), "left"
+    ).repartition(tasks, key, "shuffle")
+
+    def node(digits):
+        return F.shiftrightunsigned("code", 64 - _DIGIT_BITS * digits) if digits else F.lit(0).cast("long")
+
+    kinds = f"{key} string, shuffle int, "
+    for digits in range(_DIGITS + 1):
+        branch = F.col("code") if digits == _DIGITS else node(digits + 1)
+        branches = by_class.groupBy(key, node(digits).alias("node"), branch.alias("branch")).agg(F.sum("n").alias("n"))
+        branches = branches.groupBy(key, "node").agg(F.sort_array(F.collect_list(F.struct("branch", "n"))).alias("branches"))
+        met = draws.join(F.broadcast(branches) if digits == 0 else branches, [key, "node"])
+        met = met.select(key, "shuffle", "node", "left", F.col("branches.branch").alias("branch"), F.col("branches.n").alias("n"))
+        if digits < _DIGITS:
+            draws = met.mapInPandas(lambda b: _dealt(b, seed), f"{kinds} node long, left array<long>")
+        else:
+            leaves = met.mapInPandas(lambda b: _leaf_sums(b, seed), f"{kinds} cluster int, top long, nlnn double")
+
+    found = leaves.groupBy(key, "shuffle", "cluster").agg(F.max("top").alias("top"), F.sum("nlnn").alias("nlnn"))
+    found = found.groupBy(key, "shuffle").agg(F.sum("top").alias("top"), F.sum("nlnn").alias("nlnn"))
+    size = F.col("n").cast("double")
+    margins = by_cluster.groupBy(key).agg(F.sum("n").alias("rows"), F.sum(size * F.ln(size)).alias("slns"))
+    classes = by_class.groupBy(key).agg(F.count("*").alias("classes"))
+    found = found.join(F.broadcast(margins.join(classes, key)), key)
+    spread = F.nullif(F.ln(F.col("classes").cast("double")), F.lit(0.0))
+    return found.groupBy(key).agg(
+        F.avg(F.col("top") / F.col("rows")).alias("purity_random_baseline"),
+        F.avg((F.col("slns") - F.col("nlnn")) / F.col("rows") / spread).alias("entropy_random_baseline"),
     )
 
-    def draw(batches):
-        for batch in batches:
-            rows = [
-                (v, *_random_agreement(np.asarray(s), np.asarray(t), [seed, int(i)]))
-                for v, s, t, i in batch.itertuples(index=False)
-            ]
-            yield pd.DataFrame(rows, columns=["external_variable", "purity", "entropy"])
 
-    drawn = draws.select("external_variable", "sizes", "totals", "shuffle").mapInPandas(
-        draw, "external_variable string, purity double, entropy double"
-    )
-    return drawn.groupBy("external_variable").agg(
-        F.avg("purity").alias("purity_random_baseline"),
-        F.avg(F.when(~F.isnan("entropy"), F.col("entropy"))).alias("entropy_random_baseline"),
-    )
+# a node has at most 2 ** 10 branches, down to a million nodes
+_DIGIT_BITS, _DIGITS = 10, 2
+
+
+def _allotted(row, seed):
+    """(branch, rows of each cluster) for the branches of a node."""
+    left, branches = np.asarray(row.left, "int64"), list(zip(row.branch, row.n))
+    rng = np.random.default_rng([seed, int(row.shuffle), int(row.node) & 0xFFFFFFFFFFFFFFFF]) if len(branches) > 1 else None
+    for branch, n in branches[:-1]:
+        part = _draw(rng, left, int(n))
+        left = left - part
+        yield branch, part
+    yield branches[-1][0], left
+
+
+def _dealt(batches, seed):
+    for batch in batches:
+        out = [
+            (row.external_variable, row.shuffle, branch, part)
+            for row in batch.itertuples(index=False)
+            for branch, part in _allotted(row, seed)
+        ]
+        yield pd.DataFrame(out, columns=["external_variable", "shuffle", "node", "left"])
 
 
-def _random_agreement(sizes, totals, seed):
-    """Purity and normalised entropy of one random table with these margins."""
-    rng = np.random.default_rng(seed)
-    left, rows = totals.astype("int64"), []
-    for size in sizes[:-1]:
-        row = _draw(rng, left, int(size))
-        left = left - row
-        rows.append(row)
-    table = np.array([*rows, left], dtype="float64")
-    n = table.sum()
-    logs = np.log(np.where(table > 0, table, 1.0))
-    size_logs = np.log(sizes.astype("float64"))
-    entropy = (float((sizes * size_logs).sum()) - float((table * logs).sum())) / n
-    if len(totals) < 2:
-        return table.max(axis=1).sum() / n, float("nan")
-    return table.max(axis=1).sum() / n, entropy / np.log(len(totals))
+def _leaf_sums(batches, seed):
+    """Per leaf and cluster: rows of the largest class, and the sum of n ln n."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            table = np.array([part for _, part in _allotted(row, seed)], dtype="float64")
+            logs = (table * np.log(np.where(table > 0, table, 1.0))).sum(axis=0)
+            cells = enumerate(zip(table.max(axis=0).tolist(), logs.tolist()))
+            out += [(row.external_variable, row.shuffle, i, int(top), nlnn) for i, (top, nlnn) in cells]
+        yield pd.DataFrame(out, columns=["external_variable", "shuffle", "cluster", "top", "nlnn"])
 
 
 def _draw(rng, left, size):
-    """How many of each class land in a cluster of this size; one sampler for
-    populations of any size, as numpy's ends at 10**9."""
+    """How many of each kind are among `size` rows drawn from `left`; one
+    sampler for populations of any size, as numpy's ends at 10**9."""
     row, rest = np.zeros_like(left), int(left.sum())
     for i, total in enumerate(left[:-1].tolist()):
         rest -= total
