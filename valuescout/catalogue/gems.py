@@ -5,12 +5,15 @@ from pyspark.sql import functions as F
 from valuescout.catalogue.tables import (
     MIN_RATE,
     POSITIVE_VALUE,
+    SQL_BUCKET,
+    SQL_CUSTOMERS,
     SQL_FACTS,
     SQL_GEMS,
     SQL_JOINED,
     SQL_LISTINGS,
     SQL_PREDICTIONS,
     SQL_REVIEWS,
+    customers,
     facts,
     listings,
     predictions,
@@ -47,7 +50,7 @@ def listing_facts(spark, sf_dir):
 
 
 def train_test_split(spark, sf_dir):
-    return pricing.train_test_flag(listings(spark, sf_dir)).select("id", "in_test_set")
+    return pricing.train_test_flag(customers(spark, sf_dir)).select("id", "in_test_set")
 
 
 def imputed(spark, sf_dir):
@@ -247,7 +250,9 @@ ORACLES = {
     "positive_rate": f"WITH {SQL_FACTS} SELECT listing_id, round(positive_rate, 6) AS positive_rate FROM facts",
     "listing_facts": f"""WITH {SQL_FACTS}
 SELECT listing_id, review_count, round(positive_rate, 6) AS positive_rate, is_hidden FROM facts""",
-    "train_test_split": f"WITH {SQL_PREDICTIONS} SELECT id, in_test_set FROM split",
+    "train_test_split": f"""
+WITH {SQL_CUSTOMERS}
+SELECT id, CAST({SQL_BUCKET.format(id="id", seed=42, n=5)} <> 0 AS INTEGER) AS in_test_set FROM customers""",
     "median_impute": MEDIAN_IMPUTE,
     "one_hot": ONE_HOT,
     "price_metrics": PRICE_METRICS,

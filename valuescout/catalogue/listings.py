@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F, types as T
 
 from valuescout.catalogue.tables import (
+    SQL_CUSTOMERS,
     SQL_FACTS,
     SQL_LISTINGS,
     SQL_REVIEWS,
+    customers,
     facts,
     listings,
     reviews,
@@ -380,15 +382,15 @@ WITH {_SQL_LISTING_FACTS}
 
 
 def distinct_neigh(spark, sf_dir):
-    return listings(spark, sf_dir).groupBy("room_type").agg(
+    return customers(spark, sf_dir).groupBy("room_type").agg(
         F.count("*").alias("n"), F.countDistinct("nation").alias("n_neighbourhoods")
     )
 
 
 DISTINCT_NEIGH = f"""
-WITH {SQL_LISTINGS}
+WITH {SQL_CUSTOMERS}
 SELECT room_type, count(*) AS n, count(DISTINCT nation) AS n_neighbourhoods
-FROM listings GROUP BY room_type"""
+FROM customers GROUP BY room_type"""
 
 
 def complete_rows(spark, sf_dir):
@@ -416,13 +418,13 @@ FROM part"""
 
 def reviewed_flag(spark, sf_dir):
     ids = reviews(spark, sf_dir).withColumnRenamed("listing_id", "id")
-    return member_flag(listings(spark, sf_dir).select("id", "room_type"), ids, "id", "is_reviewed")
+    return member_flag(customers(spark, sf_dir).select("id", "room_type"), ids, "id", "is_reviewed")
 
 
 MEMBER_FLAG = f"""
-WITH {SQL_REVIEWS},{SQL_LISTINGS}
+WITH {SQL_REVIEWS},{SQL_CUSTOMERS}
 SELECT id, room_type, CAST(id IN (SELECT listing_id FROM reviews) AS INTEGER) AS is_reviewed
-FROM listings"""
+FROM customers"""
 
 QUERIES = {
     "scan_clean_na": scan_clean_na,

@@ -3,9 +3,9 @@ are checked by quality bounds."""
 
 from pyspark.sql import functions as F
 
-from valuescout.catalogue.tables import SQL_BUCKET, table
+from valuescout.catalogue.tables import MIN_RATE, SQL_BUCKET, SQL_FACTS, SQL_LISTINGS, facts, listings, table
 from valuescout.functions.values import log_price
-from valuescout.operators import exact_tree, pricing
+from valuescout.operators import exact_tree, funnel, pricing
 from valuescout.plans.pricing import fair_price
 from valuescout.session import cut_lineage, spread
 
@@ -165,22 +165,22 @@ WITH {_SQL_OFFERS},{sql_tree(levels, 20, EXACT_NUMERIC)}
 SELECT node, depth, n, round(mean, 6) AS mean, feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain FROM nodes"""
 
 
-def sql_placed(table, levels, key="id"):
-    """CTEs `placed` (key, node) for rows (key, x) of `table` from `nodes`."""
-    steps = [f"at0 AS (SELECT {key}, x, CAST(1 AS BIGINT) AS node FROM {table})"]
+def sql_placed(table, levels):
+    """CTE `placed`: the rows of `table`, which have an x, with their leaf of `nodes`."""
+    steps = [f"at0 AS (SELECT *, CAST(1 AS BIGINT) AS node FROM {table})"]
     for i in range(levels):
         steps.append(
-            f"at{i + 1} AS (SELECT {key}, x, CASE WHEN f IS NULL THEN a.node "
-            f"ELSE 2 * a.node + CAST(x[f + 1] > threshold AS BIGINT) END AS node FROM at{i} a LEFT JOIN nodes n ON a.node = n.node)"
+            f"at{i + 1} AS (SELECT a.* REPLACE (CASE WHEN f IS NULL THEN a.node "
+            f"ELSE 2 * a.node + CAST(x[f + 1] > threshold AS BIGINT) END AS node) FROM at{i} a LEFT JOIN nodes n ON a.node = n.node)"
         )
-    steps.append(f"placed AS (SELECT {key}, node FROM at{levels})")
+    steps.append(f"placed AS (SELECT * FROM at{levels})")
     return ", ".join(steps)
 
 
 PRICE_TREE3_METRICS = f"""
 WITH {_SQL_OFFERS},{sql_tree(3, 20, EXACT_NUMERIC)}, {sql_placed("prepared", 3)},
 scored AS (
-  SELECT p.*, mean AS predicted_log, exp(mean) AS predicted FROM prepared p JOIN placed USING (id) JOIN nodes USING (node)),
+  SELECT p.*, mean AS predicted_log, exp(mean) AS predicted FROM placed p JOIN nodes USING (node)),
 twice AS (SELECT CASE WHEN in_test_set = 1 THEN 'test' ELSE 'train' END AS split, * FROM scored
          UNION ALL SELECT 'all' AS split, * FROM scored),
 found AS (
@@ -192,7 +192,53 @@ SELECT split, n, round(rmse_log, 6) AS rmse_log, round(exp(rmse_log), 6) AS exp_
 FROM found"""
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_GEM_FEATURES = ("nation", *SEGMENTS[1:])
+
+
+def gems_tree(spark, sf_dir):
+    """The search for gems with the fair price of a tree fitted on the training
+    rows: nation and market segment, all splits tried, three levels."""
+    split = pricing.train_test_flag(listings(spark, sf_dir))
+    split = split.withColumns({c: (F.col("room_type") == c).cast("double") for c in SEGMENTS[1:]})
+    split = cut_lineage(split.withColumn("nation", F.col("nation").cast("double")))
+    tree = exact_tree.grow(split.filter(F.col("in_test_set") == 0), "log_price", _GEM_FEATURES, 3, 5)
+    scored = exact_tree.predict(split, tree, "predicted_log_price")
+    predicted = F.exp("predicted_log_price")
+    priced = scored.select(
+        "id",
+        "price_clean",
+        "log_price",
+        "predicted_log_price",
+        predicted.alias("predicted_price"),
+        (F.col("price_clean") - predicted).alias("residual"),
+        "in_test_set",
+    )
+    known = facts(spark, sf_dir)
+    flags, rates = known.select("listing_id", "is_hidden"), known.select("listing_id", "positive_rate")
+    found = funnel.select_gems(funnel.join_signals(flags, rates, priced), MIN_RATE, 0.15)
+    rounded = found.withColumns({c: F.round(c, 6) for c in ("positive_rate", "predicted_price", "discount_pct")})
+    return rounded.orderBy(F.desc("discount_pct"), "listing_id")
+
+
+GEMS_TREE = f"""
+WITH {SQL_FACTS},{SQL_LISTINGS},
+prepared AS (
+  SELECT id, price_clean, log_price, CAST({SQL_BUCKET.format(id="id", seed=42, n=5)} <> 0 AS INTEGER) AS in_test_set,
+         [CAST(nation AS DOUBLE), {", ".join(f"CAST(room_type = '{c}' AS DOUBLE)" for c in SEGMENTS[1:])}] AS x
+  FROM listings),
+rows0 AS (SELECT CAST(1 AS BIGINT) AS node, x, CAST(log_price AS DECIMAL(28,12)) AS y FROM prepared WHERE in_test_set = 0),
+{sql_tree(3, 5, _GEM_FEATURES)}, {sql_placed("prepared", 3)},
+predictions AS (
+  SELECT id, price_clean, exp(mean) AS predicted_price, in_test_set FROM placed JOIN nodes USING (node))
+SELECT listing_id, is_hidden, round(positive_rate, 6) AS positive_rate, price_clean, round(predicted_price, 6) AS predicted_price,
+       round(1 - price_clean / predicted_price, 6) AS discount_pct, in_test_set
+FROM facts JOIN predictions ON listing_id = id
+WHERE is_hidden = 1 AND positive_rate > {MIN_RATE} AND price_clean <= predicted_price * (1 - 0.15) AND in_test_set = 1"""
+
+
 QUERIES = {
+    "gems_tree": gems_tree,
     "price_stump": price_stump,
     "price_tree3": price_tree3,
     "price_tree3_metrics": price_tree3_metrics,
@@ -204,6 +250,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "gems_tree": GEMS_TREE,
     "price_stump": _sql_nodes(1),
     "price_tree3": _sql_nodes(3),
     "price_tree3_metrics": PRICE_TREE3_METRICS,

@@ -30,6 +30,15 @@ def facts(spark, sf_dir):
     return low_exposure(found)
 
 
+def customers(spark, sf_dir):
+    """All customers as listings, where the price does not matter."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.col("c_mktsegment").alias("room_type"),
+        F.col("c_nationkey").alias("nation"),
+    )
+
+
 def listings(spark, sf_dir):
     """Customers with a positive balance: the balance plays the price."""
     priced = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
@@ -83,6 +92,10 @@ facts AS (
   SELECT *, CAST(review_count < (SELECT median(review_count) FROM counts) AS INTEGER) AS is_hidden
   FROM counts)"""
 
+SQL_CUSTOMERS = """
+customers AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS room_type, c_nationkey AS nation FROM customer)"""
+
 SQL_LISTINGS = """
 listings AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS price_clean, ln(c_acctbal) AS log_price,

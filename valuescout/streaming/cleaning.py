@@ -9,12 +9,16 @@ from valuescout.sources.csv import clean_na
 _POLL_SECONDS = 0.05
 
 
-def review_stream(spark: SparkSession, folder, schema, files_per_batch=100) -> DataFrame:
-    """CSV files as they arrive; each batch takes a bounded number of files."""
+def review_stream(spark: SparkSession, folder, schema, files_per_batch=100, multiline=True) -> DataFrame:
+    """CSV files as they arrive; each batch takes a bounded number of files.
+
+    Files whose cells break no line may be split with `multiline=False`; big
+    ones with such cells are read once and for all by `scan_csv_split`.
+    """
     raw = (
         spark.readStream.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
@@ -28,9 +32,28 @@ def clean_stream(raw: DataFrame, year) -> DataFrame:
     return clean_reviews(counted, year).observe("rows_kept", F.count(F.lit(1)).alias("n"))
 
 
+# The ids seen so far live on the executors' disks, at most so much of them in
+# memory; a commit uploads what has changed to the checkpoint folder.
+_STATE = "spark.sql.streaming.stateStore"
+STATE_MEMORY_MB = 512
+STATE_SETTINGS = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": str(STATE_MEMORY_MB),
+}
+
+
+def keep_state_on_disk(spark: SparkSession):
+    """Streams that are started from now on keep their state so."""
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
+
+
 def distinct_id_stream(cleaned: DataFrame, key="listing_id") -> DataFrame:
     """Every valid id the first time it is seen. The state is one short string
-    per id, partitioned by id."""
+    per id, partitioned by id and kept on disk."""
+    keep_state_on_disk(cleaned.sparkSession)
     ids = cleaned.select(valid_id(key).alias(key)).filter(F.col(key).isNotNull())
     return ids.dropDuplicates([key])
 
