@@ -1,8 +1,9 @@
 """Small default dictionaries, as DataFrames.
 
 Each one is only a starting point: every operator takes the dictionary as an
-input table, so a full lexicon can be passed instead. The operators count a
-dictionary and copy it to all tasks if it is small; else they join by shuffle.
+input table, so a full lexicon can be passed instead. As local tables their size
+is known to the planner, which copies small ones to all tasks; others are joined
+by shuffle.
 """
 
 import pyarrow as pa

@@ -26,6 +26,7 @@ def _schema(**columns) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+# The columns of the tables that the stages hand on, and their types.
 _S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
 
 RAW_REVIEWS = text_schema(("listing_id", "id", "date", "reviewer_id", "reviewer_name", "comments"))
@@ -45,6 +46,7 @@ FINDS = _schema(
     discount_pct=_D, in_test_set=_I,
 )
 
+# The text columns of cleaned listings.
 _TEXT = {
     "id", "name", "host_id", "host_name", "neighbourhood_cleansed", "property_type",
     "room_type", "bathrooms_text", "instant_bookable", "host_since", "host_is_superhost",
