@@ -225,18 +225,26 @@ def concatenated(codec, parts):
     return parts[0][1]
 
 
+def _row_slices(batches):
+    return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+
+
 @tidily
-def _cut_pieces(batches, codec_bytes, size):
-    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+def _cut_pieces(batches, codec_bytes, size, schema):
+    """Pieces of long texts; the first one of a text carries its `rest`."""
+    for batch in _row_slices(batches):
         codec = _codec(codec_bytes)
-        rows = {"key": [], "piece": [], "stretch": [], "special": [], "text": []}
-        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
+        row, rows = [], {"piece": [], "stretch": [], "special": [], "text": []}
+        for number, text in enumerate(batch["text"].to_pylist()):
             for n, (stretch, part) in enumerate(pieces(codec, text, size)):
                 special = isinstance(part, int)
-                for name, value in zip(rows, (key, n, stretch, part if special else None, None if special else part)):
+                row.append(number)
+                for name, value in zip(rows, (n, stretch, part if special else None, None if special else part)):
                     rows[name].append(value)
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], [*rows])
+        first = pa.array([r if n == 0 else None for r, n in zip(row, rows["piece"])], pa.int32())
+        made = {k: pa.array(v, schema.field(k).type) for k, v in rows.items()} | {"rest": batch["rest"].take(first)}
+        columns = [made[f.name] if f.name in made else batch[f.name].take(pa.array(row, pa.int32())) for f in schema]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _lists(ids):
@@ -246,18 +254,27 @@ def _lists(ids):
 
 
 @tidily
-def _encoded_pieces(batches, codec_bytes):
-    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+def _encoded_pieces(batches, codec_bytes, schema):
+    for batch in _row_slices(batches):
         codec = _codec(codec_bytes)
         ids = [codec.plain(t) if t is not None else [s] for t, s in zip(batch["text"].to_pylist(), batch["special"].to_pylist())]
-        names = ["key", "piece", "stretch"]
-        yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), _lists(ids)], [*names, "ids"])
+        columns = [_lists(ids) if f.name == "ids" else batch[f.name] for f in schema]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _finished(batch, codec, ids, exact, schema):
+    more = {"ids": _lists(ids)}
+    texts = [codec.decode(x) for x in ids]
+    more["exact"] = pa.array([exact(i, t) for i, t in enumerate(texts)], pa.bool_())
+    if "decoded" in schema.names:
+        more["decoded"] = pa.array(texts, pa.string())
+    return pa.RecordBatch.from_arrays([more[f.name] if f.name in more else batch[f.name] for f in schema], schema=schema)
 
 
 @tidily
-def _joined(batches, codec_bytes):
+def _joined(batches, codec_bytes, schema):
     """Join the pieces of each text; a piece's text is that of its ids."""
-    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+    for batch in _row_slices(batches):
         codec = _codec(codec_bytes)
         out = []
         for parts in batch["parts"]:
@@ -270,25 +287,17 @@ def _joined(batches, codec_bytes):
                 ids += concatenated(codec, [(codec.decode(p["ids"]), p["ids"]) for p in parts[at:stop]])
                 at = stop
             out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch["key"], _lists(out)], ["key", "ids"])
+        keys = batch["key"].to_pylist()
+        yield _finished(batch, codec, out, lambda i, t: hashlib.sha256(t.encode()).hexdigest() == keys[i], schema)
 
 
 @tidily
 def _whole(batches, codec_bytes, schema):
-    """Encode the texts that are short; take the ids of the others as given."""
-    for whole in batches:
+    """Encode the texts that are short."""
+    for batch in _row_slices(batches):
         codec = _codec(codec_bytes)
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
-            texts, keys = batch["text"].to_pylist(), batch["key"].to_pylist()
-            ids = [codec.encode(t) if k is None else g for t, k, g in zip(texts, keys, batch["ids"].to_pylist())]
-            decoded = [codec.decode(x) for x in ids]
-            exact = [d == t if k is None else hashlib.sha256(d.encode()).hexdigest() == k for d, t, k in zip(decoded, texts, keys)]
-            more = {"ids": _lists(ids), "exact": pa.array(exact, pa.bool_())}
-            if "decoded" in schema.names:
-                more["decoded"] = pa.array(decoded, pa.string())
-            columns = [more[f.name] if f.name in more else batch[f.name] for f in schema]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        texts = batch["text"].to_pylist()
+        yield _finished(batch, codec, [codec.encode(t) for t in texts], lambda i, t: t == texts[i], schema)
 
 
 def encode_texts(
@@ -300,7 +309,7 @@ def encode_texts(
     driver; its content travels with the tasks. Texts of at most `size`
     characters are encoded where they lie; only the others' pieces are
     shuffled, first to spread them, then, as ids, to bring each text's pieces
-    together.
+    together. Equal rows are encoded once and come back as often.
 
     Returns id, rest (a struct of the columns named in `carry`), ids (array of
     int), exact (whether the ids decode to the text) and, unless switched off,
@@ -321,24 +330,35 @@ def encode_texts(
         F.col(id_col).alias("id"),
         F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("rest"),
         text.alias("text"),
-        # equal long texts are encoded once
-        F.when(F.length(text) > size, F.sha2(text.cast("binary"), 256)).alias("key"),
     )
-    long_texts = rows.filter(F.col("key").isNotNull()).select("key", "text")
-    cut = long_texts.mapInArrow(lambda b: _cut_pieces(b, definition, size), "key string, piece int, stretch int, special int, text string")
-    cut = cut.dropDuplicates(["key", "piece"])  # also deals the pieces out
-    done = cut.mapInArrow(lambda b: _encoded_pieces(b, definition), "key string, piece int, stretch int, ids array<int>")
-    together = done.groupBy("key").agg(F.collect_list(F.struct("piece", "stretch", "ids")).alias("parts"))
-    encoded = together.mapInArrow(lambda b: _joined(b, definition), "key string, ids array<int>")
-    short = rows.filter(F.col("key").isNull()).withColumn("ids", F.lit(None).cast("array<int>"))
-    long_rows = rows.filter(F.col("key").isNotNull()).select("id", "rest", "key").join(encoded, "key")
-    result = short.select("id", "rest", "ids", F.lit(True).alias("exact"), *[F.lit("").alias("decoded")] * decoded).schema
-    for field in result.fields:
-        field.nullable = True
-    schema = to_arrow_schema(result)
-    columns = ["id", "rest", "text", "key", "ids"]
-    both = short.select(*columns).union(long_rows.withColumn("text", F.lit("")).select(*columns))
-    return both.mapInArrow(lambda b: _whole(b, definition, schema), result)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "rest")}
+
+    def schema_of(**columns):
+        ddl = ", ".join(f"{name} {kind}" for name, kind in columns.items())
+        return ddl, to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
+
+    # what tells rows apart, besides their id: the text and all that is carried
+    own = {"id": kinds["id"], "same": "string", "key": "string"}
+    same = F.md5(F.to_json("rest").cast("binary"))
+    long_rows = rows.filter(F.length("text") > size).withColumns({"same": same, "key": F.sha2(F.col("text").cast("binary"), 256)})
+    ddl, cut_schema = schema_of(**own, rest=kinds["rest"], piece="int", stretch="int", special="int", text="string")
+    cut = long_rows.mapInArrow(lambda b: _cut_pieces(b, definition, size, cut_schema), ddl)
+    first = [F.first(c).alias(c) for c in ("rest", "stretch", "special", "text")]
+    cut = cut.groupBy(*own, "piece").agg(*first, F.count(F.lit(1)).alias("copies"))  # also deals the pieces out
+    ddl, piece_schema = schema_of(**own, rest=kinds["rest"], piece="int", stretch="int", copies="long", ids="array<int>")
+    done = cut.mapInArrow(lambda b: _encoded_pieces(b, definition, piece_schema), ddl)
+    together = done.groupBy(*own).agg(
+        F.collect_list(F.struct("piece", "stretch", "ids")).alias("parts"),
+        F.first("rest", ignorenulls=True).alias("rest"),
+        F.max("copies").alias("copies"),
+    )
+    result = {**kinds, "ids": "array<int>", "exact": "boolean"} | ({"decoded": "string"} if decoded else {})
+    ddl, joined_schema = schema_of(**result, copies="long")
+    joined = together.mapInArrow(lambda b: _joined(b, definition, joined_schema), ddl)
+    joined = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*result)
+    ddl, short_schema = schema_of(**result)
+    short = rows.filter(F.length("text") <= size).mapInArrow(lambda b: _whole(b, definition, short_schema), ddl)
+    return short.union(joined)
 
 
 def default_vocabulary():
