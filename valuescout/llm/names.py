@@ -29,12 +29,15 @@ _BYTES = (_table(11), _table(29))
 
 def mixed(x, y=None):
     """One well spread number from one or two; all arithmetic is modulo 2**64."""
-    z = x * U(0xBF58476D1CE4E5B9)
+    z = np.multiply(x, U(0xBF58476D1CE4E5B9))
     if y is not None:
-        z = z ^ (y * U(0x94D049BB133111EB) + (y >> U(29)))
-    z = z ^ (z >> U(31))
-    z = z * U(0xD6E8FEB86659FD93)
-    return z ^ (z >> U(32))
+        part = np.multiply(y, U(0x94D049BB133111EB))
+        part += y >> U(29)
+        z ^= part
+    z ^= z >> U(31)
+    z *= U(0xD6E8FEB86659FD93)
+    z ^= z >> U(32)
+    return z
 
 
 def doubled(names, length, target):
@@ -173,18 +176,37 @@ def anchored(grams, first, n, k):
     total = int(first[-1])
     if total < n:
         return none, none, none, none
-    place = np.arange(len(grams), dtype=U)
-    least = _sliding_min((grams & ~_PLACE) | place, n - k + 1)
-    anchor = (least & _PLACE).astype(np.int64)[: total - n + 1]
-    length = np.diff(first)
-    doc = np.repeat(np.arange(len(length)), length)[: len(anchor)]
-    valid = np.arange(len(anchor)) + n <= first[1:][doc]
+    least = grams & ~_PLACE
+    least |= np.arange(len(grams), dtype=U)
+    least = _sliding_min(least, n - k + 1)[: total - n + 1]
+    least &= _PLACE
+    anchor = least.astype(np.int64)
+    valid = np.ones(len(anchor), bool)
+    for start, stop in zip(first[:-1].tolist(), first[1:].tolist()):
+        valid[max(start, stop - n + 1) : stop] = False  # a window would leave its document
+    # no document begins right after a valid place, so that spans end with them
     new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
+    new[1:] = (anchor[1:] != anchor[:-1]) | ~valid[:-1]
     lo = np.flatnonzero(new & valid)
     if not len(lo):
         return none, none, none, none
     last = np.ones(len(anchor), bool)
     last[:-1] = new[1:] | ~valid[1:]
     hi = np.flatnonzero(last & valid)
-    return doc[lo], lo, hi, anchor[lo]
+    doc = np.searchsorted(first, lo, side="right") - 1
+    return doc, lo, hi, anchor[lo]
+
+
+def sorted_by(name, *others):
+    """Order of rows by name, then by the others, the last one first.
+
+    Most names stand alone, so only rows that share one are sorted further.
+    """
+    order = np.argsort(name, kind="stable")
+    ranked = name[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = ranked[1:] == ranked[:-1]
+    same[:-1] |= same[1:].copy()
+    rows = order[same]
+    order[same] = rows[np.lexsort((*[x[rows] for x in others], name[rows]))]
+    return order

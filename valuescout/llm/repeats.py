@@ -26,10 +26,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, blocks, lazily, mixed, tidily
+from valuescout.llm.names import ByteTokens, Running, WordTokens, anchored, blocks, lazily, mixed, sorted_by, tidily
 
 OPEN, REMOVED, CANDIDATE, BOTH = 0, 1, 2, 3
-_FLUSH = 500_000
+_FLUSH = 1_000_000
 _ROWS = 256
 _LISTS = {"name": pa.int64(), "whole": pa.int64(), "did": pa.int64(), "tag": pa.int32(), "start": pa.int32(), "more": pa.int32()}
 _PACKED = "bucket int, name array<long>, whole array<long>, did array<long>, tag array<int>, start array<int>, more array<int>"
@@ -126,7 +126,7 @@ class _Spans:
             return
         name, whole, did, sub, place = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
-        order = np.lexsort((place, sub, did, whole, name))
+        order = sorted_by(name, place, sub, did, whole)
         name, whole, did, sub, place = (x[order] for x in (name, whole, did, sub, place))
         new_name, new_whole = np.ones(len(name), bool), np.ones(len(name), bool)
         new_name[1:] = name[1:] != name[:-1]
@@ -184,7 +184,7 @@ class _Names:
             return
         name, check, did, sub, place = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
-        order = np.lexsort((place, sub, did, check, name))
+        order = sorted_by(name, place, sub, did, check)
         name, check, did, sub, place = (x[order] for x in (name, check, did, sub, place))
         new = np.ones(len(name), bool)
         new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
@@ -192,12 +192,21 @@ class _Names:
         yield _packed(name, check, did, sub * 4 + known, place, known, self.method.buckets)
 
 
-def _listed(items, sub):
-    """Tags' kinds and places of the listed items of the row numbered `sub`."""
-    tag = np.array([x["tag"] for x in items or ()], np.int64)
-    place = np.array([x["place"] for x in items or ()], np.int64)
-    mine = tag >> 2 == sub
-    return tag[mine] & 3, place[mine]
+class _Listed:
+    """A column of lists of (tag, place), read without a Python object each."""
+
+    def __init__(self, column):
+        length = np.asarray(column.value_lengths().fill_null(0))
+        self.edge = np.concatenate([[0], np.cumsum(length)])
+        flat = column.flatten()
+        self.tag, self.place = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tag", "place"))
+
+    def of(self, row, sub):
+        """Tags' kinds and places of the items in one row that are `sub`'s."""
+        here = slice(self.edge[row], self.edge[row + 1])
+        tag, place = self.tag[here], self.place[here]
+        mine = tag >> 2 == sub
+        return tag[mine] & 3, place[mine]
 
 
 def _candidate_rows(batches, method):
@@ -205,15 +214,14 @@ def _candidate_rows(batches, method):
     for batch in (b.slice(at, 8 * _ROWS) for b in batches for at in range(0, b.num_rows, 8 * _ROWS)):
         rows, texts = [], []
         unpack = zstandard.ZstdDecompressor().decompress
-        halves = batch["halves"].to_pylist() if "halves" in batch.schema.names else [None] * batch.num_rows
-        for did, sub, text, items, alive in zip(
-            batch["did"].to_pylist(), batch["sub"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist(), halves
-        ):
-            kind, place = _listed(items, sub)
+        spans = _Listed(batch["spans"])
+        halves = _Listed(batch["halves"]) if "halves" in batch.schema.names else None
+        for row, (did, sub) in enumerate(zip(batch["did"].to_pylist(), batch["sub"].to_pylist())):
+            kind, place = spans.of(row, sub)
             place = np.sort(place[kind >= CANDIDATE])
             if len(place):
-                rows.append((did, sub, place, _listed(alive, sub)[1]))
-                texts.append(unpack(text))
+                rows.append((did, sub, place, halves.of(row, sub)[1] if halves else place[:0]))
+                texts.append(unpack(batch["text"][row].as_py()))
         for some, raw in blocks(rows, texts):
             yield some, method.tokens(raw)
 
@@ -276,15 +284,15 @@ def _removed_rows(batches, method, finish, schema):
     unpack = zstandard.ZstdDecompressor().decompress
     # few rows at a time become Python objects
     for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+        spans, windows = _Listed(batch["spans"]), _Listed(batch["windows"])
         out = []
-        for row in batch.to_pylist():
-            spans = []
-            kind, place = _listed(row["spans"], row["sub"])
-            spans.append(place[(kind == REMOVED) | (kind == BOTH)])
-            spans.append(_listed(row["windows"], row["sub"])[1])
-            start, count, _ = _unpack(np.concatenate(spans))
-            out.append({"id": row["id"], "rest": row["rest"], **finish(unpack(row["text"]).decode(), merged(start, start + count - 1 + method.n))})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+        for row, (sub, text) in enumerate(zip(batch["sub"].to_pylist(), lazily(batch["text"]))):
+            kind, place = spans.of(row, sub)
+            gone = np.concatenate([place[(kind == REMOVED) | (kind == BOTH)], windows.of(row, sub)[1]])
+            start, count, _ = _unpack(gone)
+            out.append(finish(unpack(text).decode(), merged(start, start + count - 1 + method.n)))
+        made = [pa.array([x[f.name] for x in out], f.type) if f.name in out[0] else batch[f.name] for f in schema]
+        yield pa.RecordBatch.from_arrays(made, schema=schema)
 
 
 def merged(start, stop):
