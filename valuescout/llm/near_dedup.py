@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from valuescout.llm.components import components
 from valuescout.llm.minhash import SHINGLE, band_keys, set_keys, shingle_sets, signatures
-from valuescout.llm.names import blocks, lazily, tidily
+from valuescout.llm.names import blocks, lazily, mixed, tidily
 from valuescout.session import cut_lineage
 
 BINS, ROWS = 250, 5
@@ -29,20 +29,37 @@ SKETCH = 128
 # five standard deviations below a similarity of 0.75, by sketch and signature
 _FAR, _FAR_WHOLE = 0.55, 0.61
 BLOCK = 512
+# Sets of fewer shingles also meet by single shingles, and are never ruled out
+# by a sketch: what a few shingles have in common is too little to estimate.
+SMALL = 54
 
 _SIGNED = "doc_id long, n long, ka long, kb long, bands array<long>, sketch binary"
 
 
+def _with_prefixes(bands, text, name, n, percent):
+    """Keys of each text: those of its bands and, for small sets, of its first
+    shingles in the order of their names. Of two sets that are alike one of
+    the first n - ceil(percent * n / 100) + 1 of either is in both, so no pair
+    of small sets is missed."""
+    first = np.where((n > 0) & (n < SMALL), n - -(-percent * n // 100) + 1, 0)
+    edges = np.concatenate([[0], np.cumsum(bands.shape[1] + first)])
+    keys = np.empty(edges[-1], np.uint64)
+    keys[(edges[:-1, None] + np.arange(bands.shape[1])).ravel()] = bands.ravel()
+    row = np.repeat(np.arange(len(n)), first)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(first) - first, first)
+    of = np.searchsorted(text, row) + nth
+    keys[edges[row] + bands.shape[1] + nth] = mixed(name[of], np.full(len(of), 0x9E6C63D0676A9A99, np.uint64))
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(keys.view(np.int64)))
+
+
 @tidily
-def _signed(batches):
+def _signed(batches, percent=75):
     for batch in batches:
         rows = zip(batch["doc_id"].to_pylist())
         for some, raw in blocks(rows, lazily(batch["text"])):
             text, name, _ = shingle_sets(raw)
             (ka, kb), n = set_keys(text, name, len(raw))
             signature = signatures(text, name, len(raw), BINS)
-            bands = band_keys(signature, ROWS)
-            edges = np.arange(len(raw) + 1, dtype=np.int32) * bands.shape[1]
             sketch = (signature[:, :SKETCH] & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -50,7 +67,7 @@ def _signed(batches):
                     pa.array(n.astype(np.int64)),
                     pa.array(ka.view(np.int64)),
                     pa.array(kb.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.ravel().view(np.int64))),
+                    _with_prefixes(band_keys(signature, ROWS), text, name, n, percent),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
                 ],
                 ["doc_id", "n", "ka", "kb", "bands", "sketch"],
@@ -67,6 +84,7 @@ def _likely(batches):
     for batch in batches:
         if batch.num_rows:
             near = (_sketches(batch["sketch"]) == _sketches(batch["hub_sketch"])).mean(axis=1) >= _FAR
+            near |= np.maximum(batch["n"].to_numpy(), batch["hub_n"].to_numpy()) < SMALL
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
@@ -101,7 +119,8 @@ def _links_in(group, percent, unpack):
         other = i + 1 + np.flatnonzero((component != component[i])[i + 1 :])
         other = other[own[other] != own[i]] if two else other
         other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-        other = other[(signature[other] == signature[i]).mean(axis=1) >= _FAR_WHOLE]
+        far = (signature[other] == signature[i]).mean(axis=1) < _FAR_WHOLE
+        other = other[~far | (np.maximum(n[other], n[i]) < SMALL)]
         other = other[~(earlier[other] == earlier[i]).any(axis=1)]
         for j in other:
             common = len(np.intersect1d(name[edge[i] : edge[i + 1]], name[edge[j] : edge[j + 1]], assume_unique=True))
@@ -167,10 +186,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent=7
 
     Two documents are linked if the distinct 5-word shingles of their texts,
     A to Z lower-cased, have an intersection of at least `percent` % of the
-    union. Bands find a pair at 75 % but for one time in a million.
+    union. Pairs of sets of fewer than 54 shingles are all found; bands and
+    sketches find larger ones at 75 % but for about one time in a million.
 
     Defined cases: a text with fewer than five words is one shingle; a null
-    or blank text has none and is linked with nothing; a row without an id
+    or blank text has none and is linked with nothing; very long texts count
+    with all their shingles; a row without an id
     can't be named as the end of a link, so it has no component and is kept;
     rows with the same id are one document with the links of all of them;
     an empty table gives an empty result; columns not named are ignored,
@@ -178,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent=7
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    signed = cut_lineage(rows.mapInArrow(_signed, _SIGNED))
+    signed = cut_lineage(rows.mapInArrow(lambda b: _signed(b, percent), _SIGNED))
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     texts = rows.filter(F.col("doc_id").isNotNull())
 
@@ -202,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent=7
     for end, n, sketch in (("a", "n", "sketch"), ("b", "hub_n", "hub_sketch")):
         star = star.join(facts.select(F.col("doc_id").alias(end), F.col("n").alias(n), F.col("sketch").alias(sketch)), end)
     star = star.filter(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-    star = star.select("a", "b", "sketch", "hub_sketch").mapInArrow(_likely, "a long, b long")
+    star = star.select("a", "b", "n", "hub_n", "sketch", "hub_sketch").mapInArrow(_likely, "a long, b long")
     star = cut_lineage(star.distinct())
     links = confirmed_links(star, texts, percent)
     found = cut_lineage(components(links))
