@@ -11,10 +11,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from valuescout.session import cut_lineage
+
 BLANKS = r"[\x20\x09-\x0D]+"
 IDF_BAND = (2.0, 6.0)
 SUBSETS = 32
 LEXICON_BITS = 22
+SLOTS = 64
 _SHARE_BITS = 1
 _PER_BYTE = 4
 
@@ -28,21 +31,25 @@ def term_hashes(text: Column) -> Column:
 def lexicon(docs: DataFrame, text_col="text", band=IDF_BAND) -> bytes:
     """Terms with ln(documents / document frequency) within `band`, as a bitmap.
 
-    Counts cover all words of all documents. A term is kept by the last
-    LEXICON_BITS bits of its hash, so the bitmap has a fixed size (1 MB). The
-    band bounds the terms too: no more than the mean number of distinct words
-    times exp(band[1]) are that frequent, so few bits are set by chance.
+    Counts cover all words of all documents. A term is kept by the last bits
+    of its hash, LEXICON_BITS (1 MB) or as many as give each term of the band
+    SLOTS places of its own, so that a word outside the band is taken for one
+    of them once in SLOTS times at most. The band bounds the terms, and so the
+    bitmap: no more than the mean number of distinct words times exp(band[1])
+    are that frequent.
     """
     terms = docs.select(F.explode(term_hashes(F.col(text_col).cast("string"))).alias("term"))
     counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = docs.count()
     most, least = total * math.exp(-band[0]), total * math.exp(-band[1])
     kept = counted.filter((F.col("n") <= most) & (F.col("n") >= least))
-    bit = F.col("term").bitwiseAND(F.lit((1 << LEXICON_BITS) - 1))
+    kept = cut_lineage(kept.select("term"))
+    size = max(LEXICON_BITS, (SLOTS * kept.count()).bit_length())
+    bit = F.col("term").bitwiseAND(F.lit((1 << size) - 1))
     byte = F.shiftright(bit, 2)
     value = F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(_PER_BYTE - 1)).cast("int"))
     rows = kept.groupBy(byte.alias("byte")).agg(F.bit_or(value).alias("value")).collect()
-    bits = bytearray(b"@" * ((1 << LEXICON_BITS) // _PER_BYTE))
+    bits = bytearray(b"@" * ((1 << size) // _PER_BYTE))
     for r in rows:
         bits[r["byte"]] += r["value"]
     return bytes(bits)
@@ -53,7 +60,7 @@ def fingerprint(text: Column, bits: bytes) -> Column:
     table = F.lit(bits)
 
     def known(term):
-        place = term.bitwiseAND(F.lit((1 << LEXICON_BITS) - 1))
+        place = term.bitwiseAND(F.lit(len(bits) * _PER_BYTE - 1))
         byte = F.substring(table, F.shiftright(place, 2).cast("int") + 1, F.lit(1))
         value = F.ascii(byte.cast("string"))
         at = place.bitwiseAND(F.lit(_PER_BYTE - 1)).cast("int")
@@ -121,10 +128,12 @@ def followed(rows: DataFrame, id_col, tie_cols, columns) -> DataFrame:
     dealt = rows.withColumn("part", part).repartition("part")
     linked = dealt.withColumn("next", F.lead(value).over(inside)).withColumn("place", F.row_number().over(inside))
     heads = linked.filter(F.col("place") == 1).select("part", value.alias("head"))
-    onward = Window.orderBy(F.col("part").desc())
+    # only the numbers of the ranges meet in one window, their heads do not
+    onward = Window.orderBy(F.col("own").desc())
     everything = onward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.coalesce(F.lead("head").over(onward), F.first("head").over(everything))
-    heads = heads.select(F.col("part").alias("p"), after.alias("after"))
+    parts = rows.select(part.alias("own")).distinct()
+    parts = parts.select(F.col("own").alias("p"), F.coalesce(F.lead("own").over(onward), F.first("own").over(everything)).alias("onward"))
+    heads = heads.join(parts, F.col("part") == F.col("onward")).select("p", F.col("head").alias("after"))
     out = linked.join(heads, F.col("part") == F.col("p"))
     following = F.coalesce(F.col("next"), F.col("after"))
     return out.select(*rows.columns, *[following[c].alias(f"next_{c}") for c in columns])
@@ -138,7 +147,8 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", bits=None) -
     the last.
 
     Defined cases: a null text is empty; a text without lexicon terms has only
-    nulls; equal texts have equal hashes; rows with the same id follow each
+    nulls; very long texts count with all their words; equal texts have equal
+    hashes; rows with the same id follow each
     other by their texts, null ids come last; a single row is followed by
     itself; an empty table gives an empty result; columns not named are
     ignored, whatever they are called.
