@@ -48,15 +48,30 @@ def test_registered_models(spark):
     assert all(abs(r["price_clean"] - r["predicted_price"] - r["residual"]) < 1e-6 for r in predictions)
     ranked = [r["importance"] for r in rows("importances")]
     assert ranked and all(0 <= x <= 1 for x in ranked) and sum(ranked) <= 1 + 1e-9
-    assert len(rows("price_cv")) >= 4
-    overfit = rows("price_overfit")
-    assert len(overfit) >= 2
+    grid = {(r["max_depth"], r["min_leaf"]): r["rmse_log"] for r in rows("price_cv")}
+    logs = [r["log_price"] for r in predictions]
+    mean = sum(logs) / len(logs)
+    spread = (sum((x - mean) ** 2 for x in logs) / len(logs)) ** 0.5
+    assert set(grid) == {(d, n) for d in (4, 8) for n in (20, 100)} and all(0 < x < spread for x in grid.values())
+    overfit = {(r["tree"], r["split"]): r for r in rows("price_overfit")}
+    free, bound = overfit["unconstrained", "train"], overfit["constrained", "train"]
+    assert free["leaves"] > 5 * bound["leaves"] and free["rmse_log"] < bound["rmse_log"] / 2
+    # what the deeper tree has learnt by heart does not help on new rows
+    gaps = {tree: overfit[tree, "test"]["rmse_log"] - overfit[tree, "train"]["rmse_log"] for tree in ("constrained", "unconstrained")}
+    assert gaps["unconstrained"] > gaps["constrained"] > 0
     sse = {r["k"]: r["sse"] for r in rows("kmeans_sweep")}
     assert sorted(sse) == list(range(1, 8)) and all(sse[k] >= sse[k + 1] for k in range(1, 7))
     centres = rows("kmeans_centroids")
     assert {(r["k"], r["cluster"]) for r in centres} == {(4, i) for i in range(4)}
+    assert len({tuple(r) for r in centres}) == 4
     assert all(-1 <= r["silhouette"] <= 1 for r in rows("silhouette"))
-    assert len(rows("external_validation")) == 4
+    found, observed = rows("external_validation"), {r["external_variable"]: r for r in rows("external_observed")}
+    assert len(found) == len(observed) == 4
+    for r in found:
+        assert abs(r["purity"] - r["purity_random_baseline"] - r["purity_lift"]) < 1e-12
+        assert abs(observed[r["external_variable"]]["purity"] - r["purity"]) < 1e-6
+        # nations make up regions, all else is drawn at random: never less agreement than chance
+        assert 0.5 < r["entropy_random_baseline"] and r["normalized_entropy"] < r["entropy_random_baseline"] + 0.1
 
 
 def test_scans_are_pruned_and_filters_pushed(spark):
