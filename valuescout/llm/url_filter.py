@@ -59,7 +59,9 @@ class Automaton:
                     stays[bit] = "any" if len(token) > 1 or stays.get(bit) == "any" else "part"
                 else:
                     bit += 1
-                    moves[bit] = token[0] if token != b"?" else "part"
+                    moves[bit] = token[0] if token != b"?" else "lead"
+                    if token == b"?":
+                        stays[bit] = "rest"  # the other bytes of the character
             last.append(bit)
             bit += 1
         self.words = max(1, -(-bit // 64))
@@ -75,8 +77,9 @@ class Automaton:
     def _masks(self, on):
         table = np.zeros((256, self.words), np.uint64)
         for c in range(256):
-            fits = (b for b, what in on.items() if what == c or what == "any" or (what == "part" and c != ord("/")))
-            table[c] = self._bits(fits)
+            kinds = {c, "any", "rest" if 0x80 <= c < 0xC0 else "lead" if c != ord("/") else None}
+            kinds |= {"part"} if c != ord("/") else set()
+            table[c] = self._bits(b for b, what in on.items() if what in kinds)
         return table
 
     def matches(self, urls):
