@@ -157,10 +157,16 @@ def predict(df: DataFrame, tree: ExactTree, name="prediction", node="node") -> D
     """Add the number and the mean of the leaf that a row falls into; a missing
     value goes to the lower side."""
     x = F.array(*[F.col(c).cast("double") for c in tree.features])
-    placed = df.select(*df.columns, F.lit(1).cast("long").alias("_node"), x.alias("_x"))
+    root = next((n for n in tree.nodes if n.number == 1), None)
+    if root is None or root.feature is None:
+        mean = F.lit(None if root is None else root.mean).cast("double")
+        return df.select(*df.columns, F.lit(1).cast("long").alias(node), mean.alias(name))
+    # all rows are at the root, so its split needs no join
+    above = F.coalesce((F.col("_x")[root.feature] > root.threshold).cast("long"), F.lit(0))
+    placed = df.select(*df.columns, x.alias("_x")).withColumn("_node", above + 2)
     by_depth = {}
     for n in tree.nodes:
-        if n.feature is not None:
+        if n.feature is not None and n is not root:
             by_depth.setdefault(n.depth, []).append(n)
     for depth in sorted(by_depth):
         placed = _step(placed, by_depth[depth]).drop("_open")
