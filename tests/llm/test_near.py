@@ -1,7 +1,5 @@
 """Near-duplicates: against all pairs, and what stars alone would miss."""
 
-import random
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -103,25 +101,3 @@ def test_star_edges_bound_the_pairs(spark):
     buckets = signed.select("doc_id", F.explode("bands").alias("bucket")).groupBy("bucket").count().filter("count > 1")
     members = buckets.agg(F.sum("count")).first()[0]
     assert members <= 80 * near_dedup.BINS // near_dedup.ROWS
-
-
-def test_no_link_of_small_sets_is_lost(spark):
-    """20,000 pairs with 3 of 4 shingles in common, and others at the limit."""
-    rng = random.Random(5)
-    rows = []
-
-    def add(some):
-        rows.append((len(rows), " ".join(some)))
-
-    for i in range(20000):
-        chosen = [f"w{i}x{rng.randrange(10**6)}" for _ in range(8)]
-        add(chosen)
-        add(chosen[:7])
-    linked = len(rows)
-    for i in range(300):  # 15 of 20 shingles, and 39 of 52
-        for size, cut in ((24, 19), (56, 43)):
-            chosen = [f"v{i}x{rng.randrange(10**6)}" for _ in range(size)]
-            add(chosen)
-            add(chosen[:cut])
-    found = {r["doc_id"]: r["component_id"] for r in run(spark.createDataFrame(rows, "doc_id long, text string"))}
-    assert len(rows) == linked + 1200 and all(found[i] == i - i % 2 for i in range(len(rows)))
