@@ -130,3 +130,16 @@ def test_quantiles_are_one_plan(spark):
     nodes = [[line.split("(")[0] for line in p._jdf.queryExecution().optimizedPlan().toString().splitlines()] for p in plans]
     assert len(nodes[0]) == len(nodes[1])
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_quantiles_compute_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return float(v % 100)
+
+    df = spark.range(1000).select(counted("id").alias("v"))
+    assert exact_quantiles(df, ["v"], [0.5]).first()["value"] == 49.5
+    assert seen.value == 1000
