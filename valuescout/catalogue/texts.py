@@ -22,7 +22,7 @@ from valuescout.operators.langid import keep_language, langid_fit, langid_model,
 from valuescout.operators.rows import keep_valid_ids, split_groups
 from valuescout.operators.sentiment import add_score
 from valuescout.plans.reviews import clean_reviews, cleaning_audit, score_reviews
-from valuescout.session import spread
+from valuescout.session import spread, written_table
 
 YEAR = 2025
 
@@ -451,7 +451,8 @@ TOP_SHARED = 500
 
 
 def phrase_ratio(spark, sf_dir):
-    grouped = _grouped_reviews(spark, sf_dir, "en")
+    # counted and sized from one scoring
+    grouped = written_table(_grouped_reviews(spark, sf_dir, "en").select("group", "text"))
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n_reviews"))
     ratio = ph.phrase_ratio(_counts(spark, sf_dir, grouped), sizes, "group", "hidden", "other", TOP_SHARED)
     return ratio.withColumns({c: F.round(c, 6) for c in ("per_k_a", "per_k_b", "ratio")})
