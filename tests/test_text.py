@@ -140,3 +140,29 @@ def test_windows_are_counted_before_they_are_looked_up(spark):
     joins = [i for i, line in enumerate(lines) if "Join LeftOuter" in line]
     counted = [i for i, line in enumerate(lines) if "Aggregate" in line and "w1" in line]
     assert len(joins) == 3 and counted and max(joins) < max(counted)
+
+
+def test_language_by_one_sweep_equals_the_weights_of_all_grams(spark, monkeypatch):
+    texts = ["Ab, c", "", None, "é  É aé", "a", "straße 12 don't", "\U00010400\U00010401 ab", "ba " * 50, "?!", "zzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    train = spark.createDataFrame([("x", "ab ab é straße"), ("y", "ba don't c \U00010400"), ("z", "a é é ba")], "lang string, text string")
+    model = langid_model(langid_fit(train, "text", "lang", size=30))
+    slot = {gram: i for i, gram in enumerate(model.vocabulary)}
+    for block in (7, 1 << 18):
+        monkeypatch.setattr("valuescout.operators.langid._BLOCK", block)
+        scored = langid_score(df.select("id", "text", grams("text").alias("g")), "text", model)
+        assert scored.drop("g")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+        for r in scored.collect():
+            known = [model.weights[:, slot[g]] for g in r["g"] if g in slot]
+            if not known:
+                assert r["lang_found"] is None
+                continue
+            sums = sum(known)
+            assert sums[model.languages.index(r["lang_found"])] >= sums.max() - 1e-9
+
+
+def test_phrase_ratio_scores_its_texts_once(spark):
+    from valuescout.catalogue.texts import phrase_ratio
+
+    found = phrase_ratio(spark, "/root/testdata/sf0.001")
+    assert "(?=(.{3}))" not in found._jdf.queryExecution().optimizedPlan().toString()

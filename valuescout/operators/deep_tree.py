@@ -13,8 +13,11 @@ variance wins, ties go to the first feature and the lowest threshold. Labels are
 added up as whole numbers, so that no sum depends on the order of the rows.
 """
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,6 +27,9 @@ NODE_ROWS = 1 << 16  # training rows of a node that one task takes
 MAX_VALUES = 1 << 16  # distinct numbers of a feature that pass through the driver
 _LABEL_BITS = 36
 
+# executors need no copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def thresholds(train: DataFrame, numeric, max_bins=256) -> list[list[float]]:
     """Per number the cuts between its bins: all midpoints if they are few, else
