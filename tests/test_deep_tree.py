@@ -62,3 +62,38 @@ def test_the_report_grows_deep_trees_in_tasks(spark, prepared, monkeypatch):
     found = pricing.overfit_report(prepared, ["a", "b"], ["room"], [("small", 5, 20), ("deep", 30, 1)]).collect()
     assert depths == [5] and {(r["tree"], r["split"]) for r in found} == {(t, s) for t in ("small", "deep") for s in ("train", "test", "all")}
     assert {r["n"] for r in found if r["split"] == "all"} == {3000}
+
+
+def test_levels_leave_no_joins_behind(prepared):
+    """Twenty levels over the cluster: the rows meet one small table, that of the means."""
+    got = pricing.deep_tree_scores(prepared, ["a", "b"], ["room"], 30, 1, node_rows=20)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 1
+
+
+def test_nodes_of_a_level_are_counted_in_parts(prepared, monkeypatch):
+    """The same tree, whether a task holds the counters of all nodes or of one."""
+    found = []
+    for cells in (deep_tree.MAX_CELLS, 1):
+        monkeypatch.setattr(deep_tree, "MAX_CELLS", cells)
+        got = pricing.deep_tree_scores(prepared, ["a", "b"], ["room"], 6, 1, node_rows=500)
+        found.append(sorted(tuple(r) for r in got.select("log_price", "predicted_log_price", "_leaves").filter("log_price is not null").collect()))
+    assert found[0] == found[1] and len(found[0]) == 3000
+
+
+def test_metrics_go_through_the_predictions_once(spark, prepared):
+    scored = prepared.withColumn("predicted_log_price", F.lit(1.0)).withColumn("predicted_price", F.exp(F.lit(1.0)))
+    metrics = pricing.price_metrics(scored)
+    assert "scalar-subquery" not in metrics._jdf.queryExecution().analyzed().toString()
+    got = {r["split"]: r for r in metrics.collect()}
+    assert got["all"]["gap_to_all"] == 0.0 and got["all"]["n"] == 3000
+    assert got["test"]["gap_to_all"] == pytest.approx(got["test"]["rmse_log"] - got["all"]["rmse_log"])
+
+
+def test_levels_are_learnt_from_each_once(spark, prepared):
+    """How often a level occurs does not matter; that of one test row counts."""
+    rare = prepared.limit(1).withColumn("room", F.lit("z")).withColumn("in_test_set", F.lit(1))
+    both = prepared.unionByName(rare)
+    model = pricing.fair_price_fit(both, ["a", "b"], ["room"], max_depth=3, min_leaf=1)
+    assert list(model.stages[0].labelsArray[0]) == list("zedcba")
+    assert model.transform(both).count() == 3001

@@ -2,10 +2,11 @@
 
 Spark's own tree keeps one counter per node, feature and bin, whether or not a
 row falls into it, and gives the whole tree to every task. Here nodes with many
-rows are split level by level over counters of the bins that have rows; the
-rows of a smaller node are sent to one task, which grows everything below it
-and scores what falls into it. No task holds the training rows of more than one
-such node, and nothing below it leaves the task.
+rows are split level by level: the coded training rows are written once, a level
+is one sweep over them in which each task adds up its rows by node and bin, and
+only these sums are shuffled. The rows of a smaller node are sent to one task,
+which grows everything below it and scores what falls into it. No task holds the
+training rows of more than one such node, and nothing below it leaves the task.
 
 Bins and splits are those of Spark's tree: numbers are cut at up to 255
 thresholds, a level of a category is split from the rest, the greatest loss of
@@ -17,14 +18,17 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from valuescout.operators.quantiles import exact_quantiles
+from valuescout.session import written_table
 
 NODE_ROWS = 1 << 16  # training rows of a node that one task takes
 MAX_VALUES = 1 << 16  # distinct numbers of a feature that pass through the driver
+MAX_CELLS = 1 << 22  # counters that a task holds at once
 _LABEL_BITS = 36
 
 # executors need no copy of this module
@@ -163,8 +167,43 @@ def place(x, tree, ordered):
     return at
 
 
+def _node_of(tree, ordered):
+    """Codes -> the node of the tree."""
+
+    def run(*codes: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in codes])
+        return pa.array(place(x, tree, ordered), pa.int64())
+
+    return run
+
+
+def _count(tree, level, columns, ordered, widths):
+    """(_node, _f, _code, _n, _s): rows and labels of the nodes `level` by code."""
+    slot = np.full(len(tree[0]), -1, np.int64)
+    slot[level] = np.arange(len(level))
+    begins = np.cumsum([0, *[w * len(level) for w in widths]])
+
+    def run(frames):
+        n, s = np.zeros(begins[-1], np.int64), np.zeros(begins[-1], np.int64)
+        for frame in frames:
+            x = frame[columns].to_numpy()
+            node = slot[place(x, tree, ordered)]
+            here = np.flatnonzero(node >= 0)
+            node, label = node[here], frame["_y"].to_numpy()[here]
+            for j, width in enumerate(widths):
+                cell = begins[j] + node * width + (x[here, j] + 1)
+                np.add.at(n, cell, 1)
+                np.add.at(s, cell, label)
+        for j, width in enumerate(widths):
+            cell = np.flatnonzero(n[begins[j] : begins[j + 1]])
+            counted, added = n[begins[j] + cell], s[begins[j] + cell]
+            yield pd.DataFrame({"_node": level[cell // width], "_f": j, "_code": cell % width - 1, "_n": counted, "_s": added})
+
+    return run
+
+
 def _split_cells(ordered, min_leaf):
-    """The best split of a node from its counters."""
+    """The best split of a node from its counters, and what lies beyond the cut."""
 
     def best_split(cells):
         cells = cells.sort_values(["_f", "_code"])
@@ -176,12 +215,53 @@ def _split_cells(ordered, min_leaf):
         for j, is_ordered in enumerate(ordered):
             here = (f == j) & (code >= 0)
             _best(j, is_ordered, np.zeros(here.sum(), np.int64), code[here], n[here], s[here], *totals, best, min_leaf)
-        return pd.DataFrame({"_node": cells["_node"].iloc[:1], "_f": best[1], "_cut": best[2]})
+        column, cut = int(best[1][0]), int(best[2][0])
+        beyond = (f == column) & (code > cut if column >= 0 and ordered[column] else code == cut)
+        sums = {"_n": totals[0], "_s": totals[1], "_above_n": n[beyond].sum(), "_above_s": s[beyond].sum()}
+        return pd.DataFrame({"_node": cells["_node"].iloc[:1], "_f": column, "_cut": cut} | sums)
 
     return best_split
 
 
-def _finish(columns, ordered, max_depth, min_leaf, scale):
+_SPLIT = "_node long, _f int, _cut int, _n long, _s long, _above_n long, _above_s long"
+
+
+def _top(train: DataFrame, columns, ordered, widths, n_rows, max_depth, min_leaf, node_rows):
+    """(tree, depth per node, leaves that stay leaves): the nodes of more than
+    `node_rows` training rows and their children (runs a job per level)."""
+    column, cut, child, mean, depth = [-1], [0], [-1], [0.0], [0]
+    level, closed = [0] if n_rows > node_rows else [], []
+
+    def arrays():
+        return np.array(column), np.array(cut), np.array(child), np.array(mean)
+
+    while level:
+        found = []
+        step = max(1, MAX_CELLS // sum(widths))
+        for i in range(0, len(level), step):
+            count = _count(arrays(), np.array(level[i : i + step]), columns, ordered, widths)
+            cells = train.mapInPandas(count, "_node long, _f int, _code int, _n long, _s long")
+            cells = cells.groupBy("_node", "_f", "_code").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+            found += cells.groupBy("_node").applyInPandas(_split_cells(ordered, min_leaf), _SPLIT).collect()
+        level = []
+        for r in sorted(found):
+            node = r["_node"]
+            mean[node] = r["_s"] / r["_n"]
+            if r["_f"] < 0 or depth[node] == max_depth:
+                closed.append(node)
+                continue
+            column[node], cut[node], child[node] = r["_f"], r["_cut"], len(column)
+            for n, s in ((r["_n"] - r["_above_n"], r["_s"] - r["_above_s"]), (r["_above_n"], r["_above_s"])):
+                for values, value in zip((column, cut, child, mean, depth), (-1, 0, -1, s / n, depth[node] + 1)):
+                    values.append(value)
+                if depth[-1] == max_depth:
+                    closed.append(len(depth) - 1)
+                elif n > node_rows:
+                    level.append(len(depth) - 1)
+    return arrays(), depth, closed
+
+
+def _finish(columns, ordered, depth, max_depth, min_leaf, scale):
     """Grow and score node by node; the training rows of a node come first."""
 
     def scored(frame, tree, n_leaves=0):
@@ -193,8 +273,7 @@ def _finish(columns, ordered, max_depth, min_leaf, scale):
 
     def fitted(held, node):
         train = pd.concat(held)
-        levels = max_depth - (int(node).bit_length() - 1)
-        tree = grow(train[columns].to_numpy(), train["_y"].to_numpy(np.int64), ordered, levels, min_leaf)
+        tree = grow(train[columns].to_numpy(), train["_y"].to_numpy(np.int64), ordered, max_depth - depth[node], min_leaf)
         return tree, scored(train, tree, int((tree[0] < 0).sum()))
 
     def run(frames):
@@ -235,62 +314,35 @@ def fit_and_score(df: DataFrame, codes, ordered, label, keep, max_depth, min_lea
     spark, train = df.sparkSession, F.col("in_test_set") == 0
     missing = F.raise_error("a training row has no label").cast("double")
     label = F.when(train & (F.col(label).isNull() | F.isnan(label)), missing).otherwise(F.col(label))
-    size = df.filter(train).agg(F.count("*").alias("n"), F.max(F.abs(label)).alias("most")).first()
+    codes = {name: F.col(c).cast("int") for c, name in zip(codes, x)}
+    widest = [F.max(code).alias(name) for name, code in codes.items()]
+    size = df.filter(train).agg(F.count("*").alias("n"), F.max(F.abs(label)).alias("most"), *widest).first()
     if not size["n"]:
         raise ValueError("no training rows")
     # sums of all labels stay below 2 ** 62
     bits = min(_LABEL_BITS, 61 - int(np.ceil(np.log2(max(size["n"] * (size["most"] + 1), 2)))))
     scale = 2.0**bits
-    rows = df.select(
-        *keep,
-        "in_test_set",
-        F.lit(1).cast("long").alias("_node"),
-        F.when(train, F.round(label * scale).cast("long")).alias("_y"),
-        *[F.col(c).cast("int").alias(name) for c, name in zip(codes, x)],
-    )
-    closed, counts, depth = [], {1: size["n"]}, 0
-    while True:
-        big = [node for node, n in counts.items() if n > node_rows]
-        if depth == max_depth or not big:
-            break
-        here = spark.createDataFrame([(node,) for node in big], "_node long")
-        mine = rows.filter(train).join(F.broadcast(here), "_node")
-        cells = mine.select("_node", "_y", F.posexplode(F.array(*x)).alias("_f", "_code"))
-        cells = cells.groupBy("_node", "_f", "_code").agg(F.count("*").alias("_n"), F.sum("_y").alias("_s"))
-        found = cells.groupBy("_node").applyInPandas(_split_cells(ordered, min_leaf), "_node long, _f int, _cut int")
-        found = found.collect()
-        closed += [r["_node"] for r in found if r["_f"] < 0]
-        splits = [tuple(r) for r in found if r["_f"] >= 0]
-        depth += 1
-        if not splits:
-            break
-        table = spark.createDataFrame(splits, "_node long, _f int, _cut int")
-        code = F.element_at(F.array(*x), F.col("_f") + 1)
-        above = F.when(F.element_at(F.array(*[F.lit(o) for o in ordered]), F.col("_f") + 1), code > F.col("_cut"))
-        above = above.otherwise(code == F.col("_cut")).cast("long")
-        rows = rows.join(F.broadcast(table), "_node", "left")
-        moved = F.when(F.col("_f").isNotNull(), F.col("_node") * 2 + above).otherwise(F.col("_node"))
-        rows = rows.withColumn("_node", moved).drop("_f", "_cut")
-        children = spark.createDataFrame([(2 * s[0] + side,) for s in splits for side in (0, 1)], "_node long")
-        sizes = rows.filter(train).join(F.broadcast(children), "_node").groupBy("_node").agg(F.count("*").alias("n"))
-        counts = {r["_node"]: r["n"] for r in sizes.collect()}
-    if depth == max_depth:
-        closed += list(counts)
-    # what no split divides needs no task of its own
-    done = spark.createDataFrame([(node, True) for node in closed], "_node long, _done boolean")
-    rows = rows.join(F.broadcast(done), "_node", "left")
-    means = rows.filter(train & F.col("_done")).groupBy("_node")
-    means = means.agg((F.sum("_y") / F.count("*") / scale).alias("predicted_log_price"))
+    y = F.when(train, F.round(label * scale).cast("long")).alias("_y")
+    rows = df.select(*keep, "in_test_set", y, *[code.alias(name) for name, code in codes.items()])
+    coded = rows.filter(train).select("_y", *x)
+    if size["n"] > node_rows:
+        coded = written_table(coded)
+    tree, depth, closed = _top(coded, x, ordered, [size[c] + 2 for c in x], size["n"], max_depth, min_leaf, node_rows)
+    rows = rows.withColumn("_node", F.arrow_udf(_node_of(tree, ordered), "long")(*x))
     plain = [*keep, "in_test_set"]
-    at_once = rows.filter(F.col("_done")).join(F.broadcast(means), "_node").select(*plain, "predicted_log_price", F.lit(0).cast("long").alias("_leaves"))
-    rest = rows.filter(F.col("_done").isNull()).drop("_done").repartition("_node")
-    rest = rest.sortWithinPartitions("_node", "in_test_set")
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in plain)
-    run = _finish(x, ordered, max_depth, min_leaf, scale)
+    run = _finish(x, ordered, depth, max_depth, min_leaf, scale)
+    rest = rows.filter(~F.col("_node").isin(closed)) if closed else rows
+    rest = rest.repartition("_node").sortWithinPartitions("_node", "in_test_set")
     below = rest.mapInPandas(run, f"{fields}, predicted_log_price double, _leaves long")
-    leaf = spark.createDataFrame([(len(closed),)], "_leaves long")
-    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in plain]
+    below = below.select(*plain, "predicted_log_price", "_leaves")
     if not closed:
-        return below.select(*plain, "predicted_log_price", "_leaves")
-    marker = leaf.select(*none, F.lit(None).cast("double").alias("predicted_log_price"), "_leaves")
-    return below.select(*plain, "predicted_log_price", "_leaves").unionByName(at_once).unionByName(marker)
+        return below
+    # what no split divides needs no task of its own
+    means = spark.createDataFrame([(node, float(tree[3][node] / scale)) for node in closed], "_node long, predicted_log_price double")
+    leaf = F.lit(0).cast("long").alias("_leaves")
+    at_once = rows.join(F.broadcast(means), "_node").select(*plain, "predicted_log_price", leaf)
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in plain]
+    marker = spark.createDataFrame([(len(closed),)], "_leaves long")
+    marker = marker.select(*none, F.lit(None).cast("double").alias("predicted_log_price"), "_leaves")
+    return below.unionByName(at_once).unionByName(marker)
