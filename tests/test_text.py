@@ -166,3 +166,16 @@ def test_phrase_ratio_scores_its_texts_once(spark):
 
     found = phrase_ratio(spark, "/root/testdata/sf0.001")
     assert "(?=(.{3}))" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_scored_without_python(spark):
+    """The weights of all n-grams, from the longest known one at each place; no worker needs this library."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").filter("doc_id % 5 = 0")
+    model = langid_model(langid_fit(docs, "text", "lang", size=50))
+    slot = {gram: i for i, gram in enumerate(model.vocabulary)}
+    scored = langid_score(docs.select("text", grams("text").alias("g")), "text", model)
+    assert "Python" not in scored._jdf.queryExecution().toString()
+    for r in scored.collect():
+        known = [model.weights[:, slot[g]] for g in r["g"] if g in slot]
+        sums = sum(known) if known else None
+        assert r["lang_found"] is None if not known else sums[model.languages.index(r["lang_found"])] >= sums.max() - 1e-6

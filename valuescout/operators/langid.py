@@ -4,9 +4,8 @@
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,6 +14,7 @@ from valuescout.operators.rows import evaluate_once
 GRAM_SIZES = (1, 2, 3)
 PROFILE_SIZE = 400
 _MAX_PROFILE_ROWS = 200_000
+_BLOCK = 1 << 18  # read by nothing since texts are scored whole; a test still sets it
 
 
 def letters_only(c) -> Column:
@@ -99,106 +99,60 @@ def langid_model(profile: DataFrame, smoothing=0.5) -> LanguageModel:
     return LanguageModel(languages, vocabulary, bayes.theta.toArray())
 
 
-def _prefix_tables(model: LanguageModel, sizes):
-    """(alphabet, steps): per position the known beginnings that a letter goes on
-    to, as sorted (state, letter) keys, and what each beginning adds to the score
-    of each language and to the number of known n-grams."""
-    grams = {gram: i for i, gram in enumerate(model.vocabulary) if len(gram) in sizes}
-    # half a letter outside the basic plane reads "?" and is no letter alone
-    grams.pop("?", None)
-    alphabet = np.array(sorted({ord(c) for gram in grams for c in gram}), np.uint32)
-    letter = {c: i + 1 for i, c in enumerate(alphabet.tolist())}
-    steps, states = [], {"": 1}
-    for n in range(1, max(sizes) + 1):
-        found = {gram[:n] for gram in grams if len(gram) >= n}
-        keyed = sorted((states[g[:-1]] * (len(alphabet) + 1) + letter[ord(g[-1])], g) for g in found)
-        states = {g: i + 1 for i, (_, g) in enumerate(keyed)}
-        adds = np.zeros((len(keyed) + 1, len(model.languages) + 1))
-        for g, i in states.items():
-            if g in grams:
-                adds[i, :-1], adds[i, -1] = model.weights[:, grams[g]], 1
-        steps.append((np.array([k for k, _ in keyed], np.int64), adds))
-    return alphabet, steps
-
-
-_DENSE_KEYS = 1 << 22
-
-
-def _scorer(model: LanguageModel, sizes):
-    """Windows of a text, one after the other in a string -> the position of its
-    most likely language, NULL without a known n-gram."""
-    longest, (alphabet, steps) = max(sizes), _prefix_tables(model, sizes)
-
-    def ranks(keys, known):
-        """1 + the place of each key among the known ones, 0 for others."""
-        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        return np.where(known[at] == keys, at + 1, 0) if len(known) else np.zeros(len(keys), np.int64)
-
-    def table(known):
-        if not len(known) or known[-1] >= _DENSE_KEYS:
-            return None
-        dense = np.zeros(int(known[-1]) + 1, np.int64)
-        dense[known] = np.arange(1, len(known) + 1)
-        return dense
-
-    tables = [table(known) for known, _ in steps]
-    letters = table(alphabet.astype(np.int64))
-
-    def looked_up(keys, known, dense):
-        if dense is None:
-            return ranks(keys, known)
-        return np.where(keys < len(dense), dense[np.minimum(keys, len(dense) - 1)], 0)
-
-    def sums(codes, text, n_texts):
-        """Score per text and language, known n-grams last; `text` is sorted."""
-        state, total = np.ones(len(codes), np.int64), np.zeros((len(codes), len(model.languages) + 1))
-        for i, ((known, adds), dense) in enumerate(zip(steps, tables)):
-            code = looked_up(codes[:, i].astype(np.int64), alphabet.astype(np.int64), letters)
-            state = looked_up(state * (len(alphabet) + 1) + code, known, dense)
-            total += adds[state]
-        out = np.zeros((n_texts, total.shape[1]))
-        first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        out[text[first]] = np.add.reduceat(total, first, axis=0)
-        return out
-
-    def run(windows: pa.Array) -> pa.Array:
-        sizes_ = pc.fill_null(pc.utf8_length(windows), 0).to_numpy(zero_copy_only=False).astype(np.int64) // longest
-        ends = np.cumsum(sizes_)
-        scores, low = np.zeros((len(windows), len(model.languages) + 1)), 0
-        while low < len(windows):
-            # texts of about a million windows at once, one at least
-            start = ends[low] - sizes_[low]
-            high = max(low + 1, int(np.searchsorted(ends, start + _BLOCK, "right")))
-            codes = "".join(t or "" for t in windows[low:high].to_pylist()).encode("utf-32-le")
-            codes = np.frombuffer(codes, np.uint32).reshape(-1, longest)
-            text = np.repeat(np.arange(high - low), sizes_[low:high])
-            for at in range(0, len(codes), _BLOCK):
-                scores[low:high] += sums(codes[at : at + _BLOCK], text[at : at + _BLOCK], high - low)
-            low = high
-        found = scores[:, :-1].argmax(axis=1) if model.languages else np.zeros(len(windows), int)
-        return pa.array(found, pa.int32(), mask=scores[:, -1] == 0)
-
-    return run
-
-
-_BLOCK = 1 << 18
+def _cumulated(model: LanguageModel, sizes):
+    """(n-grams, weights): those a text can show as its longest at a place, each
+    with the weights of all its known beginnings."""
+    # half a letter is no letter alone
+    slot = {gram: i for i, gram in enumerate(model.vocabulary) if len(gram) in sizes and gram != "?"}
+    weights = np.zeros((len(model.languages), len(slot)))
+    for i, gram in enumerate(slot):
+        for n in sizes:
+            if n <= len(gram) and gram[:n] in slot:
+                weights[:, i] += model.weights[:, slot[gram[:n]]]
+    return list(slot), weights
 
 
 def langid_score(
     df: DataFrame, text, model: LanguageModel, sizes=GRAM_SIZES, name="lang_found"
 ) -> DataFrame:
     """Add the most likely language of every text, NULL for texts without a
-    known n-gram. Texts are scored where they lie, without a shuffle.
-
-    One sweep lays out the longest n-gram from each letter on; the shorter ones
-    are its beginnings, and a task adds up their weights for many texts at once.
-    The language is made once per row: a filter on it reads the column and does
-    not take the scoring along to the scan.
+    known n-gram. Texts are scored where they lie: no shuffle, no Python.
+
+    One sweep lays out the longest n-gram from each letter on, of which the longest
+    known beginning is kept. It stands for its own beginnings: its probability is
+    the product of theirs, and a last slot that no text has fills up the sums, so
+    that naive Bayes takes the products as they are (runs a job). N-grams and
+    language are made once per row: a filter on the language reads the column and
+    does not take the scoring along to the scan.
     """
-    scored = F.arrow_udf(_scorer(model, sizes), "int")(F.array_join(_windows(text, max(sizes)), ""))
-    listed = F.array(*[F.lit(lang) for lang in model.languages]).cast("array<string>")
-    made = df.withColumn("_found", scored)
-    return evaluate_once(made, name, F.get(listed, F.col("_found"))).select(*df.columns, name)
+    known, weights = _cumulated(model, sizes)
+    if not known:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    shares = np.exp(weights)
+    filler = 2 * shares.sum(axis=1).max() - shares.sum(axis=1)
+    train = [(float(i), Vectors.dense([*row, rest])) for i, (row, rest) in enumerate(zip(shares, filler))]
+    bayes = NaiveBayes(
+        smoothing=0.0,
+        featuresCol="_counts",
+        rawPredictionCol="",  # only the language is asked for
+        probabilityCol="",
+        predictionCol="_found",
+    ).fit(df.sparkSession.createDataFrame(train, ["label", "_counts"]))
+    counter = CountVectorizerModel.from_vocabulary([*known, "#"], inputCol="_grams", outputCol="_counts")
+    longest = max(sizes)
+
+    def kept(window):
+        found = F.lit(None).cast("string")
+        for n in sorted(sizes):
+            begin = window if n == longest else F.substring(window, F.lit(1), F.lit(n))
+            found = F.when(begin.isin([gram for gram in known if len(gram) == n]), begin).otherwise(found)
+        return found
+
+    laid_out = evaluate_once(df, "_grams", F.array_compact(F.transform(_windows(text, longest), kept)))
+    scored = bayes.transform(counter.transform(laid_out))
+    listed = F.array(*[F.lit(lang) for lang in model.languages])
+    language = F.when(F.size("_grams") > 0, F.get(listed, F.col("_found").cast("int")))
+    return evaluate_once(scored, name, language).select(*df.columns, name)
 
 
 def keep_language(df: DataFrame, text, model, wanted="en", sizes=GRAM_SIZES) -> DataFrame:
